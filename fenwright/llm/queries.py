@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, simhash, substrings
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing}
+    return {
+        "op1_packing": packing.op1_packing,
+        "op4_simhash": simhash.op4_simhash,
+        "op9_substrings": substrings.op9_substrings,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
