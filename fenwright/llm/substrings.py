@@ -8,7 +8,8 @@ removed. Windows are judged on the input.
    seeds, and whether it has them more than once; they are counted with partial sums.
 2. Partition by prefix. The seed is the short prefix that splits the suffixes: windows of a seed that occurs at least
    twice, as runs of neighbouring windows, go to one group. A group of a seed with more than `group` occurrences is not
-   gathered: it is split by the longest prefix, the whole window, where a group is a tree node by itself and is only counted.
+   gathered: equal runs are made one, and those left are split by the longest prefix, the whole window, where a group is a
+   tree node by itself and is only counted.
 3. Subtrees. The suffixes of a group, cut at the window, are sorted: the order of the leaves of its suffix tree. Where
    neighbours share `window` words they lie below an internal node of that depth, and are repeats.
 4. Texts with an exact copy have no other windows to find: all of their words go if they have a window.
@@ -188,47 +189,35 @@ def _subtrees(window: int, at_once: int):
     return run
 
 
-def _whole(window: int, prefix: int):
-    """Per text and distinct window of a frequent seed: the window's hash (128 bits) and how often it occurs (1 or 2)."""
+def _whole(window: int):
+    """The hash (128 bits) and the place of each window of a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for raw, c1, c2, wanted in zip(b.column("raw"), b.column("c1"), b.column("c2"), b.column("wanted"), strict=True):
-                w = Windows(raw.as_py(), window, prefix)
-                one, two, places = window_hashes(w, wanted.values.to_numpy(), window)
-                _, at, n = np.unique(one, return_index=True, return_counts=True)
-                for col, x in zip(out, (one[at], two[at], np.full(len(at), c1.as_py()), np.full(len(at), c2.as_py()), np.minimum(n, 2)), strict=True):
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for span, s1, s2, times in zip(b.column("span"), b.column("s1"), b.column("s2"), b.column("times"), strict=True):
+                h = word_hashes(span.as_py().split(b" "))
+                n = len(h) - window + 1
+                row = (*(sequence_hashes(h, window, i).view(np.int64) for i in (0, 1)), *(np.full(n, x.as_py()) for x in (s1, s2, times)), np.arange(n))
+                for col, x in zip(out, row, strict=True):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names=["w1", "w2", "c1", "c2", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names=["w1", "w2", "s1", "s2", "times", "k"])
 
     return run
 
 
-def window_hashes(w: Windows, wanted: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both hashes and the places of the windows of the wanted seeds."""
-    of = np.repeat(np.isin(w.seeds, wanted), w.end - w.begin)
-    places = np.flatnonzero(of)
-    one, two = (sequence_hashes(w.hashes, window, i)[places].view(np.int64) if len(places) else np.zeros(0, np.int64) for i in (0, 1))
-    return one, two, places
-
-
 def _kept(window: int, with_text: bool):
     """What is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, digest, left = [], [], []
-            for raw, spans, whole in zip(b.column("raw"), b.column("spans").to_pylist(), b.column("whole"), strict=True):
+            for raw, spans in zip(b.column("raw"), b.column("spans").to_pylist(), strict=True):
                 words = (raw.as_py() or b"").split()
                 edge = np.zeros(len(words) + 1, np.int32)
-                for s in spans or ():
+                for s in spans:
                     edge[s["lo"]] += 1
                     edge[s["hi"]] -= 1
-                if whole.is_valid and len(whole.values):
-                    at = np.flatnonzero(np.isin(sequence_hashes(word_hashes(words), window).view(np.int64), whole.values.to_numpy()))
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
                 keep = np.cumsum(edge[:-1]) <= 0
                 text = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
                 removed.append(int(len(words) - keep.sum()))
@@ -239,7 +228,7 @@ def _kept(window: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, prefix: int = 10, group: int = 1024, at_once: int = 8192, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, prefix: int = 10, group: int = 4096, at_once: int = 8192, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) per row of docs; kept_text is null where nothing is removed, and
     without with_text.
 
@@ -252,8 +241,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, prefix: int = 10, group: i
     contents = scanned.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("copies"))
 
     seeds = scanned.select("c1", "c2", F.explode(F.arrays_zip("seeds", "times")).alias("s")).select("c1", "c2", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times"))
-    often = seeds.groupBy("seed").agg(F.sum("times").alias("n")).filter("n > 1")
-    wanted = seeds.join(often, "seed").groupBy("c1", "c2").agg(
+    counted = seeds.groupBy("seed").agg(F.sum("times").alias("n")).filter("n > 1")
+    wanted = seeds.join(counted, "seed").groupBy("c1", "c2").agg(
         F.collect_set(F.when(F.col("n") <= group, F.col("seed"))).alias("rare"), F.collect_set(F.when(F.col("n") > group, F.col("seed"))).alias("hot")
     )
     wanted = stored(wanted, "wanted")
@@ -266,15 +255,22 @@ def remove_repeats(docs: DataFrame, window: int = 35, prefix: int = 10, group: i
     joined = by_text.join(small.hint("shuffle_hash"), ["c1", "c2"]).select("raw", "c1", "c2", "wanted")
     runs = joined.mapInArrow(_suffixes(window, prefix), "seed long, c1 long, c2 long, starts array<int>, span binary")
     spans = runs.repartition("seed").sortWithinPartitions("seed").mapInArrow(_subtrees(window, at_once), "c1 long, c2 long, lo int, hi int")
-    spans = spans.groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = spans.groupBy("c1", "c2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
+    # Runs of frequent seeds: equal ones are one, and only distinct ones are split into windows.
     joined = by_text.join(large.hint("shuffle_hash"), ["c1", "c2"]).select("raw", "c1", "c2", "wanted")
-    whole = joined.mapInArrow(_whole(window, prefix), "w1 long, w2 long, c1 long, c2 long, times long")
+    runs = joined.mapInArrow(_suffixes(window, prefix), "seed long, c1 long, c2 long, starts array<int>, span binary")
+    distinct = runs.groupBy("span").agg(F.least(F.sum(F.size("starts")), F.lit(2)).alias("times"))
+    marks = [F.xxhash64("span").alias("s1"), F.xxhash64(F.lit(1), "span").alias("s2")]
+    whole = distinct.select("span", *marks, "times").mapInArrow(_whole(window), "w1 long, w2 long, s1 long, s2 long, times long, k long")
     nodes = whole.groupBy("w1", "w2").agg(F.sum("times").alias("n")).filter("n > 1").select("w1", "w2")
-    whole = whole.join(nodes, ["w1", "w2"]).groupBy("c1", "c2").agg(F.collect_set("w1").alias("whole"))
+    deep = whole.join(nodes, ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_set(F.col("k").cast("int")).alias("ks"))
+    lists = F.flatten(F.transform("starts", lambda s: F.transform("ks", lambda k: F.struct((s + k).alias("lo"), (s + k + window).alias("hi")))))
+    often = runs.select("c1", "c2", "starts", *marks).join(deep, ["s1", "s2"]).select("c1", "c2", lists.alias("spans"))
 
-    found = spans.join(whole, ["c1", "c2"], "full").join(contents.filter("copies = 1").select("c1", "c2"), ["c1", "c2"])
-    kept = by_text.join(found.hint("shuffle_hash"), ["c1", "c2"]).select("raw", "c1", "c2", "spans", "whole")
+    single = contents.filter("copies = 1").select("c1", "c2")
+    found = spans.unionByName(often).groupBy("c1", "c2").agg(F.flatten(F.collect_list("spans")).alias("spans")).join(single, ["c1", "c2"])
+    kept = by_text.join(found.hint("shuffle_hash"), ["c1", "c2"]).select("raw", "c1", "c2", "spans")
     kept = kept.mapInArrow(_kept(window, with_text), "c1 long, c2 long, removed long, left_sha string, left_text string")
 
     out = scanned.select("doc_id", "c1", "c2", "n_words", "sha").join(contents, ["c1", "c2"]).join(kept, ["c1", "c2"], "left")
