@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import document_queries, page_queries, table_queries
+
+_MODULES = (page_queries, document_queries, table_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}
