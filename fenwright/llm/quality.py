@@ -94,7 +94,7 @@ def divergence(p: Column, q: Column) -> Column:
     return total(F.zip_with(p, q, lambda x, y: (part(x / sp, (x / sp + y / sq) / 2) + part(y / sq, (x / sp + y / sq) / 2)) / 2))
 
 
-def judge(docs: DataFrame, min_words: int = 100, min_chars: int = 500, max_char: float = 0.05, max_word: float = 0.25) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 100, min_chars: int = 500, max_char: float = 0.07, max_word: float = 0.08) -> DataFrame:
     """Base figures, base_failed, the divergences (null where a text is too short for one) and kept."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     f = stored(figures(docs).withColumn("base_failed", failed).withColumn("known", F.coalesce("lang", F.lit(""))), "figures")

@@ -64,15 +64,16 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the long columns of also: fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [signed(fingerprint(t.as_py(), shingle_words)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fp, pa.int64())], names=["doc_id", *also, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", *also, "fp"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"), *also).mapInArrow(run, schema)
 
 
 def _spanning(radius: int):
@@ -145,12 +146,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
+def classes(fps: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """(fp, least, label) per fingerprint of fps: the smallest doc_id that has it, and a name for its component."""
+    found = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    labels = components(links(found.select("fp"), radius, bucket))
+    return found.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = 4, bucket: int = 4096) -> DataFrame:
+    """docs with one row of each component, the first by doc_id (null last), then by a hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = {"s_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "s_text": F.xxhash64(text)}
+    keyed = docs.select(*[v.alias(k) for k, v in keys.items()], text.alias("text"))
+    fps = stored(fingerprints(keyed.withColumn("doc_id", F.col("s_id")), shingle_words, ("s_text",)), "fingerprints")
+    named = classes(fps.select("doc_id", "fp"), radius, bucket).select("fp", "label")
+    first = fps.join(named, "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").alias("s_id"), "s_text")).alias("k")).select("k.*")
+    return docs.withColumns(keys).join(first, ["s_id", "s_text"], "left_semi").dropDuplicates(["s_id", "s_text"]).select(*docs.columns)
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, bucket: int = 64) -> DataFrame:
     """(doc_id, fp, component_id) per document: component_id is the smallest doc_id that can be reached over links."""
     fps = stored(fingerprints(docs, shingle_words), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = components(links(classes.select("fp"), radius))
-    named = classes.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = classes(fps, radius, bucket)
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
     return fps.join(named.join(ids, "label").select("fp", "component_id"), "fp")
 
