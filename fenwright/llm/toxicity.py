@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: Names of groups of people, by kind (fixed values).
 IDENTITY = [
@@ -81,21 +81,16 @@ def _sigmoid(z):
 
 
 class Matrix:
-    """A sparse matrix: row, column, count and value of each entry."""
-
-    def __init__(self, rows: list[tuple[Counter, int]], column: dict[str, int]) -> None:
-        r, c, v, lengths = [], [], [], []
-        for k, (counts, n) in enumerate(rows):
-            for f, x in counts.items():
-                if (j := column.get(f)) is not None:
-                    r.append(k)
-                    c.append(j)
-                    v.append(x)
-                    lengths.append(n)
-        self.r, self.c = np.array(r, np.int64), np.array(c, np.int64)
-        self.counts = np.array(v, float)
-        self.v = _value(self.counts, np.array(lengths, float))
-        self.n, self.d = len(rows), len(column)
+    """A sparse matrix: row, column, count and value of each entry. rows: (columns, counts, words of the text)."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]], d: int) -> None:
+        size = [len(c) for c, _, _ in rows]
+        self.n, self.d = len(rows), d
+        self.r = np.repeat(np.arange(self.n), size).astype(np.int32)
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        self.c = join([c for c, _, _ in rows], np.int32)
+        self.counts = join([k for _, k, _ in rows], np.float32)
+        self.v = _value(self.counts, np.repeat(np.array([n for _, _, n in rows], np.float32), size))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.r, self.v * w[self.c], minlength=self.n)
@@ -159,20 +154,21 @@ class Model:
         return float(_sigmoid(float(s @ np.array(self.top))))
 
 
-def train(rows: list[tuple[int, Counter, int]], pairs: list[tuple[Counter, Counter, int]], ridge: float = 1e-4, fairness: float = 10.0, steps: int = 150, folds: int = 3, min_documents: int = 4, max_features: int = 60_000) -> Model:
-    """rows: (label, features, words) in an order that is the same each time."""
-    y = np.array([r[0] for r in rows], float)
+def columns(counts: Counter, column: dict[str, int], n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    known = [(column[f], k) for f, k in counts.items() if f in column]
+    return np.array([c for c, _ in known], np.int32), np.array([k for _, k in known], np.int32), n
+
+
+def train(names: list[str], rows: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, pairs: list[tuple[Counter, Counter, int]], ridge: float = 1e-4, fairness: float = 10.0, steps: int = 150, folds: int = 3) -> Model:
+    """names: the features; rows: (columns, counts, words) of each labelled text, in an order that is the same each time."""
+    y = y.astype(float)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model({}, 0.0, [float(np.log(p / (1 - p))), 0, 0, 0, 0], np.inf)
-    seen: Counter = Counter()
-    for _, counts, _ in rows:
-        seen.update(counts.keys())
-    names = sorted((f for f, k in seen.items() if k >= min_documents), key=lambda f: (-seen[f], f))[:max_features]
     column = {f: j for j, f in enumerate(names)}
-    x = Matrix([(c, n) for _, c, n in rows], column)
-    both = (Matrix([(a, n) for a, _, n in pairs], column), Matrix([(b, n) for _, b, n in pairs], column))
+    x = Matrix(rows, len(names))
+    both = (Matrix([columns(a, column, n) for a, _, n in pairs], len(names)), Matrix([columns(b, column, n) for _, b, n in pairs], len(names)))
     n = np.array([r[2] for r in rows], float)
     fold = np.arange(len(rows)) % folds
     z, hits = np.zeros(len(rows)), np.zeros(len(rows))
@@ -198,32 +194,48 @@ def _held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: int = 50_000, **options) -> Model:
-    """A model from labels (doc_id, toxic) and the texts of docs (doc_id, text)."""
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: int = 50_000, min_documents: int = 4, max_features: int = 60_000, **options) -> Model:
+    """A model from labels (doc_id, toxic) and the texts of docs (doc_id, text). Features are made and counted on the executors; the driver
+    gets the names of at most max_features of them and the numbers of at most max_rows texts."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(~_held_out("doc_id"))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")  # at most max_rows rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, toxic, text in zip(b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
+            out: list[list] = [[] for _ in range(6)]
+            for doc, toxic, text in zip(b.column("doc_id"), b.column("toxic"), b.column("text"), strict=True):
+                text = text.as_py()
                 counts, n = features(text)
                 if n <= max_words:
                     named = [s for s in _SENTENCE.split(text or "") if any(w.strip(_EDGE) in _SWAP for w in s.lower().split())]
-                    for col, x in zip(out, (doc, toxic, n, list(counts.items()), named[:20]), strict=True):
+                    for col, x in zip(out, (doc.as_py(), toxic.as_py(), n, list(counts), list(counts.values()), named[:20]), strict=True):
                         col.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.map_(pa.string(), pa.int32()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "toxic", "n", "counts", "named"])
-
-    got = texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, n long, counts map<string,int>, named array<string>").toArrow()
-    rows, pairs = [], []
-    for i in np.lexsort((got.column("n").to_numpy(), got.column("doc_id").to_numpy())).tolist():
-        rows.append((got.column("toxic")[i].as_py(), Counter(dict(got.column("counts")[i].as_py())), got.column("n")[i].as_py()))
-        for s in got.column("named")[i].as_py():
-            pairs += swapped(s)
-    return train(rows, pairs, **options)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "toxic", "n", "f", "k", "named"])
+
+    made = stored(texts.select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id long, toxic int, n long, f array<string>, k array<int>, named array<string>"), "features")
+    often = made.select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents)
+    names = [r["f"] for r in often.orderBy(F.desc("n"), "f").limit(max_features).collect()]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = {f: j for j, f in enumerate(names)}
+        for b in batches:
+            cs, ks = [], []
+            for f, k in zip(b.column("f"), b.column("k"), strict=True):
+                known = [(column[x], y) for x, y in zip(f.as_py(), k.as_py(), strict=True) if x in column]
+                cs.append([c for c, _ in known])
+                ks.append([y for _, y in known])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("n"), pa.array(cs, pa.list_(pa.int32())), pa.array(ks, pa.list_(pa.int32())), b.column("named")], names=["doc_id", "toxic", "n", "c", "k", "named"])
+
+    got = made.mapInArrow(number, "doc_id long, toxic int, n long, c array<int>, k array<int>, named array<string>").toArrow()
+    y, n = got.column("toxic").to_numpy(), got.column("n").to_numpy()
+    order = np.lexsort((n, got.column("doc_id").to_numpy())).tolist()
+    cs, ks = got.column("c"), got.column("k")
+    rows = [(cs[i].values.to_numpy(), ks[i].values.to_numpy(), int(n[i])) for i in order]
+    pairs = [p for i in order for s in got.column("named")[i].as_py() for p in swapped(s)]
+    return train(names, rows, y[order], pairs, **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
