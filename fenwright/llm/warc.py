@@ -104,11 +104,11 @@ def parse_record(member: bytes) -> Record:
 
 @dataclass
 class Archive:
-    """uri: the folder; files: (first key, last key, name) of the index files, sorted; blocks: a row per index block."""
+    """uri: the folder; files: (first key, last key, name) of the index files, sorted."""
 
+    spark: SparkSession
     uri: str
     files: list[tuple[str, str, str]]
-    blocks: DataFrame
 
 
 def _write_records(uri: str):
@@ -159,8 +159,7 @@ def _write_index(uri: str, block_lines: int):
             tail = zlib.compress(json.dumps(directory).encode())
             out.write(tail + struct.pack("<Q", len(tail)))
             out.close()
-            cols = [*zip(*directory, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array([name] * len(directory)), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["first", "last", "file", "offset", "length", "lines"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (directory[0][0], directory[-1][1], name)], names=["first", "last", "file"])
 
     return run
 
@@ -174,15 +173,13 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, block_lines: int = 1000,
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     copies = p.filter(F.length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = stored(copies, "copies")
     if copies.count() <= broadcast_rows:
         copies = F.broadcast(copies)
     p = p.join(copies, "sha", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")))
     lines = p.select(sort_key(F.col("url")).alias("key"), "page_id", "url", "payload", "refers_to").mapInArrow(_write_records(uri), "key string, page_id long, file string, offset long, length long")
     lines = stored(lines, "captures").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
-    blocks = stored(lines.mapInArrow(_write_index(uri, block_lines), "first string, last string, file string, offset long, length long, lines long"), "blocks")
-    files = [(r["a"], r["b"], r["file"]) for r in blocks.groupBy("file").agg(F.min("first").alias("a"), F.max("last").alias("b")).collect()]  # one per partition
-    return Archive(uri, sorted(files), blocks)
+    files = lines.mapInArrow(_write_index(uri, block_lines), "first string, last string, file string").collect()  # one row per partition
+    return Archive(spark, uri, sorted(tuple(r) for r in files))
 
 
 def _ranges(fs: pafs.FileSystem, path: str, places: list[tuple[int, int]]) -> list[bytes]:
@@ -190,6 +187,13 @@ def _ranges(fs: pafs.FileSystem, path: str, places: list[tuple[int, int]]) -> li
         return [f.read_at(n, at) for at, n in places]
 
 
+def _directory(fs: pafs.FileSystem, path: str) -> list[list]:
+    """[first key, last key, offset, length, lines] of each block of an index file."""
+    size = fs.get_file_info(path).size
+    n = struct.unpack("<Q", _ranges(fs, path, [(size - 8, 8)])[0])[0]
+    return json.loads(zlib.decompress(_ranges(fs, path, [(size - 8 - n, n)])[0]))
+
+
 def _block(fs: pafs.FileSystem, path: str, at: int, n: int) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(_ranges(fs, path, [(at, n)])[0]).decode().split("\n")]
 
@@ -216,8 +220,18 @@ def read_all(archive: Archive) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    n = int(archive.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return archive.blocks.select("file", "offset", "length").repartition(n).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(uri)
+        for b in batches:
+            found = [(name, d[2], d[3]) for name in b.column(0).to_pylist() for d in _directory(fs, f"{root}/{name}")]
+            cols = [*zip(*found, strict=True)] or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["file", "offset", "length"])
+
+    spark = archive.spark
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = spark.createDataFrame([(f[2],) for f in archive.files], "file string").repartition(n)
+    blocks = names.mapInArrow(places, "file string, offset long, length long").repartition(n)
+    return blocks.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def find(archive: Archive, key: str) -> list[list]:
@@ -227,9 +241,7 @@ def find(archive: Archive, key: str) -> list[list]:
     at = bisect.bisect_left([f[1] for f in archive.files], key)
     while at < len(archive.files) and archive.files[at][0] <= key:
         path = f"{root}/{archive.files[at][2]}"
-        size = fs.get_file_info(path).size
-        n = struct.unpack("<Q", _ranges(fs, path, [(size - 8, 8)])[0])[0]
-        directory = json.loads(zlib.decompress(_ranges(fs, path, [(size - 8 - n, n)])[0]))
+        directory = _directory(fs, path)
         k = bisect.bisect_left([d[1] for d in directory], key)
         while k < len(directory) and directory[k][0] <= key:
             lines = _block(fs, path, directory[k][2], directory[k][3])
