@@ -94,8 +94,9 @@ def divergence(p: Column, q: Column) -> Column:
     return total(F.zip_with(p, q, lambda x, y: (part(x / sp, (x / sp + y / sq) / 2) + part(y / sq, (x / sp + y / sq) / 2)) / 2))
 
 
-def judge(docs: DataFrame, min_words: int = 100, min_chars: int = 500, max_char: float = 0.07, max_word: float = 0.08) -> DataFrame:
-    """Base figures, base_failed, the divergences (null where a text is too short for one) and kept."""
+def judge(docs: DataFrame, min_words: int = 100, min_chars: int = 500, max_char: float = 0.07, max_word: float = 0.08, broadcast_rows: int = 10_000) -> DataFrame:
+    """Base figures, base_failed, the divergences (null where a text is too short for one) and kept. The references, one row per
+    language, are broadcast if there are at most broadcast_rows."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     f = stored(figures(docs).withColumn("base_failed", failed).withColumn("known", F.coalesce("lang", F.lit(""))), "figures")
     good = f.filter("not base_failed")
@@ -103,7 +104,8 @@ def judge(docs: DataFrame, min_words: int = 100, min_chars: int = 500, max_char:
     for hist in ("char_hist", "word_hist"):
         m = good.select("known", F.posexplode(hist).alias("k", "x")).groupBy("known", "k").agg(F.sum("x").alias("x"))
         means.append(m.groupBy("known").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias(f"mean_{hist}")))
-    reference = means[0].join(means[1], "known")
+    reference = stored(means[0].join(means[1], "known"), "references")
+    reference = F.broadcast(reference) if reference.count() <= broadcast_rows else reference
     out = f.join(reference, "known", "left")
     out = out.withColumn("char_divergence", F.when(F.col("chars") >= min_chars, divergence(F.col("char_hist"), F.col("mean_char_hist"))))
     out = out.withColumn("word_divergence", F.when(F.col("n_words") >= min_words, divergence(F.col("word_hist"), F.col("mean_word_hist"))))
