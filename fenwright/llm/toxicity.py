@@ -1,6 +1,6 @@
 """Operator 5: a toxicity classifier with counterfactual regularisation.
 
-Features are a text's words and their beginnings (6 and 8 letters), each with a value that saturates with the count and
+Features are a text's words and their beginnings (5 and 7 letters), each with a value that saturates with the count and
 falls with the text's length. A logistic regression is trained on labelled documents. From each sentence of them that names
 a group of people, copies are made in which the name is swapped for others of its kind; the square of the score's change is
 part of the loss, so a group's name by itself carries no weight. A second, small regression on cross-fitted scores,
@@ -39,7 +39,7 @@ IDENTITY = [
 ]
 _SWAP = {w: (kind[(i + 1) % len(kind)], kind[i - 1]) for kind in IDENTITY for i, w in enumerate(kind)}
 _EDGE = ".,;:!?\"'()[]{}#*$%&|<>-_/\\~^+=@`0123456789"
-_BEGIN = (6, 8)
+_BEGIN = (5, 7)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
