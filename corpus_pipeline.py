@@ -27,8 +27,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; groups: five-word shingles, fingerprints within four bits."""
-    return simhash.keep_one(docs, shingle_words=5, radius=4)
+    """The document with the smallest doc_id of each group; groups: sets of five-word shingles with a similarity of 0.8 or more, found by
+    SimHash, and five-word SimHash fingerprints within two bits."""
+    return simhash.keep_one(docs, shingle_words=5, radius=2, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, table
+from .common import checkpointed, lower_ascii, stored, table, words
 
 BITS = 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -64,12 +64,13 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp) and the long columns of also: fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = 3, also: tuple[str, ...] = (), of=None) -> DataFrame:
+    """(doc_id, fp) and the long columns of also: fp is the fingerprint, or what `of` makes of a text, as a signed long."""
+    make = of or (lambda text: fingerprint(text, shingle_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [signed(fingerprint(t.as_py(), shingle_words)) for t in b.column(1)]
+            fp = [signed(make(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fp, pa.int64())], names=["doc_id", *also, "fp"])
 
     schema = ", ".join(f"{c} long" for c in ("doc_id", *also, "fp"))
@@ -153,14 +154,96 @@ def classes(fps: DataFrame, radius: int, bucket: int) -> DataFrame:
     return found.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = 4, bucket: int = 4096) -> DataFrame:
-    """docs with one row of each component, the first by doc_id (null last), then by a hash of the text."""
+def word_set(text: bytes | None) -> int:
+    """The fingerprint of the set of words of a text: it moves less than that of shingles when a word is changed."""
+    return fingerprint(b"\n".join(set((text or b"").translate(_LOWER).split())), 1)
+
+
+def _nearest(radius: int, most: int, block: int):
+    """For fingerprints of a bucket the nearest `most` others within radius; a bucket of more than `block` is taken in parts. Rows come sorted by
+    table, key and fingerprint, and buckets may run over batches."""
+
+    def pairs(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        edge = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]), True])
+        size = np.diff(edge)
+        two = edge[:-1][size == 2]
+        near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius
+        left, right = [fp[two][near]], [fp[two + 1][near]]
+        for begin, end in zip(edge[:-1][size > 2].tolist(), edge[1:][size > 2].tolist(), strict=True):
+            for at in range(begin, end, block):
+                x = fp[at : min(at + block, end)]
+                d = np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)).astype(np.int16)
+                np.fill_diagonal(d, 99)
+                k = min(most, len(x) - 1)
+                if k < 1:
+                    continue
+                other = np.argpartition(d, k - 1, axis=1)[:, :k]
+                row, col = np.nonzero(np.take_along_axis(d, other, 1) <= radius)
+                left.append(x[row])
+                right.append(x[other[row, col]])
+        return left, right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+
+        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+            left, right = (np.concatenate(x) for x in pairs(*cols))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)]
+            t, key, _ = held
+            last = int(np.flatnonzero((t != t[-1]) | (key != key[-1]))[-1]) + 1 if len(t) and ((t != t[-1]) | (key != key[-1])).any() else 0
+            if last:
+                yield out([h[:last] for h in held])
+                held = [h[last:] for h in held]
+        if len(held[0]):
+            yield out(held)
+
+    return run
+
+
+def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 5, most: int = 3, block: int = 512, broadcast_rows: int = 500_000) -> DataFrame:
+    """(a, b): pairs of hashes of different texts whose sets of shingles are similar (Jaccard). Candidates are texts whose word-set fingerprints are
+    within `radius` in a covering table, each with its nearest `most` there, and texts with one fingerprint; each is verified on the whole texts.
+
+    docs: s_text (a hash of the text) and text."""
+    words_fp = stored(fingerprints(docs.withColumn("doc_id", F.lit(0)), 1, ("s_text",), word_set).select("s_text", "fp").distinct(), "word-sets")
+    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(signed(m)).alias("m")) for i, m in enumerate(masks(radius))])
+    keyed = words_fp.select("fp").distinct().select("fp", F.explode(tables).alias("x")).select(F.col("x.t").cast("long").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
+    near = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(_nearest(radius, most, block), "a long, b long").distinct()
+    first = words_fp.groupBy("fp").agg(F.min("s_text").alias("text"))
+    of = lambda name: first.select(F.col("fp").alias(name), F.col("text").alias(f"t{name}"))
+    pairs = near.join(of("a"), "a").join(of("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    pairs = pairs.unionByName(words_fp.join(first, "fp").filter("s_text <> text").select(F.col("text").alias("a"), F.col("s_text").alias("b")))
+    pairs = stored(pairs, "candidates")
+    involved = stored(pairs.select(F.col("a").alias("s_text")).union(pairs.select("b")).distinct(), "involved")
+    involved = F.broadcast(involved) if involved.count() <= broadcast_rows else involved
+    w = docs.join(involved, "s_text", "left_semi").select("s_text", words(lower_ascii(F.col("text"))).alias("w"))
+    n = F.size("w")
+    full = F.transform(F.sequence(F.lit(0), F.greatest(n - shingle_words, F.lit(0))), lambda i: F.hash(*[F.get("w", i + j) for j in range(shingle_words)]))
+    sets = w.select("s_text", F.array_distinct(F.when(n >= shingle_words, full).otherwise(F.array(F.hash("w")))).alias("h"))
+    side = lambda name: sets.select(F.col("s_text").alias(name), F.col("h").alias(f"h{name}"))
+    shared = F.size(F.array_intersect("ha", "hb"))
+    ok = shared * 1000 >= round(similarity * 1000) * (F.size("ha") + F.size("hb") - shared)
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(ok).select("a", "b").distinct()
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = 2, similarity: float = 0.8, word_radius: int = 5) -> DataFrame:
+    """docs with one row of each group, the first by doc_id (null last), then by a hash of the text. Texts are linked if their shingle fingerprints
+    are within `radius`, or if they are similar."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = {"s_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "s_text": F.xxhash64(text)}
     keyed = docs.select(*[v.alias(k) for k, v in keys.items()], text.alias("text"))
     fps = stored(fingerprints(keyed.withColumn("doc_id", F.col("s_id")), shingle_words, ("s_text",)), "fingerprints")
-    named = classes(fps.select("doc_id", "fp"), radius, bucket).select("fp", "label")
-    first = fps.join(named, "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").alias("s_id"), "s_text")).alias("k")).select("k.*")
+    first_text = fps.groupBy("fp").agg(F.min("s_text").alias("text"))
+    by_fp = fps.select("fp", "s_text").distinct().join(first_text, "fp").filter("s_text <> text").select(F.col("text").alias("a"), F.col("s_text").alias("b"))
+    close = links(fps.select("fp").distinct(), radius)
+    of = lambda name: first_text.select(F.col("fp").alias(name), F.col("text").alias(f"t{name}"))
+    close = close.join(of("a"), "a").join(of("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    labels = components(by_fp.unionByName(close).unionByName(similar(keyed, shingle_words, similarity, word_radius))).withColumnRenamed("v", "s_text")
+    named = fps.select(F.col("doc_id").alias("s_id"), "s_text").join(labels, "s_text", "left").withColumn("label", F.coalesce("label", "s_text"))
+    first = named.groupBy("label").agg(F.min(F.struct("s_id", "s_text")).alias("k")).select("k.*")
     return docs.withColumns(keys).join(first, ["s_id", "s_text"], "left_semi").dropDuplicates(["s_id", "s_text"]).select(*docs.columns)
 
 

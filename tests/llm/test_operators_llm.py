@@ -260,13 +260,45 @@ def test_links_of_crowded_buckets(spark, radius, bucket):
 
 
 def test_keep_one(docs, rows, none):
-    got = simhash.keep_one(docs, 3, 2).collect()
+    got = simhash.keep_one(docs, 3, 2, similarity=2.0).collect()  # fingerprints alone
     label = reach(sorted({fingerprint(t, 3) for _, t, _ in rows}), 2)
     assert len(got) == len(set(label.values()))
     assert {label[fingerprint(x["text"], 3)] for x in got} == set(label.values())
     assert simhash.keep_one(none).columns == none.columns and simhash.keep_one(none).count() == 0
 
 
+def jaccard(a, b, size=5):
+    parts = []
+    for t in (a, b):
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        parts.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or {tuple(w)})
+    return len(parts[0] & parts[1]) / len(parts[0] | parts[1])
+
+
+def test_similar_texts(spark):
+    r = random.Random(8)
+    rows = []
+    for k in range(30):
+        w = [f"v{r.randrange(3000)}" for _ in range(r.randrange(60, 200))]
+        for c in range(8 if k == 0 else 3):
+            x = list(w)
+            for _ in range(c % 4):
+                x[r.randrange(len(x))] = f"new{r.randrange(9999)}"
+            rows.append((len(rows), " ".join(x), "en"))
+    rows += [(200, None, "en"), (201, "", "en"), (202, "a b", "en"), (203, "b a", "en")]
+    d = make(spark, rows).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("s_text"), F.coalesce("text", F.lit("")).alias("text"))
+    text = {x["s_text"]: x["text"] for x in d.collect()}
+    got = {frozenset((x["a"], x["b"])) for x in simhash.similar(d).collect()}
+    assert all(jaccard(*(text[v] for v in p)) >= 0.8 for p in got)
+    keys = sorted(text)
+    want = {frozenset((a, b)) for a in keys for b in keys if a < b and jaccard(text[a], text[b]) >= 0.8}
+    small = {frozenset((x["a"], x["b"])) for x in simhash.similar(d, block=2, most=1, broadcast_rows=0).collect()}
+    assert len(got) >= 0.8 * len(want) and small <= want
+    kept = {x["doc_id"] for x in simhash.keep_one(make(spark, rows)).collect()}
+    assert len([p for p in want if len({i for i, t, _ in rows if i in kept and t in {text[v] for v in p}}) > 1]) <= 0.1 * len(want)
+    assert simhash.similar(d.limit(0)).count() == 0
+
+
 # 5 toxicity
 
 

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def test_stages(spark):
-    from test_operators_llm import deduped, fingerprint, reach
+    from test_operators_llm import deduped, fingerprint, jaccard
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in cp.STAGES]
@@ -36,12 +36,17 @@ def test_stages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
     before, after = step["simhash_near_dedup"]
     rows = {r["doc_id"]: r["text"] for r in before.collect()}
-    label = reach(sorted({fingerprint(t, 5) for t in rows.values()}), 4)
-    first = {}
-    for i, t in rows.items():
-        g = label[fingerprint(t, 5)]
-        first[g] = min(first.get(g, i), i)
-    assert {r["doc_id"] for r in after.collect()} == set(first.values())
+    kept = {r["doc_id"] for r in after.collect()}
+    ids = sorted(rows)
+    near = lambda a, b: (fingerprint(rows[a], 5) ^ fingerprint(rows[b], 5)).bit_count() <= 2 or jaccard(rows[a], rows[b]) >= 0.8
+    linked = [(a, b) for a in ids for b in ids if a < b and near(a, b)]
+    group = {i: i for i in ids}
+    for _ in ids:
+        for a, b in linked:
+            group[a] = group[b] = min(group[a], group[b])
+    assert all(any(group[k] == group[i] and k < i for k in kept) for i in ids if i not in kept)  # only near duplicates go
+    assert not any(rows[a] == rows[b] and a in kept and b in kept for a, b in linked)
+    assert sum(a in kept and b in kept for a, b in linked) <= 0.1 * len(linked)
     before, after = step["benchmark_decontamination"]
     hit = {r["doc_id"] for r in decontamination.contaminated(before, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - hit
