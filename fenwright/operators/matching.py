@@ -96,3 +96,29 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, key: str, version: int) ->
     good = cache.filter(F.col("logic_version") == version)
     hits = wanted.join(good, key).filter(F.col("confident") | ~F.col("low_confidence"))
     return hits, wanted.join(hits.select(key).distinct(), key, "left_anti")
+
+
+def nearest_above(images: DataFrame, headings: DataFrame, key: list[str]) -> DataFrame:
+    """For each image (image_id, box) the heading (heading_id, head) of its page that ends above it, overlaps it sideways and is the lowest of
+    those; of equally low ones the greater id. Images without one have null."""
+    d = images.join(headings, key)
+    above = (F.col("head.y1") <= F.col("box.y0")) & (F.col("head.x0") < F.col("box.x1")) & (F.col("head.x1") > F.col("box.x0"))
+    best = d.filter(above).groupBy(*key, "image_id").agg(F.max_by("heading_id", F.struct("head.y1", "heading_id")).alias("heading_id"))
+    return images.select(*key, "image_id").join(best, [*key, "image_id"], "left")
+
+
+def spread(rows: DataFrame, slots: DataFrame, key: str, order: str, count: str) -> DataFrame:
+    """The k-th row of a key takes its k-th occurrence slot; slots: key, page and how often the key occurs there. Rows beyond the slots have
+    no page."""
+    one = slots.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))))
+    one = one.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("page", "_i"))).select(key, "page", "_k")
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).join(one, [key, "_k"], "left").drop("_k")
+
+
+def zip_islands(rows: DataFrame, value: str, segments: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Runs of equal neighbouring values, numbered from 1, with the segment of that number. segments: key, segment_no, item."""
+    w = ordered(key, [order])
+    before = F.lag(value).over(w)
+    starts = F.coalesce(F.col(value) != before, F.lit(True))
+    d = rows.withColumn("_s", starts).withColumn("segment_no", F.sum(F.when(F.col("_s"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return d.drop("_s").join(segments, [*key, "segment_no"], "left")
