@@ -39,3 +39,10 @@ def filename_date(x: Column, fallback_year: Column) -> Column:
 def source_date(header: Column, metadata: Column, filename: Column, year: Column, today: Column) -> Column:
     """ISO text of the first that is known: header, metadata, file name, today."""
     return F.date_format(F.coalesce(header_date(header), pdf_date(metadata), F.try_to_date(metadata), filename_date(filename, year), today), "yyyy-MM-dd")
+
+
+def quota_reset(now: Column, quota_zone: str = "America/Los_Angeles", shown_zone: str = "Europe/London") -> Column:
+    """The next midnight of the quota's zone, as local time of another one."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(quota_zone), now)
+    midnight = F.date_add(F.to_date(local), 1).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit(quota_zone), F.lit(shown_zone), midnight)

@@ -217,3 +217,30 @@ def join_distinct(items: Column, sep: str = ", ") -> Column:
     """Items joined, each once; case and spacing do not count, the first form stays."""
     keyed = F.transform(items, match_norm)
     return F.array_join(F.filter(F.transform(items, lambda s, i: F.when(F.array_position(keyed, match_norm(s)) == i + 1, ws_norm(s))), lambda s: s.isNotNull() & (s != "")), sep)
+
+
+def area_hint(filename: Column, provider: Column) -> Column:
+    """The last ` - ` segment of a file name that is neither the provider nor a date nor a word for a list."""
+    stem = F.regexp_replace(F.regexp_replace(filename, r"\.[A-Za-z0-9]+$", ""), r"(?i)^(fw|fwd|re)[_: ]+", "")
+    parts = F.reverse(F.transform(F.split(stem, " - "), lambda s: F.trim(s)))
+    plain = F.filter(parts, lambda s: (s != "") & (F.lower(s) != F.lower(provider)) & ~s.rlike("[0-9]") & ~F.lower(s).rlike("availab|list|update|schedule"))
+    return F.coalesce(F.get(plain, F.lit(0)), F.lit(""))
+
+
+def area_of_sheet(name: Column) -> Column:
+    """A sheet's name as an area, unless it is a default or a general one."""
+    t = ws_norm(name)
+    return F.when(F.lower(t).rlike("^(sheet ?[0-9]*|availability|listings?|data)$"), F.lit("")).otherwise(F.initcap(t))
+
+
+def desk_extras(x: Column) -> Column:
+    """What a desks cell says beyond a number: `30 + 3 MR` gives `3 MR`."""
+    return F.trim(F.regexp_extract(ws_norm(x), r"^[0-9]+(?:-[0-9]+)? *\+ *(.+)$", 1))
+
+
+def contact_block(lines: Column) -> Column:
+    """Names, e-mails and phones of a block of lines; a phone that is wrapped over two lines is put together."""
+    joined = F.regexp_replace(F.array_join(lines, "\n"), r"(\+?[0-9][0-9 ]{3,})\n([0-9 ]{3,})(?=\n|$)", "$1$2")
+    names = F.filter(F.split(joined, "\n"), lambda s: s.rlike(r"^[A-Z][a-zA-Z'.-]+(?: [A-Z][a-zA-Z'.-]+)+$"))
+    mails, phones = F.regexp_extract_all(joined, F.lit(f"({EMAIL})"), F.lit(1)), F.regexp_extract_all(joined, F.lit(f"({PHONE})"), F.lit(1))
+    return F.array_join(F.concat(F.slice(names, 1, 2), F.slice(mails, 1, 2), F.slice(phones, 1, 2)), ", ")

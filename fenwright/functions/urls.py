@@ -116,3 +116,18 @@ def asset_class(url: Column, anchor: Column, alt: Column, width: Column, height:
     for cond, name, confidence in reversed(branches):
         out = F.when(cond, F.struct(F.lit(name).alias("class"), F.lit(confidence).alias("confidence"))).otherwise(out)
     return out
+
+
+def tracker_target(u: Column) -> Column:
+    """The address that a click tracker's query hides, encoded up to four times, as a plain value or in JSON under `url` or `href`; else empty."""
+    q = query(u)
+    for _ in range(4):
+        q = F.coalesce(F.try_url_decode(q), q)
+    plain = F.regexp_extract(q, r"(?i)(?:^|[=&])(https?://[^\s\"'&<>\\]+)", 1)
+    inside = F.coalesce(*[F.get_json_object(F.regexp_extract(q, r"(\{.*\})", 1), f"$.{k}") for k in ("url", "href")], F.lit(""))
+    return F.when(inside.rlike("^https?://"), inside).otherwise(plain)
+
+
+def promoted(current: Column, new: Column) -> Column:
+    """The better of two addresses for a document field; the present one on ties."""
+    return F.when(document_rank(new) > document_rank(F.coalesce(current, F.lit(""))), new).otherwise(F.coalesce(current, F.lit("")))

@@ -119,3 +119,17 @@ def shown_column(field: str) -> Column:
 def export(listings: DataFrame) -> DataFrame:
     """The display columns in order."""
     return listings.select(*[shown_column(f).alias(name) for name, f in COLUMNS])
+
+
+def final_photos(assets: DataFrame, verdicts: DataFrame, listings: DataFrame, most: int = 8) -> DataFrame:
+    """Per listing its photos as an array and the reasons for those left out. A photo must be usable by its verdict (url, verdict, content_hash),
+    must not be the listing's plan, and counts once by content. assets: doc_id, ordinal, place, url."""
+    key = ["doc_id", "ordinal"]
+    d = assets.join(verdicts, "url", "left").join(listings.select(*key, "floor_plan_url"), key)
+    same_plan = urls.canonical(F.col("url")) == urls.canonical(F.col("floor_plan_url"))
+    d = d.withColumn("reason", F.when(same_plan, "plan").when(F.col("verdict").isNull(), "not checked").when(F.col("verdict") != "ok", F.col("verdict")))
+    once = F.row_number().over(Window.partitionBy(*key, F.coalesce("reason", F.lit("ok")), F.coalesce("content_hash", "url")).orderBy("place"))
+    d = d.withColumn("reason", F.when(F.col("reason").isNull() & (once > 1), "repeated").otherwise(F.col("reason")))
+    ordered = lambda cond, what: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("place", what.alias("x"))))), lambda s: s["x"])
+    g = d.groupBy(*key).agg(ordered(F.col("reason").isNull(), F.col("url")).alias("photos"), ordered(F.col("reason").isNotNull(), F.concat_ws(": ", "url", "reason")).alias("left_out"))
+    return g.withColumn("photos", F.slice("photos", 1, most)).withColumn("high_res", F.when(F.size("photos") == 1, F.get("photos", F.lit(0))).when(F.size("photos") > 1, F.lit("gallery")).otherwise(""))

@@ -122,3 +122,17 @@ def zip_islands(rows: DataFrame, value: str, segments: DataFrame, key: list[str]
     starts = F.coalesce(F.col(value) != before, F.lit(True))
     d = rows.withColumn("_s", starts).withColumn("segment_no", F.sum(F.when(F.col("_s"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return d.drop("_s").join(segments, [*key, "segment_no"], "left")
+
+
+def nested_note(rows: DataFrame, notes: DataFrame, key: list[str], group: str, item: str) -> DataFrame:
+    """The first note of the row's document whose group is part of the row's, and whose item is part of the row's item. notes: key, g, i, note,
+    ordinal."""
+    hit = F.contains(F.lower(F.col(group)), F.lower(F.col("g"))) & F.contains(F.lower(F.col(item)), F.lower(F.col("i"))) & (F.col("g") != "")
+    best = rows.select(*key, group, item).distinct().join(notes, key).filter(hit).groupBy(*key, group, item).agg(F.min_by("note", "ordinal").alias("note"))
+    return rows.join(best, [*key, group, item], "left").withColumn("note", F.coalesce("note", F.lit("")))
+
+
+def invalidated(cache: DataFrame, key: str, part: str, dry_run: bool = False) -> DataFrame:
+    """The cache without the entries whose key has the part; in a dry run those entries."""
+    hit = F.contains(F.lower(F.col(key)), F.lit(part.lower()))
+    return cache.filter(hit) if dry_run else cache.filter(~hit)
