@@ -23,9 +23,10 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heading_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every box the nearest one above it on its page; a page holds the boxes of a label out of fifty."""
     b = _boxes(spark, sf_dir)
-    images = b.filter("vec_id % 2 = 0").select("label", "block", F.col("vec_id").alias("image_id"), "box")
-    headings = b.filter("vec_id % 2 = 1").select("label", "block", F.col("vec_id").alias("heading_id"), F.col("box").alias("head"))
+    images = b.select("label", "block", F.col("vec_id").alias("image_id"), "box")
+    headings = b.select("label", "block", F.col("vec_id").alias("heading_id"), F.col("box").alias("head"))
     return matching.nearest_above(images, headings, ["label", "block"]).select("image_id", "heading_id")
 
 
@@ -41,7 +42,7 @@ def item_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(*TIME))
     e = e.withColumn("place", place)
-    segments = e.filter("place <= 20").select("user_id", F.col("place").cast("long").alias("segment_no"), F.col("event_id").alias("item"))
+    segments = e.select("user_id", F.col("place").cast("long").alias("segment_no"), F.col("event_id").alias("item"))
     return matching.zip_islands(e.select("user_id", "event_id", "event_type", "place"), "event_type", segments, USER, "place").select("event_id", "segment_no", "item")
 
 
@@ -117,14 +118,14 @@ SQL = {
 g AS (SELECT user_id, min(m) FILTER (found AND m < 3) AS ok, least(max(m), 3) AS n FROM m GROUP BY user_id)
 SELECT user_id, CASE WHEN ok IS NOT NULL THEN 'found' WHEN n >= 3 THEN 'final' ELSE 'flaky' END AS status, coalesce(ok, n)::INTEGER AS misses FROM g""",
     "heading_above": f"""WITH {_BOX}, p AS (SELECT i.vec_id AS image_id, h.vec_id AS heading_id, row_number() OVER (PARTITION BY i.vec_id ORDER BY h.y1 DESC, h.vec_id DESC) AS k FROM b i JOIN b h USING (label, block)
-  WHERE i.vec_id % 2 = 0 AND h.vec_id % 2 = 1 AND h.y1 <= i.y0 AND h.x0 < i.x1 AND h.x1 > i.x0)
-SELECT b.vec_id AS image_id, p.heading_id FROM b LEFT JOIN p ON p.image_id = b.vec_id AND p.k = 1 WHERE b.vec_id % 2 = 0""",
+  WHERE h.y1 <= i.y0 AND h.x0 < i.x1 AND h.x1 > i.x0)
+SELECT b.vec_id AS image_id, p.heading_id FROM b LEFT JOIN p ON p.image_id = b.vec_id AND p.k = 1""",
     "page_occurrences": """WITH o AS (SELECT o_orderkey, o_custkey, month(o_orderdate) AS page FROM orders), s AS (SELECT o_custkey, page, unnest(range(least(count(*), 2))) AS i FROM o GROUP BY o_custkey, page),
 k AS (SELECT o_custkey, page, row_number() OVER (PARTITION BY o_custkey ORDER BY page, i) AS k FROM s), r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM o)
 SELECT o_orderkey, page FROM r LEFT JOIN k USING (o_custkey, k)""",
     "item_islands": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events), l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY place) AS b FROM e),
 s AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT AS segment_no FROM l)
-SELECT s.event_id, s.segment_no, i.event_id AS item FROM s LEFT JOIN e i ON i.user_id = s.user_id AND i.place = s.segment_no AND i.place <= 20""",
+SELECT s.event_id, s.segment_no, i.event_id AS item FROM s LEFT JOIN e i ON i.user_id = s.user_id AND i.place = s.segment_no""",
     "identity_gate": """SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 4 <> c_custkey % 3 THEN 'HARD_CONFLICT'
   WHEN c_custkey % 2 = 0 AND (c_custkey % 5 <> 0 OR c_custkey % 7 <> 0) THEN 'MATCH' WHEN c_custkey % 2 = 0 OR c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN 'PROBABLE_MATCH' ELSE 'AMBIGUOUS' END AS decision FROM customer""",
     "address_scores": """SELECT c_custkey, (CASE WHEN c_custkey % 9 = c_custkey % 7 THEN 45 ELSE 0 END + CASE WHEN c_custkey % 4 <> 0 THEN 40 ELSE 0 END + 4 + CASE WHEN c_custkey % 3 = 0 THEN 10 ELSE -5 END)::BIGINT AS score,

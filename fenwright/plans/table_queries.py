@@ -171,7 +171,7 @@ def tiered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spatial_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each rectangle of a label the one of its block that covers most of it, of at least a half; the later on ties."""
+    """For each rectangle the one of its page (the boxes of a label out of fifty) that covers most of it, of at least a half; the later on ties."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 50).alias("block"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)])
     box = F.struct(F.least("e0", "e1").alias("x0"), F.least("e2", "e3").alias("y0"), F.greatest("e0", "e1").alias("x1"), F.greatest("e2", "e3").alias("y1"))
     a = e.select("vec_id", "label", "block", box.alias("a"))
