@@ -9,21 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fenwright.llm import decontamination, lines, packing, simhash, toxicity
-from fenwright.llm.common import stored, table
+from fenwright.llm.common import set_aside, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier calls toxic."""
     model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    own, back = set_aside(docs, ["score", "predicted"])
+    return toxicity.score(own, model).filter("predicted = 0").drop("score", "predicted").withColumnsRenamed(back).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later copies of runs of two lines or more; n_chars follows the text."""
-    out = lines.dedup_lines(docs, min_lines=2, report=False)
+    own, back = set_aside(docs, ["n_lines", "n_removed", "longest_run"])
+    out = lines.dedup_lines(own, min_lines=2, report=False).drop("n_lines", "n_removed", "longest_run")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.withColumnsRenamed(back).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

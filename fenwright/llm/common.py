@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns that bear one of the names renamed, and the way back: an operator's own names can't meet those of its input."""
+    own = {n.lower() for n in names}
+    back = {f"own_{uuid.uuid4().hex[:8]}_{c}": c for c in df.columns if c.lower() in own}
+    return df.withColumnsRenamed({c: k for k, c in back.items()}), back
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")

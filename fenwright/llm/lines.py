@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, table
+from .common import checkpointed, set_aside, stored, table
 
 _BLANK = r"^[\x20\x09-\x0D]*$"
 _KEY = ["f_id", "f_text"]
@@ -90,6 +90,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, report: bool = True) -> t
 def dedup_lines(docs: DataFrame, min_lines: int = 2, report: bool = True) -> DataFrame:
     """docs with the text that is left, and the columns n_lines, n_removed and longest_run: the lines with a word, those
     deleted, and the largest power of two of lines of a repeated run in the document (0 without report)."""
+    docs, back = set_aside(docs, [*_KEY, "gone"])
     places, later, longest = repeated_runs(docs, min_lines, report)
     gone = later.select(*_KEY, F.explode(F.sequence("u", F.col("u") + min_lines - 1)).alias("u")).distinct()
     ranges = places.join(gone, [*_KEY, "u"]).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_removed"), F.flatten(F.collect_list(F.sequence("i", F.col("j") - 1))).alias("gone"))
@@ -104,7 +105,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, report: bool = True) -> Dat
     raw = _lines(F.col("text"))
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), F.col("gone")), lambda i: F.get(raw, i)), "\n")
     out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
-    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in mine}).drop(*_KEY, "gone")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in mine}).drop(*_KEY, "gone").withColumnsRenamed(back)
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

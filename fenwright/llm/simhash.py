@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_ascii, stored, table, words
+from .common import checkpointed, lower_ascii, set_aside, stored, table, words
 
 BITS = 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -232,6 +232,8 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, ra
 def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = 2, similarity: float = 0.8, word_radius: int = 5) -> DataFrame:
     """docs with one row of each group, the first by doc_id (null last), then by a hash of the text. Texts are linked if their shingle fingerprints
     are within `radius`, or if they are similar."""
+    names = docs.columns
+    docs, back = set_aside(docs, ["s_id", "s_text"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = {"s_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "s_text": F.xxhash64(text)}
     keyed = docs.select(*[v.alias(k) for k, v in keys.items()], text.alias("text"))
@@ -244,7 +246,7 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = 2, similarit
     labels = components(by_fp.unionByName(close).unionByName(similar(keyed, shingle_words, similarity, word_radius))).withColumnRenamed("v", "s_text")
     named = fps.select(F.col("doc_id").alias("s_id"), "s_text").join(labels, "s_text", "left").withColumn("label", F.coalesce("label", "s_text"))
     first = named.groupBy("label").agg(F.min(F.struct("s_id", "s_text")).alias("k")).select("k.*")
-    return docs.withColumns(keys).join(first, ["s_id", "s_text"], "left_semi").dropDuplicates(["s_id", "s_text"]).select(*docs.columns)
+    return docs.withColumns(keys).join(first, ["s_id", "s_text"], "left_semi").dropDuplicates(["s_id", "s_text"]).drop("s_id", "s_text").withColumnsRenamed(back).select(*names)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, bucket: int = 64) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, set_aside, table
 
 #: The rules of the registered query.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -44,6 +44,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     """urls with the columns host, path, rule and verdict added (they replace columns of these names).
 
     rules: columns host, path, verdict ("allow" or "block"). default: the verdict where no rule fits."""
+    names, kept = ["host", "path", "rule", "verdict"], urls.columns
+    urls, back = set_aside(urls, ["u_url", "best", *(n for n in names if n != url)])
     # Rules, one per host and path; block sorts after allow.
     r = rules.select(lower_ascii(F.col("host")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict"))
     r = r.filter("r_host <> ''").groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))
@@ -67,7 +69,7 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     best = hits.groupBy("u_url").agg(F.min_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), rank).alias("best"))
     out = urls.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     out = out.join(best, F.col(url) == F.col("u_url"), "left")
-    return out.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.r_verdict", F.lit(default))).drop("u_url", "best")
+    return out.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.r_verdict", F.lit(default))).drop("u_url", "best").withColumnsRenamed({k: c for k, c in back.items() if c.lower() not in names}).select(*[c for c in kept if c.lower() not in names or c == url], *names)
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

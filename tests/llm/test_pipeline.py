@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from fenwright.llm import decontamination, packing, queries, tokens
@@ -58,6 +59,16 @@ def test_stages(spark):
     assert total == {r["doc_id"]: len(encode(r["text"] or "")) + 1 for r in before.collect()}
 
 
+def test_columns_with_the_operators_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    names = ["n_lines", "gone", "score", "predicted", "s_id", "f_text", "Label", "best"]
+    extra = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, extra, SF)
+        assert out.columns == extra.columns, name
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names), name
+
+
 def test_run(spark):
     assert cp.run(spark, SF).count() > 0
 
