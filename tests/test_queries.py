@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 import pytest
 
 from fenwright.plans import registry
@@ -23,11 +24,10 @@ def duck():
 
 
 def rows(df):
-    df = df[sorted(df.columns)]
-    out = []
-    for r in df.itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else str(v) for v in r))
-    return sorted(out, key=str)
+    """Rows as sorted tuples: missing values are None, whole floats are integers."""
+    df = df[sorted(df.columns)].astype(object)
+    one = lambda v: None if v is None or v is pd.NA or v != v else int(v) if isinstance(v, float) and v == int(v) else round(v, 6) if isinstance(v, float) else str(v)
+    return sorted((tuple(str(one(v)) for v in r) for r in df.values.tolist()), key=str)
 
 
 @pytest.mark.parametrize("name", list(registry.queries()))
