@@ -117,3 +117,40 @@ def judge(docs: DataFrame, min_words: int = 100, min_chars: int = 500, max_char:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("char_divergence", "word_divergence", "lang")
+
+
+def _sql_lists() -> str:
+    cases = " ".join(f"WHEN '{lang}' THEN {listed.split()}" for lang, listed in COMMON.items())
+    return f"CASE lang {cases} ELSE {_ALL} END"
+
+
+def _sql_divergence(p: str, q: str) -> str:
+    terms = f"list_sum(list_transform(list_zip({p}, {q}), lambda z: (CASE WHEN z[1] > 0 THEN z[1] / greatest(list_sum({p}), 1) * log2(z[1] / greatest(list_sum({p}), 1) / ((z[1] / greatest(list_sum({p}), 1) + z[2] / greatest(list_sum({q}), 1)) / 2)) ELSE 0 END"
+    return f"{terms} + CASE WHEN z[2] > 0 THEN z[2] / greatest(list_sum({q}), 1) * log2(z[2] / greatest(list_sum({q}), 1) / ((z[1] / greatest(list_sum({p}), 1) + z[2] / greatest(list_sum({q}), 1)) / 2)) ELSE 0 END) / 2))"
+
+
+OP6_SQL = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(lang, '') AS known, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, {_sql_lists()} AS common FROM documents),
+g AS (SELECT r, i, md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+gg AS (SELECT r, i, count(*) OVER (PARTITION BY r, h) AS n FROM g),
+rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM gg WHERE n > 1) GROUP BY r),
+f AS (
+  SELECT t.*, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(str_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(rep.n, 0) AS n_repeat_words, length(t) AS chars,
+    length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')) AS letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS upper, length(regexp_replace(t, '\P{{Nd}}+', '', 'g')) AS digits,
+    length(regexp_replace(t, '[^.,;:!?''"()-]+', '', 'g')) AS marks, list_transform(common, lambda c: len(list_filter(w, lambda x: lower(x) = c))) AS counts
+  FROM t LEFT JOIN rep USING (r)),
+s AS (
+  SELECT *, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    list_transform([letters - upper, upper, digits, marks, chars - word_chars, word_chars - letters - digits - marks], lambda x: floor(x * 1000000 / greatest(chars, 1))::BIGINT) AS ch,
+    list_concat(list_transform(counts, lambda x: floor(x * 1000000 / greatest(n_words, 1))::BIGINT), [floor((n_words - coalesce(list_sum(counts), 0)) * 1000000 / greatest(n_words, 1))::BIGINT]) AS wh
+  FROM f),
+cm AS (SELECT known, list(x ORDER BY k) AS cm FROM (SELECT known, k, sum(x)::DOUBLE AS x FROM (SELECT known, unnest(ch) AS x, unnest(range(len(ch))) AS k FROM s WHERE NOT base_failed) GROUP BY known, k) GROUP BY known),
+wm AS (SELECT known, list(x ORDER BY k) AS wm FROM (SELECT known, k, sum(x)::DOUBLE AS x FROM (SELECT known, unnest(wh) AS x, unnest(range(len(wh))) AS k FROM s WHERE NOT base_failed) GROUP BY known, k) GROUP BY known),
+d AS (
+  SELECT s.*, CASE WHEN chars >= 500 AND cm IS NOT NULL THEN {_sql_divergence("list_transform(ch, lambda v: v::DOUBLE)", "cm")} END AS cd, CASE WHEN n_words >= 100 AND wm IS NOT NULL THEN {_sql_divergence("list_transform(wh, lambda v: v::DOUBLE)", "wm")} END AS wd
+  FROM s LEFT JOIN cm USING (known) LEFT JOIN wm USING (known))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(cd > 0.07, false) OR coalesce(wd > 0.08, false)) AS kept FROM d
+"""

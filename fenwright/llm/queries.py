@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_urls": urls.OP2_SQL, "op3_lines": lines.OP3_SQL, "op10_decontamination": decontamination.OP10_SQL}
+    return {
+        "op2_urls": urls.OP2_SQL,
+        "op3_lines": lines.OP3_SQL,
+        "op6_quality": quality.OP6_SQL,
+        "op7_chat": chat.OP7_SQL,
+        "op9_substrings": substrings.OP9_SQL,
+        "op10_decontamination": decontamination.OP10_SQL,
+    }

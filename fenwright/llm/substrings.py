@@ -286,3 +286,17 @@ def remove_repeats(docs: DataFrame, window: int = 35, prefix: int = 10, group: i
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM w)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM s),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM c WHERE n > 1),
+x AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM w),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY k) AS t FROM x ANTI JOIN gone USING (r, k) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""

@@ -78,7 +78,7 @@ def test_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got = queries.queries()[name](spark, SF).toPandas()
     want = c.execute(queries.oracle_sql()[name]).df()
