@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ FLOOR_WORDS = {"basement": "-1", "lower ground": "-1", "ground": "0", "first": "
 FILLER = ("", "n/a", "na", "-", "none", "tbc", "0")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def empty_as_null(x: Column) -> Column:
     return F.when(x != "", x)
 
@@ -75,12 +82,17 @@ def first_words(x: Column, n: int) -> Column:
 def cap_prose(x: Column, max_words: int = 100) -> Column:
     """At most max_words words: whole if short enough, else up to the last full sentence or item within them (the longer
     one), else cut with `...`."""
-    t = ws_norm(x)
-    head = first_words(x, max_words)
-    sentence = F.regexp_extract(head, r"^(.*[.!?])(?: .*)?$", 1)
-    item = F.trim(F.regexp_extract(head, r"^(.*);[^;]*$", 1))
-    best = F.greatest(F.struct(F.size(F.split(sentence, " ")).alias("w"), F.length(sentence).alias("n"), sentence.alias("t")), F.struct(F.size(F.split(item, " ")).alias("w"), F.length(item).alias("n"), item.alias("t")))["t"]
-    return F.when(word_count(x) <= max_words, t).when(best != "", best).otherwise(F.concat(head, F.lit("...")))
+    def cut(w: Column) -> Column:
+        def best_of(head: Column) -> Column:
+            sentence = F.regexp_extract(head, r"^(.*[.!?])(?: .*)?$", 1)
+            item = F.trim(F.regexp_extract(head, r"^(.*);[^;]*$", 1))
+            size = lambda c: F.struct(F.size(F.split(c, " ")).alias("w"), F.length(c).alias("n"), c.alias("t"))
+            best = F.greatest(size(sentence), size(item))["t"]
+            return F.when(best != "", best).otherwise(F.concat(head, F.lit("...")))
+
+        return F.when(F.size(w) <= max_words, F.array_join(w, " ")).otherwise(let(F.array_join(F.slice(w, 1, max_words), " "), best_of))
+
+    return let(F.split(ws_norm(x), " "), cut)
 
 
 def kept_items(x: Column, max_words: int = 100, max_items: int = 12, sep: str = ";") -> Column:
@@ -215,8 +227,10 @@ def wrapped_lines(x: Column, width: int) -> Column:
 
 def join_distinct(items: Column, sep: str = ", ") -> Column:
     """Items joined, each once; case and spacing do not count, the first form stays."""
-    keyed = F.transform(items, match_norm)
-    return F.array_join(F.filter(F.transform(items, lambda s, i: F.when(F.array_position(keyed, match_norm(s)) == i + 1, ws_norm(s))), lambda s: s.isNotNull() & (s != "")), sep)
+    def pick(keyed: Column) -> Column:
+        return F.transform(F.filter(F.array_distinct(keyed), lambda k: k != ""), lambda k: ws_norm(F.get(items, F.array_position(keyed, k).cast("int") - 1)))
+
+    return F.array_join(let(F.transform(items, match_norm), pick), sep)
 
 
 def area_hint(filename: Column, provider: Column) -> Column:
