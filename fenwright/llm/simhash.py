@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_ascii, set_aside, stored, table, words
+from .common import checkpointed, set_aside, stored, table
 
 BITS = 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -154,82 +154,116 @@ def classes(fps: DataFrame, radius: int, bucket: int) -> DataFrame:
     return found.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
-def word_set(text: bytes | None) -> int:
-    """The fingerprint of the set of words of a text: it moves less than that of shingles when a word is changed."""
-    return fingerprint(b"\n".join(set((text or b"").translate(_LOWER).split())), 1)
-
-
-def _nearest(radius: int, most: int, block: int):
-    """For fingerprints of a bucket the nearest `most` others within radius; a bucket of more than `block` is taken in parts. Rows come sorted by
-    table, key and fingerprint, and buckets may run over batches."""
-
-    def pairs(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        edge = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]), True])
-        size = np.diff(edge)
-        two = edge[:-1][size == 2]
-        near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius
-        left, right = [fp[two][near]], [fp[two + 1][near]]
-        for begin, end in zip(edge[:-1][size > 2].tolist(), edge[1:][size > 2].tolist(), strict=True):
-            for at in range(begin, end, block):
-                x = fp[at : min(at + block, end)]
-                d = np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)).astype(np.int16)
-                np.fill_diagonal(d, 99)
-                k = min(most, len(x) - 1)
-                if k < 1:
-                    continue
-                other = np.argpartition(d, k - 1, axis=1)[:, :k]
-                row, col = np.nonzero(np.take_along_axis(d, other, 1) <= radius)
-                left.append(x[row])
-                right.append(x[other[row, col]])
-        return left, right
+def shingle_set(text: bytes | None, shingle_words: int = 5) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
+    import xxhash
+
+    w = (text or b"").translate(_LOWER).split()
+    ids = np.fromiter(map(xxhash.xxh64_intdigest, w), np.dtype("<u8"), len(w))
+    h = np.full(max(len(w) - shingle_words + 1, 1), min(len(w), shingle_words), np.uint64)
+    for j in range(min(len(w), shingle_words)):
+        h = (h ^ ids[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.unique(h.view(np.int64))
+
+
+def _shingle_counts(shingle_words: int):
+    """(h, c): the shingles of a batch of texts and in how many of them each is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-
-        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            left, right = (np.concatenate(x) for x in pairs(*cols))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
-
-        for batch in batches:
-            held = [np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)]
-            t, key, _ = held
-            last = int(np.flatnonzero((t != t[-1]) | (key != key[-1]))[-1]) + 1 if len(t) and ((t != t[-1]) | (key != key[-1])).any() else 0
-            if last:
-                yield out([h[:last] for h in held])
-                held = [h[last:] for h in held]
-        if len(held[0]):
-            yield out(held)
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle_words) for t in b.column(1)]
+            h, c = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64))], names=["h", "c"])
 
     return run
 
 
-def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 5, most: int = 3, block: int = 512, broadcast_rows: int = 500_000) -> DataFrame:
-    """(a, b): pairs of hashes of different texts whose sets of shingles are similar (Jaccard). Candidates are texts whose word-set fingerprints are
-    within `radius` in a covering table, each with its nearest `most` there, and texts with one fingerprint; each is verified on the whole texts.
+def _prefixes(shingle_words: int, per_mille: int, known: np.ndarray, level: np.ndarray):
+    """(s_text, size, odd, keys): keys are so many of a text's shingles, the rarest by level and then the smallest, that a similar text's keys hold
+    one of them; odd is the number of its shingles that are not known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, odd, keys = [], [], []
+            for t in b.column(1):
+                h = shingle_set(t.as_py(), shingle_words)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                of = np.where(known[at] == h, level[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                n = len(h)
+                keys.append(h[np.lexsort((h, of))][: max(n + (-per_mille * n) // 1000 + 1, 0)])
+                sizes.append(n)
+                odd.append(int((of == 0).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(odd, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["s_text", "size", "odd", "keys"])
+
+    return run
+
+
+def _sets(shingle_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle_words) for t in b.column(1)], pa.list_(pa.int64()))], names=["s_text", "h"])
+
+    return run
+
+
+def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most: int = 3, block: int = 32, broadcast_rows: int = 500_000, ordered_texts: int = 20_000) -> DataFrame:
+    """(a, b): pairs of hashes of different texts whose sets of shingles are similar (Jaccard); their components are those of all similar pairs.
+
+    The search is exact. With the shingles in one global order, similar sets share one of their first n - ceil(similarity * n) + 1 shingles. Texts
+    that share one are a bucket. A bucket of at most `block` texts gives all its pairs. In a larger one all texts are held against one of them,
+    at first the one with the fewest rare shingles, up to `most` times, so long as the bucket's texts are in several components; then every
+    pair of texts in different components is tested. The order, rare shingles first, is counted on about `ordered_texts` texts, which bears on
+    the size of buckets only.
 
     docs: s_text (a hash of the text) and text."""
-    words_fp = stored(fingerprints(docs.withColumn("doc_id", F.lit(0)), 1, ("s_text",), word_set).select("s_text", "fp").distinct(), "word-sets")
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(signed(m)).alias("m")) for i, m in enumerate(masks(radius))])
-    keyed = words_fp.select("fp").distinct().select("fp", F.explode(tables).alias("x")).select(F.col("x.t").cast("long").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
-    near = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(_nearest(radius, most, block), "a long, b long").distinct()
-    first = words_fp.groupBy("fp").agg(F.min("s_text").alias("text"))
-    of = lambda name: first.select(F.col("fp").alias(name), F.col("text").alias(f"t{name}"))
-    pairs = near.join(of("a"), "a").join(of("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-    pairs = pairs.unionByName(words_fp.join(first, "fp").filter("s_text <> text").select(F.col("text").alias("a"), F.col("s_text").alias("b")))
-    pairs = stored(pairs, "candidates")
-    involved = stored(pairs.select(F.col("a").alias("s_text")).union(pairs.select("b")).distinct(), "involved")
-    involved = F.broadcast(involved) if involved.count() <= broadcast_rows else involved
-    w = docs.join(involved, "s_text", "left_semi").select("s_text", words(lower_ascii(F.col("text"))).alias("w"))
-    n = F.size("w")
-    full = F.transform(F.sequence(F.lit(0), F.greatest(n - shingle_words, F.lit(0))), lambda i: F.hash(*[F.get("w", i + j) for j in range(shingle_words)]))
-    sets = w.select("s_text", F.array_distinct(F.when(n >= shingle_words, full).otherwise(F.array(F.hash("w")))).alias("h"))
-    side = lambda name: sets.select(F.col("s_text").alias(name), F.col("h").alias(f"h{name}"))
-    shared = F.size(F.array_intersect("ha", "hb"))
-    ok = shared * 1000 >= round(similarity * 1000) * (F.size("ha") + F.size("hb") - shared)
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(ok).select("a", "b").distinct()
-
-
-def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = 2, similarity: float = 0.8, word_radius: int = 5) -> DataFrame:
+    per_mille = round(similarity * 1000)
+    raw = docs.select("s_text", F.col("text").cast("string").cast("binary").alias("text"))
+    part = max(1, docs.count() // ordered_texts)
+    counted = raw.filter(F.pmod(F.xxhash64("s_text"), F.lit(part)) == 0).dropDuplicates(["s_text"]).mapInArrow(_shingle_counts(shingle_words), "h long, c long")
+    known = counted.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").orderBy(F.desc("c"), "h").limit(broadcast_rows).toPandas().sort_values("h")
+    level = 1 + np.log2(known["c"].to_numpy(np.float64)).astype(np.int64)
+    texts = raw.mapInArrow(_prefixes(shingle_words, per_mille, known["h"].to_numpy(np.int64), level), "s_text long, size long, odd long, keys array<long>")
+    texts = stored(texts.groupBy("s_text").agg(*[F.first(c).alias(c) for c in ("size", "odd", "keys")]), "prefixes")
+    keyed = texts.select("s_text", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(keyed.join(sizes, "key").join(texts.drop("keys"), "s_text"), "buckets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        involved = stored(pairs.select(F.col("a").alias("s_text")).union(pairs.select("b")).distinct(), "involved")
+        involved = F.broadcast(involved) if involved.count() <= broadcast_rows else involved
+        sets = raw.join(involved, "s_text", "left_semi").mapInArrow(_sets(shingle_words), "s_text long, h array<long>")
+        sets = sets.groupBy("s_text").agg(F.first("h").alias("h"))
+        side = lambda name: sets.select(F.col("s_text").alias(name), F.col("h").alias(f"h{name}"))
+        both = F.size(F.array_intersect("ha", "hb"))
+        ok = both * 1000 >= per_mille * (F.size("ha") + F.size("hb") - both)
+        return stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(ok).select("a", "b"), "similar")
+
+    def crossed(rows: DataFrame, order: str) -> DataFrame:
+        left, right = (rows.select("key", F.col("s_text").alias(x), F.col("size").alias(f"n{x}"), F.col(order).alias(f"o{x}")) for x in "ab")
+        fits = F.least("na", "nb") * 1000 >= per_mille * F.greatest("na", "nb")
+        return left.join(right, "key").filter((F.col("oa") < F.col("ob")) & fits)
+
+    edges = verified(crossed(shared.filter(F.col("n") <= block), "s_text"))
+    hot = shared.filter(F.col("n") > block)
+    if hot.isEmpty():
+        return edges
+    for turn in range(most + 1):
+        labels = components(edges).withColumnRenamed("v", "s_text")
+        named = hot.join(labels, "s_text", "left").withColumn("label", F.coalesce("label", "s_text"))
+        rank = F.struct("odd" if turn == 0 else F.lit(0), F.xxhash64("s_text", F.lit(turn)))
+        one = F.min_by(F.struct("s_text", "label"), rank).alias("one")
+        still = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("last"), one).filter("least < last").select("key", "one")
+        rest = stored(named.join(still, "key"), "unlinked")
+        if rest.isEmpty():
+            break
+        pairs = crossed(rest, "label") if turn == most else rest.filter("label <> one.label").select(F.col("one.s_text").alias("a"), F.col("s_text").alias("b"))
+        edges = edges.unionByName(verified(pairs))
+    return edges
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group, the first by doc_id (null last), then by a hash of the text. Texts are linked if their shingle fingerprints
     are within `radius`, or if they are similar."""
     names = docs.columns
@@ -243,7 +277,7 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = 2, similarit
     close = links(fps.select("fp").distinct(), radius)
     of = lambda name: first_text.select(F.col("fp").alias(name), F.col("text").alias(f"t{name}"))
     close = close.join(of("a"), "a").join(of("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-    labels = components(by_fp.unionByName(close).unionByName(similar(keyed, shingle_words, similarity, word_radius))).withColumnRenamed("v", "s_text")
+    labels = components(by_fp.unionByName(close).unionByName(similar(keyed, shingle_words, similarity))).withColumnRenamed("v", "s_text")
     named = fps.select(F.col("doc_id").alias("s_id"), "s_text").join(labels, "s_text", "left").withColumn("label", F.coalesce("label", "s_text"))
     first = named.groupBy("label").agg(F.min(F.struct("s_id", "s_text")).alias("k")).select("k.*")
     return docs.withColumns(keys).join(first, ["s_id", "s_text"], "left_semi").dropDuplicates(["s_id", "s_text"]).drop("s_id", "s_text").withColumnsRenamed(back).select(*names)

@@ -299,6 +299,40 @@ def test_similar_texts(spark):
     assert simhash.similar(d.limit(0)).count() == 0
 
 
+def similar_groups(spark, texts, **how):
+    """The groups that similar() links, and those of brute force."""
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "s_text long, text string").repartition(3)
+    label = {x["v"]: x["label"] for x in simhash.components(simhash.similar(d, **how)).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    number = {}
+    m = np.zeros((len(texts), len({g for s in sets for g in s})), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number.setdefault(g, len(number)) for g in s]] = 1
+    both, n = m @ m.T, m.sum(1)
+    near = both * 10 >= 8 * (n[:, None] + n[None, :] - both)
+    want = np.arange(len(texts))
+    while True:
+        low = np.where(near, want[None, :], len(texts)).min(1)
+        if (low == want).all():
+            break
+        want = low
+    assert {i: label.get(i, i) for i in range(len(texts))} == dict(enumerate(want.tolist()))
+    return len(set(want.tolist()))
+
+
+def variant(r, w, edits):
+    x = list(w)
+    for _ in range(edits):
+        x[r.randrange(len(x))] = f"new{r.randrange(10**9)}"
+    return " ".join(x)
+
+
+def test_large_groups_of_near_copies(spark):
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    assert similar_groups(spark, list(dict.fromkeys([" ".join(base), *(variant(r, base, r.randrange(1, 3)) for _ in range(1100))]))) == 1
+
+
 # 5 toxicity
 
 
