@@ -333,6 +333,17 @@ def test_large_groups_of_near_copies(spark):
     assert similar_groups(spark, list(dict.fromkeys([" ".join(base), *(variant(r, base, r.randrange(1, 3)) for _ in range(1100))]))) == 1
 
 
+@pytest.mark.parametrize("how", [{}, {"block": 2, "most": 1}, {"block": 4, "most": 0, "ordered_texts": 50}])
+def test_crowded_buckets_lose_no_pair(spark, how):
+    r = random.Random(12)
+    base = [f"b{k}" for k in range(300)]
+    texts = [variant(r, base, r.randrange(1, 20)) for _ in range(350)]
+    for _ in range(60):  # of one template, each with one true partner
+        w = base[:150] + [f"own{r.randrange(10**9)}" for _ in range(40)]
+        texts += [variant(r, w, 1), variant(r, w, 2)]
+    assert similar_groups(spark, list(dict.fromkeys(texts)), **how) > 60
+
+
 # 5 toxicity
 
 
