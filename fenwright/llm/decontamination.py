@@ -10,8 +10,8 @@ by exact containment, on the shingles' words.
 Sketches and items are broadcast if they have at most `broadcast_rows` rows; beyond that the joins shuffle both sides.
 
 Words are those of the lower-cased text without punctuation at their ends. Defined cases: a text with fewer words than a
-shingle is one shingle; one without words has none, and is neither found nor a finding; rows with one doc_id give the best
-of them for an item; a null id is an id; repeated rows and items change nothing; other columns are ignored; an empty table
+shingle is one shingle; one without words has none, and is neither found nor a finding; different texts with one doc_id or
+item_id are each searched and give the best of them; a null id is an id; repeated rows and items change nothing; other columns are ignored; an empty table
 gives no rows."""
 
 from __future__ import annotations
@@ -54,12 +54,12 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = 5, cont
     per_mille = round(containment * 1000)
     b = items.select("item_id", content_words(F.col("text")).alias("w"))
     b = b.select("item_id", F.array_distinct(strings(F.col("w"), shingle_words)).alias("s"), F.array_distinct(hashes(F.col("w"), shingle_words)).alias("h"))
-    b = b.filter(F.size("s") > 0).groupBy("item_id").agg(F.max_by(F.struct("s", "h"), F.struct(F.size("s"), F.array_join("s", "\n"))).alias("x"))
-    b = stored(b.select("item_id", "x.s", "x.h", F.size("x.s").alias("n")), "items")
+    b = b.filter(F.size("s") > 0).withColumn("t", F.xxhash64(F.array_sort("s"))).dropDuplicates(["item_id", "t"])
+    b = stored(b.select("item_id", "t", "s", "h", F.size("s").alias("n")), "items")
     largest = F.pow(F.lit(2), F.floor(F.log2(F.col("n"))) + 1).cast("int") - 1  # of the size partition
     k = F.floor(largest * (1000 - per_mille) / 1000).cast("int") + 1
     sketches = b.select("item_id", F.ceil(F.col("n") * per_mille / 1000).alias("needed"), F.explode(F.slice(F.sort_array("h"), F.lit(1), F.least(k, F.size("h")))).alias("h"))
-    exact = b.select("item_id", "n", F.explode("s").alias("s"))
+    exact = b.select("item_id", "t", "n", F.explode("s").alias("s"))
     rows = b.agg(F.sum("n")).first()[0] or 0
 
     # explode_outer, as the filter that the optimizer derives from explode would compute the words again for each shingle.
@@ -73,9 +73,10 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = 5, cont
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.c") == F.col("k.c"))
     found = d.alias("d").join(hits.select("doc_id", "c").distinct().alias("k"), same, "left_semi")
     parts = found.select("doc_id", "c", content_words(F.col("text")).alias("w")).select("doc_id", "c", F.explode_outer(F.array_distinct(strings(F.col("w"), shingle_words))).alias("s"))
-    shared = parts.join(_maybe_broadcast(exact, rows, broadcast_rows), "s").groupBy("doc_id", "c", "item_id", "n").agg(F.countDistinct("s").alias("shared"))
+    shared = parts.join(_maybe_broadcast(exact, rows, broadcast_rows), "s").groupBy("doc_id", "c", "item_id", "t", "n").agg(F.countDistinct("s").alias("shared"))
     shared = shared.filter(F.col("shared") * 1000 >= F.col("n") * per_mille)
-    return shared.groupBy("doc_id", "item_id").agg(F.max("shared").cast("long").alias("shared"), F.max("n").cast("long").alias("item_shingles"))
+    best = shared.groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", "n")).alias("x"))
+    return best.select("doc_id", "item_id", F.col("x.shared").cast("long").alias("shared"), F.col("x.n").cast("long").alias("item_shingles"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -585,3 +585,12 @@ def test_decontamination(spark, docs, rows, none, broadcast):
     assert got == {(*k, *v) for k, v in best.items()} and got
     assert decontamination.contaminated(none, b).count() == 0
     assert decontamination.contaminated(docs, b.limit(0)).count() == 0
+
+
+def test_items_with_one_id_are_all_searched(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 12), ("b", 20), ("c", 9)))
+    d = make(spark, [(1, f"x {a} y", "en"), (2, f"x {b} y", "en"), (3, f"{c} z", "en"), (None, f"{a} and {b}", "en")])
+    for i in (7, None):
+        items = spark.createDataFrame([(i, t) for t in (a, b, c, c)], "item_id long, text string")
+        got = {tuple(x) for x in decontamination.contaminated(d, items).collect()}
+        assert got == {(1, i, 8, 8), (2, i, 16, 16), (3, i, 5, 5), (None, i, 16, 16)}
