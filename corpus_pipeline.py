@@ -35,9 +35,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_anti")
+    """Without the documents that hold a benchmark item; other texts with the id of one stay."""
+    found = decontamination.findings(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "c").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (decontamination.text_hash(F.col("d.text")) == F.col("f.c"))
+    return docs.alias("d").join(found.alias("f"), same, "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

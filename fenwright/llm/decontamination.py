@@ -49,8 +49,13 @@ def _maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = 5, containment: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
-    """(doc_id, item_id, shared, item_shingles): documents that hold at least `containment` of an item's shingles."""
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def findings(docs: DataFrame, items: DataFrame, shingle_words: int = 5, containment: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
+    """(doc_id, c, item_id, t, n, shared) for each text that holds at least `containment` of an item's n shingles: c is its text_hash, t a hash of
+    the item's shingles."""
     per_mille = round(containment * 1000)
     b = items.select("item_id", content_words(F.col("text")).alias("w"))
     b = b.select("item_id", F.array_distinct(strings(F.col("w"), shingle_words)).alias("s"), F.array_distinct(hashes(F.col("w"), shingle_words)).alias("h"))
@@ -64,7 +69,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = 5, cont
 
     # explode_outer, as the filter that the optimizer derives from explode would compute the words again for each shingle.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("c", F.xxhash64("text"))
+    d = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("c", text_hash(F.col("text")))
     probed = d.select("doc_id", "c", content_words(F.col("text")).alias("w")).select("doc_id", "c", hashes(F.col("w"), shingle_words).alias("hs"))
     probed = probed.select("doc_id", "c", F.size("hs").alias("size"), F.explode_outer("hs").alias("h"))
     hits = probed.join(_maybe_broadcast(sketches, rows, broadcast_rows), "h").filter("size >= needed")
@@ -74,7 +79,12 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = 5, cont
     found = d.alias("d").join(hits.select("doc_id", "c").distinct().alias("k"), same, "left_semi")
     parts = found.select("doc_id", "c", content_words(F.col("text")).alias("w")).select("doc_id", "c", F.explode_outer(F.array_distinct(strings(F.col("w"), shingle_words))).alias("s"))
     shared = parts.join(_maybe_broadcast(exact, rows, broadcast_rows), "s").groupBy("doc_id", "c", "item_id", "t", "n").agg(F.countDistinct("s").alias("shared"))
-    shared = shared.filter(F.col("shared") * 1000 >= F.col("n") * per_mille)
+    return shared.filter(F.col("shared") * 1000 >= F.col("n") * per_mille)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = 5, containment: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
+    """(doc_id, item_id, shared, item_shingles): documents that hold at least `containment` of an item's shingles."""
+    shared = findings(docs, items, shingle_words, containment, broadcast_rows)
     best = shared.groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", "n")).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.shared").cast("long").alias("shared"), F.col("x.n").cast("long").alias("item_shingles"))
 

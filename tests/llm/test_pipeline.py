@@ -69,6 +69,14 @@ def test_columns_with_the_operators_names(spark):
         assert all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names), name
 
 
+def test_decontamination_takes_only_the_text_found(spark, tmp_path):
+    item = " ".join(f"q{k}" for k in range(12))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"x {item}"), (None, "clean"), (None, None), (5, f"{item} y"), (5, "clean too"), (6, "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(x) for x in cp.decontaminate(spark, d, str(tmp_path)).collect()} == {rows[1], rows[2], rows[4], rows[5]}
+
+
 def test_run(spark):
     assert cp.run(spark, SF).count() > 0
 
