@@ -18,19 +18,21 @@ ANSWER = "array<struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">>"
 
 
 def chunks(rows: DataFrame, large_rows: int = 40, large_chars: int = 20_000) -> DataFrame:
-    """(doc_id, chunk, prompt): a document's rows, numbered, in one prompt or, if they are many, in overlapping chunks. rows: doc_id, row_idx,
-    cells."""
+    """(doc_id, chunk, whole, prompt): a document's rows, numbered, in one prompt (whole) or, if they are many, in overlapping chunks. rows:
+    doc_id, row_idx, cells."""
     d = rows.withColumn("line", F.array_join(F.filter(F.col("cells"), lambda c: F.trim(c) != ""), " | "))
     g = d.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "line"))), lambda x: F.concat(F.lit("Row "), x["row_idx"].cast("string"), F.lit(": "), x["line"])).alias("lines"))
     chars = F.aggregate("lines", F.lit(0), lambda a, s: a + F.length(s))
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.size("lines").alias("end")))
-    parts = F.when((F.size("lines") > large_rows) | (chars > large_chars), sequence.chunk_chars(F.col("lines"))).otherwise(whole)
-    g = g.withColumn("parts", parts).select("doc_id", "lines", F.posexplode("parts").alias("chunk", "p"))
-    return g.select("doc_id", "chunk", F.array_join(F.slice("lines", F.col("p.begin") + 1, F.col("p.end") - F.col("p.begin")), "\n").alias("prompt"))
+    large = (F.size("lines") > large_rows) | (chars > large_chars)
+    parts = F.when(large, sequence.chunk_chars(F.col("lines"))).otherwise(whole)
+    g = g.withColumns({"parts": parts, "whole": ~large}).select("doc_id", "lines", "whole", F.posexplode("parts").alias("chunk", "p"))
+    return g.select("doc_id", "chunk", "whole", F.array_join(F.slice("lines", F.col("p.begin") + 1, F.col("p.end") - F.col("p.begin")), "\n").alias("prompt"))
 
 
-def ask(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """prompts with answer and error: a failing call is a row with an error, and does not touch the other chunks."""
+def ask(prompts: DataFrame, model: Callable[[str], str], most: int = 25) -> DataFrame:
+    """prompts with answer and error: a failing call, or a chunk of a large document with over `most` records, is a row with an error, and does
+    not touch the other chunks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -45,12 +47,16 @@ def ask(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
             yield b.assign(answer=answers, error=errors)
 
     kinds = ", ".join(f"{n} {t}" for n, t in prompts.dtypes)
-    return prompts.mapInPandas(run, f"{kinds}, answer string, error string")
+    asked = prompts.mapInPandas(run, f"{kinds}, answer string, error string")
+    n = F.size(merge.model_json(F.col("answer"), ANSWER))
+    over = F.concat(F.lit("Chunk "), F.col("chunk").cast("string"), F.lit(" returned "), n.cast("string"), F.lit(f" records, above the safe {most}-record limit"))
+    asked = asked.withColumn("error", F.when((F.col("error") == "") & ~F.col("whole") & (n > most), over).otherwise(F.col("error")))
+    return asked.withColumn("answer", F.when(F.col("error") == "", F.col("answer")))
 
 
-def extracted(answers: DataFrame, most: int = 25) -> DataFrame:
-    """Raw listings of answers: at most so many per chunk, overlaps once (the first of equal building, floor, size and price)."""
-    d = answers.withColumn("rows", F.slice(merge.model_json(F.col("answer"), ANSWER), 1, most)).select("doc_id", "chunk", F.posexplode("rows").alias("pos", "r")).select("doc_id", "chunk", "pos", "r.*")
+def extracted(answers: DataFrame) -> DataFrame:
+    """Raw listings of answers: all records, overlaps once (the first of equal building, floor, size and price)."""
+    d = answers.withColumn("rows", merge.model_json(F.col("answer"), ANSWER)).select("doc_id", "chunk", F.posexplode("rows").alias("pos", "r")).select("doc_id", "chunk", "pos", "r.*")
     d = d.fillna("", FIELDS)
     key = [F.col("doc_id"), *[F.lower(F.trim(F.col(c))) for c in ("building", "floor_unit", "size", "price_pcm")]]
     d = sequence.first_seen(d, key, ["chunk", "pos"])

@@ -45,6 +45,22 @@ def test_chunks_fail_alone(spark):
     assert len(names) == len(set(names)) and "row 0" in names and "row 69" in names
 
 
+def test_long_answers_are_whole_or_fail(spark):
+    rows = spark.createDataFrame([(d, 0, i, [f"{d} {i}"]) for d, n in (("small", 30), ("large", 70)) for i in range(n)], "doc_id string, table_idx int, row_idx int, cells array<string>")
+
+    def model(prompt):
+        names = [x.split(": ")[1] for x in prompt.split("\n")]
+        return json.dumps([{"building": x + y} for x in names for y in ("", "b")[: 2 if "Row 30:" in prompt else 1]])
+
+    a = extraction.ask(extraction.chunks(rows), model).cache()
+    d = {x["doc_id"]: x for x in extraction.diagnostics(a).collect()}
+    assert d["small"]["ok"] == 1 and not d["small"]["failed"] and d["large"]["failed"] == [1] and d["large"]["ok"] == 2
+    errors = [x["error"] for x in a.collect() if x["error"]]
+    assert errors == ["Chunk 1 returned 50 records, above the safe 25-record limit"]
+    names = {x["building"] for x in extraction.extracted(a).collect()}
+    assert {f"small {i}" for i in range(30)} <= names and "large 69" in names and "large 30b" not in names
+
+
 def test_evidence(spark):
     page = b"<main><p>Alpha House, 1 High St EC1A 1BB</p><p>First floor</p><p>1,500 sq ft</p><p>Minimum term: 24 months</p><img src='/a/floorplan.png'><a href='/b.pdf'>Brochure</a></main>"
     res = spark.createDataFrame([("https://x.y/p?utm_source=1", "text/html", bytearray(page)), ("https://x.y/z", "", bytearray(b"%PDF-1"))], "url string, content_type string, payload binary")
