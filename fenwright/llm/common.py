@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is read from spark.checkpoint.dir; only a session without that
-    setting (a local test) gets a temporary folder."""
+    """The folder that driver and executors share, read from spark.checkpoint.dir. Only where driver and executors are one process (a local test)
+    is a temporary folder used instead; a cluster without the setting is an error."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="fenwright-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -42,6 +45,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_key(text: Column) -> Column:
+    """A text's name: 127 bits of two hashes as a whole number, so that no two of 10^12 texts share one by chance."""
+    high, low = F.xxhash64(text), F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 1)
+    return (high.cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") * 2 + low.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def join_back(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, spread: list[str], inner: bool = False) -> DataFrame:
+    """rows with the columns of facts (a row per key; n: about how many of the `total` rows have it), without gathering the rows of a frequent key.
+
+    Keys of at least a thousandth of the rows are a thousand at most: their facts are broadcast, and their rows are dealt out by the columns
+    `spread`. All others meet their facts in a shuffle. inner: only rows with facts. facts is read twice and should be stored."""
+    cols = [c for c in facts.columns if c not in keys]
+    often = F.col(n) * 1000 >= total
+    hot = facts.filter(often).select(*keys, F.struct(*cols).alias("_hot"))
+    cold = facts.filter(~often).select(*keys, F.lit(0).alias("_salt"), F.struct(*cols).alias("_cold"))
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.hash(*spread), F.lit(1 << 20))))
+    out = marked.join(cold, [*keys, "_salt"], "left").withColumn("_facts", F.coalesce("_hot", "_cold"))
+    out = out.filter("_facts is not null") if inner else out
+    return out.select(*rows.columns, *[F.col(f"_facts.{c}").alias(c) for c in cols])
+
+
 def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
     """df with columns that bear one of the names renamed, and the way back: an operator's own names can't meet those of its input."""
     own = {n.lower() for n in names}

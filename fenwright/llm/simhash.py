@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, set_aside, stored, table
+from .common import checkpointed, join_back, set_aside, stored, table, text_key
 
 BITS = 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -64,17 +64,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, also: tuple[str, ...] = (), of=None) -> DataFrame:
-    """(doc_id, fp) and the long columns of also: fp is the fingerprint, or what `of` makes of a text, as a signed long."""
-    make = of or (lambda text: fingerprint(text, shingle_words))
+def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [signed(make(t.as_py())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fp, pa.int64())], names=["doc_id", *also, "fp"])
+            fp = [signed(fingerprint(t.as_py(), shingle_words)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    schema = ", ".join(f"{c} long" for c in ("doc_id", *also, "fp"))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"), *also).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _spanning(radius: int):
@@ -148,8 +146,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame, radius: int, bucket: int) -> DataFrame:
-    """(fp, least, label) per fingerprint of fps: the smallest doc_id that has it, and a name for its component."""
-    found = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """(fp, least, n, label) per fingerprint of fps: the smallest doc_id that has it, how many have it, and a name for its component."""
+    found = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     labels = components(links(found.select("fp"), radius, bucket))
     return found.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
@@ -167,118 +165,124 @@ def shingle_set(text: bytes | None, shingle_words: int = 5) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
-def _shingle_counts(shingle_words: int):
-    """(h, c): the shingles of a batch of texts and in how many of them each is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), shingle_words) for t in b.column(1)]
-            h, c = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64))], names=["h", "c"])
-
-    return run
+def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit key per band of `rows` MinHash values of a set of hashes."""
+    by = np.random.default_rng(42).integers(1 << 62, 1 << 64, bands * rows, np.uint64, endpoint=False) | np.uint64(1)
+    x, low = h.view(np.uint64), np.full(bands * rows, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(x), 2048):
+        np.minimum(low, (x[at : at + 2048, None] * by).min(axis=0), out=low)
+    key = np.arange(bands, dtype=np.uint64)
+    for part in low.reshape(bands, rows).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
 
 
-def _prefixes(shingle_words: int, per_mille: int, known: np.ndarray, level: np.ndarray):
-    """(s_text, size, odd, keys): keys are so many of a text's shingles, the rarest by level and then the smallest, that a similar text's keys hold
-    one of them; odd is the number of its shingles that are not known."""
+def _described(shingle_words: int, bands: int, rows: int):
+    """(s_id, s_text, fp, size, keys): the fingerprint, the number of different shingles, and the band keys of their MinHash values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, odd, keys = [], [], []
-            for t in b.column(1):
+            fp, size, keys = [], [], []
+            for t in b.column("text"):
                 h = shingle_set(t.as_py(), shingle_words)
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                of = np.where(known[at] == h, level[at], 0) if len(known) else np.zeros(len(h), np.int64)
-                n = len(h)
-                keys.append(h[np.lexsort((h, of))][: max(n + (-per_mille * n) // 1000 + 1, 0)])
-                sizes.append(n)
-                odd.append(int((of == 0).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(odd, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["s_text", "size", "odd", "keys"])
+                fp.append(signed(fingerprint(t.as_py(), shingle_words)))
+                size.append(len(h))
+                keys.append(band_keys(h, bands, rows))
+            yield pa.RecordBatch.from_arrays([b.column("s_id"), b.column("s_text"), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["s_id", "s_text", "fp", "size", "keys"])
 
     return run
 
 
-def _sets(shingle_words: int):
+def described(docs: DataFrame, shingle_words: int = 5, bands: int = 26, rows: int = 4) -> DataFrame:
+    """docs: s_id, s_text (the text's key) and text."""
+    raw = docs.select("s_id", "s_text", F.col("text").cast("string").cast("binary").alias("text"))
+    return stored(raw.mapInArrow(_described(shingle_words, bands, rows), "s_id long, s_text decimal(38,0), fp long, size long, keys array<long>"), "fingerprints")
+
+
+def _jaccard(shingle_words: int, per_mille: int):
+    """The pairs (a, b) of the texts ta and tb whose sets of shingles are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle_words) for t in b.column(1)], pa.list_(pa.int64()))], names=["s_text", "h"])
+        last, right = None, np.zeros(0, np.int64)
+        for batch in batches:
+            ok = []
+            for ta, tb in zip(batch.column("ta"), batch.column("tb"), strict=True):
+                if (raw := tb.as_py()) != last:  # rows come sorted by b
+                    last, right = raw, shingle_set(raw, shingle_words)
+                left = shingle_set(ta.as_py(), shingle_words)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                ok.append(both * 1000 >= per_mille * (len(left) + len(right) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, most: int = 3, block: int = 32, broadcast_rows: int = 500_000, ordered_texts: int = 20_000) -> DataFrame:
-    """(a, b): pairs of hashes of different texts whose sets of shingles are similar (Jaccard); their components are those of all similar pairs.
+def similar(docs: DataFrame, about: DataFrame, shingle_words: int = 5, similarity: float = 0.8, edges: DataFrame | None = None, broadcast_rows: int = 500_000) -> DataFrame:
+    """Edges (a, b) of a graph of texts whose components are those of `edges` and of all pairs with similar sets of shingles (Jaccard).
 
-    The search is exact. With the shingles in one global order, similar sets share one of their first n - ceil(similarity * n) + 1 shingles. Texts
-    that share one are a bucket. A bucket of at most `block` texts gives all its pairs. In a larger one all texts are held against one of them,
-    at first the one with the fewest rare shingles, up to `most` times, so long as the bucket's texts are in several components; then every
-    pair of texts in different components is tested. The order, rare shingles first, is counted on about `ordered_texts` texts, which bears on
-    the size of buckets only.
+    Candidates are texts with an equal band of four MinHash values in one of 26 bands: a pair with a similarity of 0.8 has none with a
+    probability of one in a million, a more similar one less. Every candidate is tested on the whole texts before it counts. The texts of a
+    band are held against one of them, in the next turn against some four, then sixteen of those left, and so on, so long as they are in
+    several components; what was held against all is left out. So a large group of copies costs one test a text, and no pair is passed over.
 
-    docs: s_text (a hash of the text) and text."""
+    docs: s_text and text; about: what described() says of them."""
     per_mille = round(similarity * 1000)
     raw = docs.select("s_text", F.col("text").cast("string").cast("binary").alias("text"))
-    part = max(1, docs.count() // ordered_texts)
-    counted = raw.filter(F.pmod(F.xxhash64("s_text"), F.lit(part)) == 0).dropDuplicates(["s_text"]).mapInArrow(_shingle_counts(shingle_words), "h long, c long")
-    known = counted.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").orderBy(F.desc("c"), "h").limit(broadcast_rows).toPandas().sort_values("h")
-    level = 1 + np.log2(known["c"].to_numpy(np.float64)).astype(np.int64)
-    texts = raw.mapInArrow(_prefixes(shingle_words, per_mille, known["h"].to_numpy(np.int64), level), "s_text long, size long, odd long, keys array<long>")
-    texts = stored(texts.groupBy("s_text").agg(*[F.first(c).alias(c) for c in ("size", "odd", "keys")]), "prefixes")
-    keyed = texts.select("s_text", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(keyed.join(sizes, "key").join(texts.drop("keys"), "s_text"), "buckets")
+    texts = about.groupBy("s_text").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    keyed = stored(texts.select("s_text", "size", F.explode("keys").alias("key")), "bands")
+    sizes = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    rest = stored(join_back(keyed, sizes, ["key"], "n", keyed.count(), ["s_text"], inner=True).drop("n"), "buckets")
+    none = rest.select(F.col("s_text").alias("a"), F.col("s_text").alias("b")).limit(0)
+    edges, tested = none if edges is None else edges, none
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         involved = stored(pairs.select(F.col("a").alias("s_text")).union(pairs.select("b")).distinct(), "involved")
         involved = F.broadcast(involved) if involved.count() <= broadcast_rows else involved
-        sets = raw.join(involved, "s_text", "left_semi").mapInArrow(_sets(shingle_words), "s_text long, h array<long>")
-        sets = sets.groupBy("s_text").agg(F.first("h").alias("h"))
-        side = lambda name: sets.select(F.col("s_text").alias(name), F.col("h").alias(f"h{name}"))
-        both = F.size(F.array_intersect("ha", "hb"))
-        ok = both * 1000 >= per_mille * (F.size("ha") + F.size("hb") - both)
-        return stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(ok).select("a", "b"), "similar")
-
-    def crossed(rows: DataFrame, order: str) -> DataFrame:
-        left, right = (rows.select("key", F.col("s_text").alias(x), F.col("size").alias(f"n{x}"), F.col(order).alias(f"o{x}")) for x in "ab")
-        fits = F.least("na", "nb") * 1000 >= per_mille * F.greatest("na", "nb")
-        return left.join(right, "key").filter((F.col("oa") < F.col("ob")) & fits)
-
-    edges = verified(crossed(shared.filter(F.col("n") <= block), "s_text"))
-    hot = shared.filter(F.col("n") > block)
-    if hot.isEmpty():
-        return edges
-    for turn in range(most + 1):
-        labels = components(edges).withColumnRenamed("v", "s_text")
-        named = hot.join(labels, "s_text", "left").withColumn("label", F.coalesce("label", "s_text"))
-        rank = F.struct("odd" if turn == 0 else F.lit(0), F.xxhash64("s_text", F.lit(turn)))
-        one = F.min_by(F.struct("s_text", "label"), rank).alias("one")
-        still = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("last"), one).filter("least < last").select("key", "one")
-        rest = stored(named.join(still, "key"), "unlinked")
+        one = raw.join(involved, "s_text", "left_semi").groupBy("s_text").agg(F.first("text").alias("text"))
+        side = lambda name: one.select(F.col("s_text").alias(name), F.col("text").alias(f"t{name}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+        return stored(both.mapInArrow(_jaccard(shingle_words, per_mille), "a decimal(38,0), b decimal(38,0)"), "similar")
+
+    turn = 0
+    while True:
+        labels = components(edges)
+        named = rest.join(labels.withColumnRenamed("v", "s_text"), "s_text", "left").withColumn("label", F.coalesce("label", "s_text"))
+        ends = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("last"), F.min(F.struct(F.xxhash64("s_text", F.lit(turn)), "s_text")).alias("one"))
+        ends = stored(ends.filter("least < last").select("key", "n", F.col("one.s_text").alias("one")), "open")
+        rest = stored(join_back(named, ends, ["key"], "n", max(1, ends.agg(F.sum("n")).first()[0] or 0), ["s_text"], inner=True), "unlinked")
         if rest.isEmpty():
-            break
-        pairs = crossed(rest, "label") if turn == most else rest.filter("label <> one.label").select(F.col("one.s_text").alias("a"), F.col("s_text").alias("b"))
-        edges = edges.unionByName(verified(pairs))
-    return edges
+            return edges
+        held = (F.col("s_text") == F.col("one")) | (F.pmod(F.xxhash64("s_text", F.lit(turn + 100)), F.col("n")) < 4**turn - 1)
+        left, right = rest.filter(held).select("key", F.col("s_text").alias("a"), F.col("label").alias("la"), F.col("size").alias("na")), rest.withColumn("held", held)
+        fits = F.least("na", "size") * 1000 >= per_mille * F.greatest("na", "size")
+        pairs = right.join(left, "key").filter((F.col("la") != F.col("label")) & fits & ~(F.col("held") & (F.col("a") > F.col("s_text"))))
+        pairs = pairs.select(F.least("a", "s_text").alias("a"), F.greatest("a", "s_text").alias("b")).distinct()
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        edges = labels.filter("v <> label").select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(verified(pairs))
+        tested = tested.unionByName(pairs)
+        rest = rest.filter(~held).select("s_text", "size", "key")
+        turn += 1
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group, the first by doc_id (null last), then by a hash of the text. Texts are linked if their shingle fingerprints
+    """docs with one row of each group, the first by doc_id (null last), then by the text's key. Texts are linked if their shingle fingerprints
     are within `radius`, or if they are similar."""
     names = docs.columns
     docs, back = set_aside(docs, ["s_id", "s_text"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = {"s_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "s_text": F.xxhash64(text)}
+    keys = {"s_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "s_text": text_key(text)}
     keyed = docs.select(*[v.alias(k) for k, v in keys.items()], text.alias("text"))
-    fps = stored(fingerprints(keyed.withColumn("doc_id", F.col("s_id")), shingle_words, ("s_text",)), "fingerprints")
-    first_text = fps.groupBy("fp").agg(F.min("s_text").alias("text"))
-    by_fp = fps.select("fp", "s_text").distinct().join(first_text, "fp").filter("s_text <> text").select(F.col("text").alias("a"), F.col("s_text").alias("b"))
-    close = links(fps.select("fp").distinct(), radius)
+    about = described(keyed, shingle_words)
+    first_text = stored(about.groupBy("fp").agg(F.min("s_text").alias("text"), F.count(F.lit(1)).alias("n")), "firsts")
+    by_fp = about.select("fp", "s_text").distinct().join(first_text, "fp").filter("s_text <> text").select(F.col("text").alias("a"), F.col("s_text").alias("b"))
+    close = links(first_text.select("fp"), radius)
     of = lambda name: first_text.select(F.col("fp").alias(name), F.col("text").alias(f"t{name}"))
     close = close.join(of("a"), "a").join(of("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-    labels = components(by_fp.unionByName(close).unionByName(similar(keyed, shingle_words, similarity))).withColumnRenamed("v", "s_text")
-    named = fps.select(F.col("doc_id").alias("s_id"), "s_text").join(labels, "s_text", "left").withColumn("label", F.coalesce("label", "s_text"))
+    edges = similar(keyed, about, shingle_words, similarity, by_fp.unionByName(close))
+    labels = components(edges).withColumnRenamed("v", "s_text")
+    ids = about.groupBy("s_text").agg(F.min("s_id").alias("s_id"))
+    named = ids.join(labels, "s_text", "left").withColumn("label", F.coalesce("label", "s_text"))
     first = named.groupBy("label").agg(F.min(F.struct("s_id", "s_text")).alias("k")).select("k.*")
     return docs.withColumns(keys).join(first, ["s_id", "s_text"], "left_semi").dropDuplicates(["s_id", "s_text"]).drop("s_id", "s_text").withColumnsRenamed(back).select(*names)
 
@@ -288,7 +292,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, bu
     fps = stored(fingerprints(docs, shingle_words), "fingerprints")
     named = classes(fps, radius, bucket)
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return fps.join(named.join(ids, "label").select("fp", "component_id"), "fp")
+    facts = stored(named.join(ids, "label").select("fp", "n", "component_id"), "components")
+    return join_back(fps, facts, ["fp"], "n", fps.count(), ["doc_id"]).drop("n")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fenwright.llm import chat, decontamination, lines, packing, quality, simhash, substrings, tokens, toxicity, urls, warc
+from fenwright.llm import chat, common, decontamination, lines, packing, quality, simhash, substrings, tokens, toxicity, urls, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, c1 long, seed long, n int, u int, key string, score string, best string, kept string, words string, s string, g string, known string, label string, r_host string"
@@ -275,35 +275,16 @@ def jaccard(a, b, size=5):
     return len(parts[0] & parts[1]) / len(parts[0] | parts[1])
 
 
-def test_similar_texts(spark):
-    r = random.Random(8)
-    rows = []
-    for k in range(30):
-        w = [f"v{r.randrange(3000)}" for _ in range(r.randrange(60, 200))]
-        for c in range(8 if k == 0 else 3):
-            x = list(w)
-            for _ in range(c % 4):
-                x[r.randrange(len(x))] = f"new{r.randrange(9999)}"
-            rows.append((len(rows), " ".join(x), "en"))
-    rows += [(200, None, "en"), (201, "", "en"), (202, "a b", "en"), (203, "b a", "en")]
-    d = make(spark, rows).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("s_text"), F.coalesce("text", F.lit("")).alias("text"))
-    text = {x["s_text"]: x["text"] for x in d.collect()}
-    got = {frozenset((x["a"], x["b"])) for x in simhash.similar(d).collect()}
-    assert all(jaccard(*(text[v] for v in p)) >= 0.8 for p in got)
-    keys = sorted(text)
-    want = {frozenset((a, b)) for a in keys for b in keys if a < b and jaccard(text[a], text[b]) >= 0.8}
-    small = {frozenset((x["a"], x["b"])) for x in simhash.similar(d, block=2, most=1, broadcast_rows=0).collect()}
-    assert len(got) >= 0.8 * len(want) and small <= want
-    kept = {x["doc_id"] for x in simhash.keep_one(make(spark, rows)).collect()}
-    assert len([p for p in want if len({i for i, t, _ in rows if i in kept and t in {text[v] for v in p}}) > 1]) <= 0.1 * len(want)
-    assert simhash.similar(d.limit(0)).count() == 0
-
-
-def similar_groups(spark, texts, **how):
-    """The groups that similar() links, and those of brute force."""
-    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "s_text long, text string").repartition(3)
-    label = {x["v"]: x["label"] for x in simhash.components(simhash.similar(d, **how)).collect()}
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+def graph(spark, texts):
+    """What similar() needs of texts, each named by its number."""
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").repartition(3)
+    d = d.select(F.col("i").alias("s_id"), F.col("i").cast("decimal(38,0)").alias("s_text"), "text")
+    return d, simhash.described(d)
+
+
+def brute_groups(texts):
+    """The smallest number of the group of each text, by all pairs."""
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in (WORD.findall((t or "").lower()) for t in texts)]
     number = {}
     m = np.zeros((len(texts), len({g for s in sets for g in s})), np.float32)
     for i, s in enumerate(sets):
@@ -314,10 +295,16 @@ def similar_groups(spark, texts, **how):
     while True:
         low = np.where(near, want[None, :], len(texts)).min(1)
         if (low == want).all():
-            break
+            return want.tolist()
         want = low
-    assert {i: label.get(i, i) for i in range(len(texts))} == dict(enumerate(want.tolist()))
-    return len(set(want.tolist()))
+
+
+def similar_groups(spark, texts):
+    """The groups that similar() links are those of brute force."""
+    label = {int(x["v"]): int(x["label"]) for x in simhash.components(simhash.similar(*graph(spark, texts))).collect()}
+    want = brute_groups(texts)
+    assert [label.get(i, i) for i in range(len(texts))] == want
+    return len(set(want))
 
 
 def variant(r, w, edits):
@@ -327,21 +314,60 @@ def variant(r, w, edits):
     return " ".join(x)
 
 
+def test_similar_texts(spark):
+    r = random.Random(8)
+    texts = []
+    for k in range(30):
+        w = [f"v{r.randrange(3000)}" for _ in range(r.randrange(60, 200))]
+        texts += [variant(r, w, c % 4) for c in range(8 if k == 0 else 3)]
+    texts = list(dict.fromkeys([*texts, "", "a b", "b a"]))
+    similar_groups(spark, texts)
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(800, None, "en"), (801, texts[5], "en"), (None, texts[5], "en")]
+    want = brute_groups([t for _, t, _ in rows])
+    kept = {x["doc_id"] for x in simhash.keep_one(make(spark, rows), radius=0).collect()}
+    assert kept == set(want)
+    d, about = graph(spark, [])
+    assert simhash.similar(d, about).count() == 0
+
+
+def test_text_keys_differ(spark):
+    d = spark.createDataFrame([(f"text {i}",) for i in range(3000)] + [("",)], "text string").select(common.text_key(F.col("text")).alias("k"))
+    keys = {int(x["k"]) for x in d.collect()}
+    assert len(keys) == 3001 and max(map(abs, keys)).bit_length() > 120 and dict(d.dtypes)["k"] == "decimal(38,0)"
+
+
 def test_large_groups_of_near_copies(spark):
     r = random.Random(11)
     base = [f"b{k}" for k in range(120)]
     assert similar_groups(spark, list(dict.fromkeys([" ".join(base), *(variant(r, base, r.randrange(1, 3)) for _ in range(1100))]))) == 1
 
 
-@pytest.mark.parametrize("how", [{}, {"block": 2, "most": 1}, {"block": 4, "most": 0, "ordered_texts": 50}])
-def test_crowded_buckets_lose_no_pair(spark, how):
+def test_crowded_buckets_lose_no_pair(spark):
     r = random.Random(12)
     base = [f"b{k}" for k in range(300)]
     texts = [variant(r, base, r.randrange(1, 20)) for _ in range(350)]
     for _ in range(60):  # of one template, each with one true partner
         w = base[:150] + [f"own{r.randrange(10**9)}" for _ in range(40)]
         texts += [variant(r, w, 1), variant(r, w, 2)]
-    assert similar_groups(spark, list(dict.fromkeys(texts)), **how) > 60
+    assert similar_groups(spark, list(dict.fromkeys(texts))) > 60
+
+
+def test_bands_meet_at_the_threshold():
+    r = np.random.default_rng(3)
+    missed = 0
+    for _ in range(2000):
+        x = r.integers(-(1 << 63), (1 << 63) - 1, 225)
+        a, b = np.unique(x[:200]), np.unique(x[25:])  # 175 of 225 in common: 0.78
+        missed += not (simhash.band_keys(a, 26, 4) == simhash.band_keys(b, 26, 4)).any()
+    assert missed <= 1
+
+
+def test_join_back_spreads_and_keeps_all(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("row"))
+    facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("top")).filter("k % 2 = 0")
+    got = common.join_back(rows, facts, ["k"], "n", 5000, ["row"])
+    assert got.count() == 5000 and got.filter("top is null").count() == 1500 and got.filter("k = 0 and n = 2000").count() == 2000
+    assert common.join_back(rows, facts, ["k"], "n", 5000, ["row"], inner=True).count() == 3500
 
 
 # 5 toxicity
