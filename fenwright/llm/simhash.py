@@ -132,13 +132,12 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex that each vertex of the edges (a, b) reaches."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        old = checkpointed(labels)
-        of = old.select(F.col("v").alias("b"), F.col("label").alias("lb"))
+        of = labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
         lowest = both.join(of, "b").groupBy(F.col("a").alias("v")).agg(F.min("lb").alias("near"))
-        hooked = old.join(lowest, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = hooked.join(old.select(F.col("v").alias("label"), F.col("label").alias("next")), "label")
+        hooked = labels.join(lowest, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = hooked.join(labels.select(F.col("v").alias("label"), F.col("label").alias("next")), "label")
         step = checkpointed(step.select("v", "old", F.least("label", "next").alias("label")))
         labels = step.select("v", "label")
         if step.filter("label <> old").isEmpty():
@@ -223,7 +222,7 @@ def similar(docs: DataFrame, about: DataFrame, shingle_words: int = 5, similarit
 
     Candidates are texts with an equal band of four MinHash values in one of 26 bands: a pair with a similarity of 0.8 has none with a
     probability of one in a million, a more similar one less. Every candidate is tested on the whole texts before it counts. The texts of a
-    band are held against one of them, in the next turn against some four, then sixteen of those left, and so on, so long as they are in
+    band are held against one of them, in the next turn against some sixteen of those left, then 256, and so on, so long as they are in
     several components; what was held against all is left out. So a large group of copies costs one test a text, and no pair is passed over.
 
     docs: s_text and text; about: what described() says of them."""
@@ -253,7 +252,7 @@ def similar(docs: DataFrame, about: DataFrame, shingle_words: int = 5, similarit
         rest = stored(join_back(named, ends, ["key"], "n", max(1, ends.agg(F.sum("n")).first()[0] or 0), ["s_text"], inner=True), "unlinked")
         if rest.isEmpty():
             return edges
-        held = (F.col("s_text") == F.col("one")) | (F.pmod(F.xxhash64("s_text", F.lit(turn + 100)), F.col("n")) < 4**turn - 1)
+        held = (F.col("s_text") == F.col("one")) | (F.pmod(F.xxhash64("s_text", F.lit(turn + 100)), F.col("n")) < 16**turn - 1)
         left, right = rest.filter(held).select("key", F.col("s_text").alias("a"), F.col("label").alias("la"), F.col("size").alias("na")), rest.withColumn("held", held)
         fits = F.least("na", "size") * 1000 >= per_mille * F.greatest("na", "size")
         pairs = right.join(left, "key").filter((F.col("la") != F.col("label")) & fits & ~(F.col("held") & (F.col("a") > F.col("s_text"))))
