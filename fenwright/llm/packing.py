@@ -3,8 +3,12 @@
 Each document's tokens are cut into whole windows of the longest tier and a remainder. The remainder is routed to the
 shortest tier that holds it. Every tier is packed, from the longest to the shortest: a remainder opens a window, the gap
 behind it takes the longest remainders of the shorter tiers that fit, and what is still open takes the head of one more
-remainder, whose tail is routed anew. What no longer fills a window of its tier is cut at powers of two. Windows of a tier
-are dealt to step groups that hold the same number of tokens, whatever the tier.
+remainder, whose tail is routed anew. What no longer fills a window of its tier is cut at powers of two.
+
+Step groups hold the same number of tokens, `group_tokens`, whatever the tier: a task's windows of one length wait until they fill
+a group. At its end the windows that wait, of all lengths, and its last full group are dealt longest first, each to the group with
+the fewest tokens, to as many groups as come nearest to that size; these differ from each other by no more than a window, and
+hold between three quarters and one and a half of the others' tokens, unless the task has not that many.
 
 Packing needs no partner from elsewhere, so each task packs what it scans, a batch of documents at a time: nothing is
 shuffled, no key can be hot, memory is bounded by the batch, and a lost task is computed again from its split alone.
@@ -14,6 +18,7 @@ empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -134,32 +139,37 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         base = TaskContext.get().partitionId() << 32
-        made = 0
-        groups: dict[int, list[int]] = {}  # by tier: the open step group and the tokens in it
-        group_count = 0
+        made = groups = 0
+        waiting: dict[int, list[list[tuple]]] = {}  # by length: windows without a step group
+        last: list[tuple[int, list[tuple]]] = []  # the last full group: length and window
         ids_of: list[np.ndarray] = []
         doc_of: list[int | None] = []
         held = 0
 
+        def batch_of(grouped: list[tuple[int, list[tuple]]]) -> pa.RecordBatch:
+            rows = [(*row, base + group) for group, window in grouped for row in window]
+            cols = [*zip(*rows, strict=True)] or [()] * 10
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
         def flush() -> pa.RecordBatch:
-            nonlocal made, group_count, ids_of, doc_of, held
-            cols: list[list] = [[] for _ in range(10)]
+            nonlocal made, groups, last, ids_of, doc_of, held
+            full = []
             for size, window in pack([len(x) for x in ids_of], sizes):
-                group = groups.get(size)
-                if group is None or group[1] + size > group_tokens:
-                    group = groups[size] = [base + group_count, 0]
-                    group_count += 1
-                group[1] += size
-                offset = 0
+                rows, offset = [], 0
                 for p in window:
                     ids = ids_of[p.doc]
-                    row = (doc_of[p.doc], p.start, p.length, zlib.crc32(ids[p.start : p.start + p.length].tobytes()), len(ids), base + made, offset, size, size, group[0])
-                    for col, x in zip(cols, row, strict=True):
-                        col.append(x)
+                    rows.append((doc_of[p.doc], p.start, p.length, zlib.crc32(ids[p.start : p.start + p.length].tobytes()), len(ids), base + made, offset, size, size))
                     offset += p.length
                 made += 1
+                same = waiting.setdefault(size, [])
+                same.append(rows)
+                if len(same) * size >= group_tokens:
+                    full += [(groups, w) for _, w in last]
+                    groups += bool(last)
+                    last = [(size, w) for w in same]
+                    same.clear()
             ids_of, doc_of, held = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            return batch_of(full)
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -171,6 +181,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
                     yield flush()
         if ids_of:
             yield flush()
+        rest = sorted([*last, *((size, w) for size in waiting for w in waiting[size])], key=lambda x: -x[0])
+        if rest:
+            loads = [(0, groups + k) for k in range(max(1, round(sum(size for size, _ in rest) / group_tokens)))]
+            dealt = []
+            for size, w in rest:
+                tokens, group = heapq.heappop(loads)
+                dealt.append((group, w))
+                heapq.heappush(loads, (tokens + size, group))
+            yield batch_of(dealt)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
