@@ -10,8 +10,10 @@ templates, is broken by a backslash behind its first character, and backslashes
 a text, and the text can be read back. The loss mask is the list of spans of assistant texts.
 
 Defined cases: rows of a conversation are ordered by turn, then role and text (nulls first); repeated rows are turns of their
-own; a null text or role is empty; a null conv_id is a conversation; a record that is not JSON has no fingerprint; an empty
-list of messages has no turns; an empty table gives no rows; other columns are ignored."""
+own; a null text or role is empty; a null conv_id is a conversation; a record that is not JSON has no fingerprint and the error
+"not JSON", one nested deeper than Python's parser goes "nested too deep", and one with half of a surrogate pair in a name or a text
+"not Unicode", as it cannot be written in UTF-8; an empty list of messages has no turns, and an entry that is no object is a
+turn without role and text; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -101,7 +103,7 @@ def turns(record: object, mapping: Mapping) -> list[tuple[str, str]]:
         got = [(role, path, _string(_at(record, path))) for role, path in mapping.fields]
         return [(role, text) for role, path, text in got if text or path not in mapping.optional]
     names = dict(mapping.roles)
-    return [(names.get(r := _string(m.get(mapping.role)), r), _string(m.get(mapping.text))) for m in _at(record, mapping.messages) or ()]
+    return [(names.get(r := _string(_at(m, mapping.role)), r), _string(_at(m, mapping.text))) for m in _at(record, mapping.messages) or ()]
 
 
 def write(conversation: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -140,11 +142,16 @@ def format_records(records: DataFrame, layouts: list[tuple[object, Mapping]] = L
                     mark = fingerprint(record)
                     if mark in known:
                         text, at = write(turns(record, known[mark]))
+                        text.encode()
                         spans = [{"begin": a, "end": e} for a, e in at]
                     else:
                         error = "unknown layout"
+                except UnicodeEncodeError:
+                    mark, text, error = None, None, "not Unicode"
                 except ValueError:
                     error = "not JSON"
+                except RecursionError:
+                    error = "nested too deep"
                 for col, x in zip(cols, (mark, text, spans, error), strict=True):
                     col.append(x)
             kinds = (pa.string(), pa.string(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])), pa.string())
