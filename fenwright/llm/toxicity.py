@@ -2,13 +2,14 @@
 
 Features are a text's words and their beginnings (5 and 7 letters), each with a value that saturates with the count and
 falls with the text's length. A logistic regression is trained on labelled documents. From each sentence of them that names
-a group of people, copies are made in which the name is swapped for others of its kind; the square of the score's change is
-part of the loss, so a group's name by itself carries no weight. A second, small regression on cross-fitted scores,
-the share of indicative words and the length makes the score a probability.
+a group of people, copies are made in which the name is swapped for each other one of its kind; the square of the score's
+change is part of the loss, so a group's name by itself carries no weight. A second, small regression on cross-fitted scores,
+the share of indicative words and the length makes the score a probability; its loss has the same term, on the final score.
 
-Training takes at most `max_rows` labelled documents (smallest hashes of doc_id) of at most `max_words` words each; this bound
-does not depend on the input. Rows whose crc32(doc_id as text) mod 3 is 1 are held out. The model has at most `max_features`
-weights and is sent with the tasks. All documents are scored in one scan, without a shuffle, over their whole texts.
+Training takes at most `max_rows` labelled documents (smallest hashes of doc_id), with their whole texts, and for the swaps at most
+`max_sentences` of their different sentences with a group's name (smallest hashes); these bounds do not depend on the input. Rows
+whose crc32(doc_id as text) mod 3 is 1 are held out. The model has at most `max_features` weights and is sent with the tasks.
+All documents are scored in one scan, without a shuffle, over their whole texts.
 
 Defined cases: a null or empty text has the score of no features; a document with several labels is toxic if one says so, a
 null label is none; without labels of both kinds every score is the share of toxic labels (0 without labels); repeated rows
@@ -16,6 +17,7 @@ are scored each; a null doc_id is not held out; other columns are ignored; an em
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,24 +39,28 @@ IDENTITY = [
     "immigrants refugees foreigners natives citizens migrants".split(),
     "disabled blind deaf elderly young old".split(),
 ]
-_SWAP = {w: (kind[(i + 1) % len(kind)], kind[i - 1]) for kind in IDENTITY for i, w in enumerate(kind)}
+_SWAP = {w: tuple(x for x in kind if x != w) for kind in IDENTITY for w in kind}
 _EDGE = ".,;:!?\"'()[]{}#*$%&|<>-_/\\~^+=@`0123456789"
 _BEGIN = (5, 7)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
+@functools.lru_cache(1 << 17)
+def forms(raw: str) -> tuple[str, ...]:
+    """The features of a lower-case token: its word and the word's beginnings; none if it has no word."""
+    w = raw.strip(_EDGE)
+    return (w, *(w[:q] + "*" for q in _BEGIN if len(w) > q)) if w else ()
+
+
 def features(text: str | None) -> tuple[Counter, int]:
     """Counts of the features and the number of words."""
     counts: Counter = Counter()
     n = 0
     for raw, k in Counter((text or "").lower().split()).items():
-        w = raw.strip(_EDGE)
-        if w:
-            n += k
-            counts[w] += k
-            for q in _BEGIN:
-                if len(w) > q:
-                    counts[w[:q] + "*"] += k
+        found = forms(raw)
+        n += k if found else 0
+        for f in found:
+            counts[f] += k
     return counts, n
 
 
@@ -124,12 +130,14 @@ def _summary(z: np.ndarray, hits: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(z), z, np.minimum(100 * hits / n, 10), np.log1p(hits), np.log(n) / 5], axis=1)
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _newton(x: np.ndarray, y: np.ndarray, gaps: np.ndarray, fairness: float, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression; gaps: what swaps change in the rows of x, penalised by the mean square of the score's change."""
     w = np.zeros(x.shape[1])
+    penalty = ridge * np.eye(len(w)) + (fairness * len(x) / len(gaps) * gaps.T @ gaps if len(gaps) else 0)
     for _ in range(30):
         p = _sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (p - y) + ridge * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + penalty
+        step = np.linalg.solve(h, x.T @ (p - y) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -137,19 +145,39 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 class Model:
+    """weights: by feature; top: of the second regression; indicative: from which weight on a feature counts as an indicative word."""
+
     def __init__(self, weights: dict[str, float], intercept: float, top: list[float], indicative: float) -> None:
         self.weights, self.intercept, self.top, self.indicative = weights, intercept, top, indicative
+        self._known: dict[str, tuple[bool, tuple[str, ...]]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
+
+    def _of(self, raw: str) -> tuple[bool, tuple[str, ...]]:
+        """Whether a token has a word, and those of its features that have a weight."""
+        if len(self._known) > 1 << 19:
+            self._known.clear()
+        found = forms(raw)
+        out = self._known[raw] = (bool(found), tuple(f for f in found if f in self.weights))
+        return out
 
     def score(self, text: str | None) -> float:
-        counts, n = features(text)
+        counts: dict[str, int] = {}
+        n, known = 0, self._known
+        for raw, k in Counter((text or "").lower().split()).items():
+            word, found = known.get(raw) or self._of(raw)
+            if word:
+                n += k
+            for f in found:
+                counts[f] = counts.get(f, 0) + k
         z, hits = self.intercept, 0.0
-        scale = 3.0 / max(n, 1) ** 0.5
-        weights = self.weights
-        for f in counts.keys() & weights.keys():
+        scale, weights = 3.0 / max(n, 1) ** 0.5, self.weights
+        for f, k in counts.items():
             w = weights[f]
-            z += w * min(scale * counts[f], 3.0)
+            z += w * min(scale * k, 3.0)
             if w >= self.indicative:
-                hits += counts[f]
+                hits += k
         s = _summary(np.array([z]), np.array([hits]), np.array([float(n)]))[0]
         return float(_sigmoid(float(s @ np.array(self.top))))
 
@@ -180,8 +208,10 @@ def train(names: list[str], rows: list[tuple[np.ndarray, np.ndarray, int]], y: n
         z = np.where(fold == k, b + x.dot(w), z)
         mark = (w >= _indicative(w)).astype(float)
         hits = np.where(fold == k, np.bincount(x.r, x.counts * mark[x.c], minlength=len(rows)), hits)
-    top = _newton(_summary(z, hits, n), y)
     w, b = _fit(x, y, np.ones(len(rows), bool), both, ridge, fairness, steps)
+    mark, sizes = (w >= _indicative(w)).astype(float), np.array([n for _, _, n in pairs], float)
+    ends = [_summary(b + m.dot(w), np.bincount(m.r, m.counts * mark[m.c], minlength=m.n), sizes) for m in both]
+    top = _newton(_summary(z, hits, n), y, ends[0] - ends[1], fairness)
     return Model({f: float(v) for f, v in zip(names, w, strict=True) if v}, b, top.tolist(), _indicative(w))
 
 
@@ -194,9 +224,9 @@ def _held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: int = 50_000, min_documents: int = 4, max_features: int = 60_000, **options) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_sentences: int = 2000, min_documents: int = 4, max_features: int = 60_000, **options) -> Model:
     """A model from labels (doc_id, toxic) and the texts of docs (doc_id, text). Features are made and counted on the executors; the driver
-    gets the names of at most max_features of them and the numbers of at most max_rows texts."""
+    gets the names of at most max_features of them, the numbers of at most max_rows texts, and at most max_sentences sentences."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(~_held_out("doc_id"))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -208,10 +238,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: i
             for doc, toxic, text in zip(b.column("doc_id"), b.column("toxic"), b.column("text"), strict=True):
                 text = text.as_py()
                 counts, n = features(text)
-                if n <= max_words:
-                    named = [s for s in _SENTENCE.split(text or "") if any(w.strip(_EDGE) in _SWAP for w in s.lower().split())]
-                    for col, x in zip(out, (doc.as_py(), toxic.as_py(), n, list(counts), list(counts.values()), named[:20]), strict=True):
-                        col.append(x)
+                named = {s for s in _SENTENCE.split(text or "") if any(w.strip(_EDGE) in _SWAP for w in s.lower().split())}
+                for col, x in zip(out, (doc.as_py(), toxic.as_py(), n, list(counts), list(counts.values()), sorted(named)), strict=True):
+                    col.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "toxic", "n", "f", "k", "named"])
 
@@ -227,14 +256,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: i
                 known = [(column[x], y) for x, y in zip(f.as_py(), k.as_py(), strict=True) if x in column]
                 cs.append([c for c, _ in known])
                 ks.append([y for _, y in known])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("n"), pa.array(cs, pa.list_(pa.int32())), pa.array(ks, pa.list_(pa.int32())), b.column("named")], names=["doc_id", "toxic", "n", "c", "k", "named"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("n"), pa.array(cs, pa.list_(pa.int32())), pa.array(ks, pa.list_(pa.int32()))], names=["doc_id", "toxic", "n", "c", "k"])
 
-    got = made.mapInArrow(number, "doc_id long, toxic int, n long, c array<int>, k array<int>, named array<string>").toArrow()
+    got = made.mapInArrow(number, "doc_id long, toxic int, n long, c array<int>, k array<int>").toArrow()
+    named = made.select(F.explode("named").alias("s")).distinct().orderBy(F.xxhash64("s"), "s").limit(max_sentences).collect()
     y, n = got.column("toxic").to_numpy(), got.column("n").to_numpy()
     order = np.lexsort((n, got.column("doc_id").to_numpy())).tolist()
     cs, ks = got.column("c"), got.column("k")
     rows = [(cs[i].values.to_numpy(), ks[i].values.to_numpy(), int(n[i])) for i in order]
-    pairs = [p for i in order for s in got.column("named")[i].as_py() for p in swapped(s)]
+    pairs = [p for r in named for p in swapped(r["s"])]
     return train(names, rows, y[order], pairs, **options)
 
 
