@@ -5,13 +5,14 @@ removed. Windows are judged on the input.
 
 1. Seeds. Every window has one seed, the leftmost of its `prefix`-word sequences with the smallest hash. Equal windows have
    equal seeds at equal places, so a window whose seed occurs once in the corpus is no repeat. Each text gives its distinct
-   seeds, and whether it has them more than once; they are counted with partial sums.
+   seeds and how often it has each; they are counted with partial sums.
 2. Partition by prefix. The seed is the short prefix that splits the suffixes: windows of a seed that occurs at least
-   twice, as runs of neighbouring windows, go to one group. A group of a seed with more than `group` occurrences is not
-   gathered: equal runs are made one, and those left are split by the longest prefix, the whole window, where a group is a
-   tree node by itself and is only counted.
-3. Subtrees. The suffixes of a group, cut at the window, are sorted: the order of the leaves of its suffix tree. Where
-   neighbours share `window` words they lie below an internal node of that depth, and are repeats.
+   twice, as runs of neighbouring windows, go to one group. `group` bounds the runs of a group, however many of them are in
+   one text. A seed with more occurrences needs a longer prefix: equal runs are made one, and those left are split by the
+   longest prefix, the whole window, below which a subtree is one node, so that its leaves need only be counted.
+3. Subtrees. The suffixes of a group, cut at the window, are sorted: the order of the leaves of its suffix tree. The longest
+   common prefixes of neighbours are the depths of its internal nodes: leaves below a node of at least `window` words are
+   repeats.
 4. Texts with an exact copy have no other windows to find: all of their words go if they have a window.
 
 Seeds and subtrees stay with the hash of the text (128 bits), so that exact copies are handled once. The texts are shuffled
@@ -89,8 +90,7 @@ class Windows:
 
 
 def _scan(window: int, prefix: int):
-    """Per text: its number of words, the digest of all of them, its distinct seeds and how often each occurs (1 or 2 for
-    more)."""
+    """Per text: its number of words, the digest of all of them, its distinct seeds and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,9 +101,9 @@ def _scan(window: int, prefix: int):
                 digest.append(hashlib.sha256(b" ".join(w.words)).hexdigest())
                 s, n = np.unique(w.seeds, return_counts=True)
                 seeds.append(s)
-                times.append(np.minimum(n, 2).astype(np.int8))
+                times.append(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("c1"), b.column("c2"), pa.array(n_words, pa.int64()), pa.array(digest), pa.array(seeds, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int8()))],
+                [b.column("doc_id"), b.column("c1"), b.column("c2"), pa.array(n_words, pa.int64()), pa.array(digest), pa.array(seeds, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
                 names=["doc_id", "c1", "c2", "n_words", "sha", "seeds", "times"],
             )
 
@@ -149,7 +149,9 @@ def _subtrees(window: int, at_once: int):
         leaf[:, 0] = np.unique(seeds, return_inverse=True)[1][owner]
         leaf[:, 1:] = np.lib.stride_tricks.sliding_window_view(flat, window)[base + first]
         order = np.argsort(leaf.view(f"S{4 * (window + 1)}").ravel())
-        deep = (leaf[order[1:]] == leaf[order[:-1]]).all(axis=1)  # neighbours with a common ancestor of full depth
+        differs = leaf[order[1:]] != leaf[order[:-1]]
+        common = np.where(differs.any(axis=1), differs.argmax(axis=1), window + 1) - 1  # words that neighbours share; -1: another seed
+        deep = common >= window
         found = np.zeros(len(owner), bool)
         found[order[1:]] |= deep
         found[order[:-1]] |= deep
@@ -237,7 +239,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, prefix: int = 10, group: i
     text = F.col("text").cast("string")
     raw = F.coalesce(text, F.lit("")).cast("binary")
     texts = docs.select(F.col("doc_id").cast("long"), raw.alias("raw"), F.xxhash64(raw).alias("c1"), F.xxhash64(F.lit(1), raw).alias("c2"))
-    scanned = stored(texts.mapInArrow(_scan(window, prefix), "doc_id long, c1 long, c2 long, n_words long, sha string, seeds array<long>, times array<byte>"), "seeds")
+    scanned = stored(texts.mapInArrow(_scan(window, prefix), "doc_id long, c1 long, c2 long, n_words long, sha string, seeds array<long>, times array<int>"), "seeds")
     contents = scanned.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("copies"))
 
     seeds = scanned.select("c1", "c2", F.explode(F.arrays_zip("seeds", "times")).alias("s")).select("c1", "c2", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times"))
