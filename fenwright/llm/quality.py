@@ -89,9 +89,10 @@ def _words_of() -> Column:
 def divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence in bits of two histograms of equal length."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    sp, sq = F.greatest(total(p), F.lit(1.0)), F.greatest(total(q), F.lit(1.0))
+    once = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))  # noqa: E731  a value that is computed once, not for each element
+    shares = lambda a: once(F.greatest(total(a), F.lit(1.0)), lambda s: F.transform(a, lambda x: x / s))
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    return total(F.zip_with(p, q, lambda x, y: (part(x / sp, (x / sp + y / sq) / 2) + part(y / sq, (x / sp + y / sq) / 2)) / 2))
+    return total(F.zip_with(shares(p), shares(q), lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2))
 
 
 def judge(docs: DataFrame, min_words: int = 100, min_chars: int = 500, max_char: float = 0.07, max_word: float = 0.08, broadcast_rows: int = 10_000) -> DataFrame:
