@@ -7,7 +7,9 @@ sketch of the document would: a short item is a vanishing part of a long documen
 probed, in the scan, and a document with fewer shingles than an item needs is no candidate for it. Candidates are verified
 by exact containment, on the shingles' words.
 
-Sketches and items are broadcast if they have at most `broadcast_rows` rows; beyond that the joins shuffle both sides.
+Sketches and items are broadcast if they have at most `broadcast_rows` rows. Beyond that, up to twenty times as many sketch hashes are
+broadcast without their items, and only a document's shingles that are among them are shuffled; still larger sketches meet all shingles
+in a shuffle.
 
 Words are those of the lower-cased text without punctuation at their ends. Defined cases: a text with fewer words than a
 shingle is one shingle; one without words has none, and is neither found nor a finding; different texts with one doc_id or
@@ -72,7 +74,10 @@ def findings(docs: DataFrame, items: DataFrame, shingle_words: int = 5, containm
     d = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("c", text_hash(F.col("text")))
     probed = d.select("doc_id", "c", content_words(F.col("text")).alias("w")).select("doc_id", "c", hashes(F.col("w"), shingle_words).alias("hs"))
     probed = probed.select("doc_id", "c", F.size("hs").alias("size"), F.explode_outer("hs").alias("h"))
-    hits = probed.join(_maybe_broadcast(sketches, rows, broadcast_rows), "h").filter("size >= needed")
+    held = sketches.count()
+    if broadcast_rows < held <= 20 * broadcast_rows:
+        probed = probed.join(F.broadcast(sketches.select("h").distinct()), "h", "left_semi")
+    hits = probed.join(_maybe_broadcast(sketches, held, broadcast_rows), "h").filter("size >= needed")
     hits = stored(hits.select("doc_id", "c", "item_id").distinct(), "candidates")
 
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.c") == F.col("k.c"))
