@@ -54,16 +54,20 @@ def text_key(text: Column) -> Column:
 def join_back(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, spread: list[str], inner: bool = False) -> DataFrame:
     """rows with the columns of facts (a row per key; n: about how many of the `total` rows have it), without gathering the rows of a frequent key.
 
-    Keys of at least a thousandth of the rows are a thousand at most: their facts are broadcast, and their rows are dealt out by the columns
-    `spread`. All others meet their facts in a shuffle. inner: only rows with facts. facts is read twice and should be stored."""
-    cols = [c for c in facts.columns if c not in keys]
+    Keys of at least a thousandth of the rows are a thousand at most: their facts are broadcast, and their rows, like those without a key, are
+    dealt out by the columns `spread`. All others meet their facts in a shuffle; a frequent key must have facts. inner: only rows with facts. facts is read twice and should be stored."""
+    cols, tag = [c for c in facts.columns if c not in keys], uuid.uuid4().hex[:8]
+    salt, hot_, cold_ = f"salt_{tag}", f"hot_{tag}", f"cold_{tag}"
     often = F.col(n) * 1000 >= total
-    hot = facts.filter(often).select(*keys, F.struct(*cols).alias("_hot"))
-    cold = facts.filter(~often).select(*keys, F.lit(0).alias("_salt"), F.struct(*cols).alias("_cold"))
-    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.hash(*spread), F.lit(1 << 20))))
-    out = marked.join(cold, [*keys, "_salt"], "left").withColumn("_facts", F.coalesce("_hot", "_cold"))
-    out = out.filter("_facts is not null") if inner else out
-    return out.select(*rows.columns, *[F.col(f"_facts.{c}").alias(c) for c in cols])
+    hot = facts.filter(often).select(*keys, F.struct(*cols).alias(hot_))
+    cold = facts.filter(~often).select(*keys, F.lit(0).alias(salt), F.struct(*cols).alias(cold_))
+    alone = F.col(hot_).isNotNull()
+    for k in keys:
+        alone = alone | F.col(k).isNull()
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.when(alone, 1 + F.pmod(F.hash(*spread), F.lit(1 << 20))).otherwise(0))
+    out = marked.join(cold, [*keys, salt], "left").withColumn(cold_, F.coalesce(hot_, cold_))
+    out = out.filter(F.col(cold_).isNotNull()) if inner else out
+    return out.select(*rows.columns, *[F.col(f"{cold_}.{c}").alias(c) for c in cols])
 
 
 def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:

@@ -7,7 +7,7 @@ confirmed, and the longest rule wins (with equal length the one with the longer
 
 No expression deeper than the deepest rule is made, as none could match. The rules are broadcast if there are at most
 `broadcast_rules` of them; beyond that the join shuffles both sides and adaptive execution splits hot keys. URLs are judged
-once each, so a host or URL with a third of all rows costs no more than another.
+once each, and the rows of a frequent one are dealt out when they get their verdict.
 
 Defined cases: a null URL or one without `://` has an empty host and path and no rule; a rule with an empty or null host
 never fits; rules that are equal in host and path with different verdicts: block wins; repeated rows are returned each; an
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, set_aside, table
+from .common import join_back, lower_ascii, set_aside, stored, table
 
 #: The rules of the registered query.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -45,7 +45,7 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
 
     rules: columns host, path, verdict ("allow" or "block"). default: the verdict where no rule fits."""
     names, kept = ["host", "path", "rule", "verdict"], urls.columns
-    urls, back = set_aside(urls, ["u_url", "best", *(n for n in names if n != url)])
+    urls, back = set_aside(urls, ["u_url", "u_n", "u_row", "best", *(n for n in names if n != url)])
     # Rules, one per host and path; block sorts after allow.
     r = rules.select(lower_ascii(F.col("host")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict"))
     r = r.filter("r_host <> ''").groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))
@@ -54,7 +54,7 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     bounds = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("r_host", r"\."))).alias("labels"), F.max(F.size(F.split("r_path", "/"))).alias("slashes")).first()
     r = F.broadcast(r) if bounds["n"] <= broadcast_rules else r
 
-    one = urls.select(F.col(url).alias("u_url")).distinct().withColumn("u_host", host_of(F.col("u_url"))).withColumn("u_path", path_of(F.col("u_url")))
+    one = urls.groupBy(F.col(url).alias("u_url")).agg(F.count(F.lit(1)).alias("u_n")).withColumn("u_host", host_of(F.col("u_url"))).withColumn("u_path", path_of(F.col("u_url")))
     labels, steps = F.split("u_host", r"\."), F.split("u_path", "/")
     n_labels, n_steps = F.size(labels), F.size(steps)
     hosts = F.transform(F.sequence(F.lit(1), F.least(n_labels, F.lit(bounds["labels"] or 1))), lambda k: F.array_join(F.slice(labels, n_labels - k + 1, k), "."))
@@ -66,10 +66,14 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     expressions = expressions.withColumn("e_digest", _digest(F.col("e_host"), F.col("e_folder"))).withColumn("e_short", _short(F.col("e_digest")))
     hits = expressions.join(r, (F.col("e_short") == F.col("r_short")) & (F.col("e_digest") == F.col("r_digest")) & F.col("u_path").startswith(F.col("r_path")))
     rank = F.struct(-(F.length("r_host") + F.length("r_path")), -F.length("r_host"), F.concat("r_host", "r_path").alias("rule"))
-    best = hits.groupBy("u_url").agg(F.min_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), rank).alias("best"))
-    out = urls.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    out = out.join(best, F.col(url) == F.col("u_url"), "left")
-    return out.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.r_verdict", F.lit(default))).drop("u_url", "best").withColumnsRenamed({k: c for k, c in back.items() if c.lower() not in names}).select(*[c for c in kept if c.lower() not in names or c == url], *names)
+    best = hits.groupBy("u_url", "u_n").agg(F.min_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), rank).alias("best"))
+    total = urls.count()
+    frequent = one.filter(F.col("u_n") * 1000 >= total).select("u_url", "u_n").join(best.select("u_url"), "u_url", "left_anti")  # a thousand at most
+    best = stored(best.unionByName(frequent, allowMissingColumns=True), "verdicts")
+    out = urls.withColumn("u_url", F.col(url).cast("string")).withColumn("u_row", F.monotonically_increasing_id())
+    out = join_back(out, best, ["u_url"], "u_n", total, ["u_row"])
+    out = out.withColumn("host", host_of(F.col("u_url"))).withColumn("path", path_of(F.col("u_url")))
+    return out.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.r_verdict", F.lit(default))).drop("u_url", "u_n", "u_row", "best").withColumnsRenamed({k: c for k, c in back.items() if c.lower() not in names}).select(*[c for c in kept if c.lower() not in names or c == url], *names)
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
