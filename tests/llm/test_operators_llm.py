@@ -114,6 +114,25 @@ def test_packing_round_trip(docs, rows, none):
     assert packing.pack_documents(none, packing.default_tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("batch", [50, 5000])
+def test_step_groups_are_balanced(spark, batch):
+    r = random.Random(9)
+    d = make(spark, [(i, " ".join(f"w{r.randrange(99)}" for _ in range(r.choice([3, 40, 150, 400, 900, 3000]))), "en") for i in range(400)]).repartition(2)
+    got = packing.pack_documents(d, packing.default_tokenizer(), group_tokens=8192, batch_documents=batch).collect()
+    tokens_, lengths = Counter(), {}
+    for g, q, n in {(p["step_group"], p["sequence_id"], p["sequence_tokens"]) for p in got}:
+        tokens_[g] += n
+        lengths.setdefault(g, set()).add(n)
+    assert len(tokens_) > 20 and sum(n == 8192 for n in tokens_.values()) >= len(tokens_) - 6
+    for task in {g >> 32 for g in tokens_}:
+        odd = [n for g, n in tokens_.items() if g >> 32 == task and n != 8192]
+        assert not odd or (max(odd) - min(odd) <= 1024 and 6144 <= min(odd) and max(odd) <= 12288)
+    few = packing.pack_documents(make(spark, [(1, "a b", "en"), (2, None, None)]).coalesce(1), packing.default_tokenizer()).collect()
+    assert len({p["step_group"] for p in few}) == 1
+    long = packing.pack_documents(make(spark, [(1, "word " * 60_000, "en"), (2, "b", "en")]).coalesce(1), packing.default_tokenizer(), batch_tokens=10_000).collect()
+    assert sum(p["length"] for p in long if p["doc_id"] == 1) == long[0]["doc_tokens"] and {p["doc_id"] for p in long} == {1, 2}
+
+
 # 2 URL filters
 
 
@@ -415,6 +434,47 @@ def test_counterfactuals_shrink_the_gap_between_groups():
     assert pairs and gap[1] < gap[0]
 
 
+def brute_score(text, model):
+    """The score by its definition, word by word."""
+    words_ = [w for w in (x.strip(toxicity._EDGE) for x in (text or "").lower().split()) if w]
+    n = max(len(words_), 1)
+    made = [f for w in words_ for f in [w, *([w[:5] + "*"] if len(w) > 5 else []), *([w[:7] + "*"] if len(w) > 7 else [])]]
+    z, hits = model.intercept, 0
+    for f in set(made) & set(model.weights):
+        z += model.weights[f] * min(3 * made.count(f) / n**0.5, 3)
+        hits += made.count(f) * (model.weights[f] >= model.indicative)
+    s = [1, z, min(100 * hits / n, 10), np.log1p(hits), np.log(n) / 5]
+    return 1 / (1 + np.exp(-sum(a * b for a, b in zip(s, model.top))))
+
+
+def test_scores_are_those_of_brute_force(spark, docs, rows, none):
+    data = toxic_rows(3)
+    model = toxicity.learn(make(spark, [(i, t, "en") for i, t, _ in data]), spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int"))
+    assert model.weights
+    long = " ".join(["word1 idiotic x"] * 20_000)
+    texts = [t for _, t, _ in [*data[:80], *rows]] + [long, None, "... --- !!!", "IDIOTIC, (scummy)!"]
+    for t in texts:
+        assert abs(model.score(t) - brute_score(t, model)) < 1e-9
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(make(spark, [(i, t, "en") for i, t in enumerate(texts)]), model).collect()}
+    assert all(abs(got[i] - brute_score(t, model)) < 1e-9 for i, t in enumerate(texts))
+    assert toxicity.score(none, model).count() == 0 and toxicity.score(docs, model).count() == len(rows)
+
+
+def test_every_named_sentence_may_be_swapped(spark):
+    texts = [(i, f"Muslims word{i}. " + " ".join(f"Women word{k} here." for k in range(40)), "en") for i in range(6)]
+    assert {w for a, b, _ in toxicity.swapped("The women left.") for w in b if w in toxicity.IDENTITY[0]} == set(toxicity.IDENTITY[0]) - {"women"}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    seen = []
+    original, toxicity.train = toxicity.train, lambda names, rows, y, pairs, **k: seen.append(len(pairs)) or original(names, rows, y, pairs, **k)
+    try:
+        for most in (2000, 10):
+            toxicity.learn(make(spark, texts), labels, max_sentences=most, min_documents=1)
+    finally:
+        toxicity.train = original
+    kept = [i for i in range(6) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert seen[0] == 40 * 9 + len(kept) * 7 and 10 * 7 <= seen[1] <= 10 * 9
+
+
 def test_toxicity_without_labels(spark, docs):
     m = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {round(x["score"], 4) for x in toxicity.score(docs, m).collect()} == {0.0}
@@ -489,6 +549,14 @@ def test_layouts_by_fingerprint(spark):
     assert chat.fingerprint({"b": 1, "a": [1, 2]}) == chat.fingerprint({"a": ["x"], "b": None})
 
 
+def test_records_that_cannot_be_written(spark):
+    rows = [(1, '{"prompt": "\\ud800", "response": "r"}'), (2, '{"\\udfff": 1}'), (3, '{"prompt": ' * 3000 + "1" + "}" * 3000), (4, "[" * 100_000), (5, '{"messages": [5, null]}'), (6, '{"prompt": "p", "response": "r"}')]
+    got = {x["id"]: (x["error"], x["formatted"]) for x in chat.format_records(spark.createDataFrame(rows, "id long, record string")).collect()}
+    assert got[1] == ("not Unicode", None) and got[2] == ("not Unicode", None) and got[3][0] in ("nested too deep", "unknown layout") and got[4][0] == "nested too deep"
+    assert chat.read(got[5][1]) == [("", ""), ("", "")] and chat.read(got[6][1]) == [("user", "p"), ("assistant", "r")]
+    assert chat.format_records(spark.createDataFrame([], "id long, record string")).count() == 0
+
+
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "</s>"), (1, 0, "user", None), (2, None, None, "x"), (None, 0, "system", "s"), (3, 0, "system", "a"), (3, 1, "user", "b"), (3, 2, "assistant", "c"), (4, 0, "user", "u"), (4, 0, "user", "u")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -508,7 +576,8 @@ def test_conversations(spark):
 def test_archive(spark, least, broadcast):
     r = random.Random(6)
     rows = [(i, f"http://{'www.' if i % 2 else ''}Site{i % 5}.example/p{i % 7}?q={i}#f", r.choice(["", "ab", "same page", f"own {i} é"])) for i in range(60)]
-    rows += [(70, None, None), (71, "no scheme", "same page"), (None, "http://x/", "same page"), (72, "http://x/\r\nY: z", "odd url"), (5, "http://again/", "own again")]
+    rows += [(70, None, None), (71, "no scheme", "same page"), (None, "http://x/", "same page"), (72, "http://x/\r\nY: z", "odd url"), (5, "http://again/", "own again"), (73, "http://x/a%20b", "p"), (74, "http://x/a b%zz", "q"), (75, "http://x/é%", "s" * 300_000)]
+    rows += [(100 + i, "http://hot/", f"hot {i}") for i in range(50)] + [(100, "http://hot/", "hot 0")]
     pages = spark.createDataFrame([(*x, "extra") for x in rows], "page_id long, url string, html string, sha string")
     a = warc.write_archive(pages.repartition(3), least, 8, broadcast)
     got = Counter((x["page_id"], x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"]) for x in warc.read_all(a).collect())
@@ -524,7 +593,10 @@ def test_archive(spark, least, broadcast):
     assert got == want
     keys = {x["page_id"]: x["k"] for x in pages.select("page_id", warc.sort_key(F.col("url")).alias("k")).collect()}
     assert keys[1] == "example,site1,www)/p1?q=1"
-    for i in (1, 8, 70, 72):
+    looked = Counter((x["page_id"], x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"]) for x in warc.look_up(a, pages).collect())
+    assert looked == want
+    assert len(warc.find(a, "hot)/")) == 51
+    for i in (1, 8, 70, 72, 73, 74, 75):
         found = warc.find(a, keys[i])
         assert i in [f[1] for f in found]
         rec = warc.fetch(a, next(f for f in found if f[1] == i))
@@ -535,6 +607,7 @@ def test_archive(spark, least, broadcast):
 def test_empty_archive(spark):
     a = warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_all(a).count() == 0 and warc.find(a, "x") == []
+    assert warc.look_up(a, spark.createDataFrame([(1, "http://x/")], "page_id long, url string")).count() == 0
 
 
 # 9 substrings
@@ -585,7 +658,7 @@ def shingled(t, size=5):
     return {" ".join(w[k : k + size]) for k in range(len(w) - size + 1)} or ({" ".join(w)} if w else set())
 
 
-@pytest.mark.parametrize("broadcast", [100_000, 0])
+@pytest.mark.parametrize("broadcast", [100_000, 30, 0])
 def test_decontamination(spark, docs, rows, none, broadcast):
     r = random.Random(7)
     items = []
