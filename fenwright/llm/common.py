@@ -33,18 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage is cut, lost executors cost nothing."""
+    """Writes df as a table in the shared folder and reads it again: lineage is cut, lost executors cost nothing. The plan starts anew with the
+    size of the files; a checkpoint would keep the optimizer's estimate, which multiplies at each join of a loop until the driver cannot hold it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_key(text: Column) -> Column:
     """A text's name: 127 bits of two hashes as a whole number, so that no two of 10^12 texts share one by chance."""
     high, low = F.xxhash64(text), F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 1)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, set_aside, stored, table
+from .common import set_aside, stored, table
 
 _BLANK = r"^[\x20\x09-\x0D]*$"
 _KEY = ["f_id", "f_text"]
@@ -51,7 +51,7 @@ def _repeated(named: DataFrame) -> DataFrame:
     """Of places with names, those whose name occurs more than once; `first` says that it is the first of them."""
     at = F.struct(*_KEY, "u")
     names = named.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("least")).filter("n > 1").drop("n")
-    return checkpointed(named.join(names, ["n1", "n2"]).select(*_KEY, "u", "n1", "n2", (F.col("least") == at).alias("first")))
+    return stored(named.join(names, ["n1", "n2"]).select(*_KEY, "u", "n1", "n2", (F.col("least") == at).alias("first")), "repeated")
 
 
 def _doubled(places: DataFrame, lines: int, more: int) -> DataFrame:

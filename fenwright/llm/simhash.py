@@ -9,7 +9,7 @@ linked pair has equal masked fingerprints in some table, with certainty.
 Only distinct fingerprints are linked, so exact copies cost one row. A bucket of a table with few fingerprints gives the
 edges of a spanning forest. A larger one is not gathered: its fingerprints are dealt to all centres within half the radius,
 where fingerprints of one centre are linked by the triangle inequality and linked fingerprints share a centre. Components
-are found by label propagation with pointer jumping, one checkpoint a round.
+are found by label propagation with pointer jumping, one written table a round.
 
 Defined cases: a null, empty or blank text has fingerprint 0 and is linked like any other; fewer words than a shingle are
 one shingle; a null doc_id never names a component unless all of its documents are without an id; repeated rows are
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_back, set_aside, stored, table, text_key
+from .common import join_back, set_aside, stored, table, text_key
 
 BITS = 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -131,14 +131,14 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex that each vertex of the edges (a, b) reaches."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         of = labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
         lowest = both.join(of, "b").groupBy(F.col("a").alias("v")).agg(F.min("lb").alias("near"))
         hooked = labels.join(lowest, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         step = hooked.join(labels.select(F.col("v").alias("label"), F.col("label").alias("next")), "label")
-        step = checkpointed(step.select("v", "old", F.least("label", "next").alias("label")))
+        step = stored(step.select("v", "old", F.least("label", "next").alias("label")), "labels")
         labels = step.select("v", "label")
         if step.filter("label <> old").isEmpty():
             return labels
