@@ -17,7 +17,6 @@ are scored each; a null doc_id is not held out; other columns are ignored; an em
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -45,7 +44,6 @@ _BEGIN = (5, 7)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-@functools.lru_cache(1 << 17)
 def forms(raw: str) -> tuple[str, ...]:
     """The features of a lower-case token: its word and the word's beginnings; none if it has no word."""
     w = raw.strip(_EDGE)
@@ -149,35 +147,35 @@ class Model:
 
     def __init__(self, weights: dict[str, float], intercept: float, top: list[float], indicative: float) -> None:
         self.weights, self.intercept, self.top, self.indicative = weights, intercept, top, indicative
-        self._known: dict[str, tuple[bool, tuple[str, ...]]] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
-
-    def _of(self, raw: str) -> tuple[bool, tuple[str, ...]]:
-        """Whether a token has a word, and those of its features that have a weight."""
-        if len(self._known) > 1 << 19:
-            self._known.clear()
-        found = forms(raw)
-        out = self._known[raw] = (bool(found), tuple(f for f in found if f in self.weights))
-        return out
+        # By the length of the beginning, so that scoring makes no string but the beginning itself.
+        self.begins = [(q, {f[:q]: w for f, w in weights.items() if len(f) == q + 1 and f[q] == "*"}) for q in _BEGIN]
 
     def score(self, text: str | None) -> float:
-        counts: dict[str, int] = {}
-        n, known = 0, self._known
+        whole: dict[str, int] = {}
+        n = 0
         for raw, k in Counter((text or "").lower().split()).items():
-            word, found = known.get(raw) or self._of(raw)
-            if word:
+            if w := raw.strip(_EDGE):
                 n += k
-            for f in found:
-                counts[f] = counts.get(f, 0) + k
+                whole[w] = whole.get(w, 0) + k
         z, hits = self.intercept, 0.0
-        scale, weights = 3.0 / max(n, 1) ** 0.5, self.weights
-        for f, k in counts.items():
-            w = weights[f]
-            z += w * min(scale * k, 3.0)
-            if w >= self.indicative:
-                hits += k
+        scale = 3.0 / max(n, 1) ** 0.5
+
+        def add(counts: dict[str, int], weights: dict[str, float]) -> None:
+            nonlocal z, hits
+            for f in counts.keys() & weights.keys():
+                w = weights[f]
+                z += w * min(scale * counts[f], 3.0)
+                if w >= self.indicative:
+                    hits += counts[f]
+
+        add(whole, self.weights)
+        for q, weights in self.begins:
+            counts: dict[str, int] = {}
+            for w, k in whole.items():
+                if len(w) > q:
+                    b = w[:q]
+                    counts[b] = counts.get(b, 0) + k
+            add(counts, weights)
         s = _summary(np.array([z]), np.array([hits]), np.array([float(n)]))[0]
         return float(_sigmoid(float(s @ np.array(self.top))))
 
