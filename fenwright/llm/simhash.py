@@ -217,13 +217,72 @@ def _jaccard(shingle_words: int, per_mille: int):
     return run
 
 
-def similar(docs: DataFrame, about: DataFrame, shingle_words: int = 5, similarity: float = 0.8, edges: DataFrame | None = None, broadcast_rows: int = 500_000) -> DataFrame:
+def _blocks(shingle_words: int, per_mille: int):
+    """A spanning forest (a, b) of the similar texts of each group. Rows come sorted by (key, i, j), and groups are whole."""
+
+    def forest(names: list, labels: list, texts: list[bytes]) -> list[tuple]:
+        sets = [shingle_set(t, shingle_words) for t in texts]
+        n = np.array([len(x) for x in sets], np.float32)
+        owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        of = np.cumsum(times > 1) - 1  # columns of shingles that two texts have
+        owner, column = owner[times[column] > 1], of[column[times[column] > 1]]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        width = int(of[-1]) + 1 if len(of) else 0
+        for at in range(0, width, 4096):
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            m = np.zeros((len(sets), min(4096, width - at)), np.float32)
+            m[owner[lo:hi], column[lo:hi] - at] = 1
+            both += m @ m.T
+        near = both * 1000 >= per_mille * (n[:, None] + n[None, :] - both)
+        known = np.unique(np.array(labels, object), return_inverse=True)[1]
+        near |= known[:, None] == known[None, :]
+        out, left = [], np.ones(len(sets), bool)
+        for root in range(len(sets)):
+            todo = [root] if left[root] else []
+            left[root] = False
+            while todo:
+                i = todo.pop()
+                reached = np.flatnonzero(left & near[i])
+                left[reached] = False
+                todo += reached.tolist()
+                out += [(names[k], names[i]) for k in reached.tolist() if known[k] != known[i]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[dict]) -> pa.RecordBatch:
+            edges = forest([r["s_text"] for r in rows], [r["label"] for r in rows], [r["text"] for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.decimal128(38, 0)) for i in (0, 1)], names=["a", "b"])
+
+        group: tuple | None = None
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (g := (row["key"], row["i"], row["j"])) != group:
+                    if len(held) > 1:
+                        yield done(held)
+                    group, held = g, []
+                held.append(row)
+        if len(held) > 1:
+            yield done(held)
+
+    return run
+
+
+def similar(docs: DataFrame, about: DataFrame, shingle_words: int = 5, similarity: float = 0.8, edges: DataFrame | None = None, small: int = 16, block: int = 256, stars: int = 2, broadcast_rows: int = 500_000) -> DataFrame:
     """Edges (a, b) of a graph of texts whose components are those of `edges` and of all pairs with similar sets of shingles (Jaccard).
 
     Candidates are texts with an equal band of four MinHash values in one of 26 bands: a pair with a similarity of 0.8 has none with a
-    probability of one in a million, a more similar one less. Every candidate is tested on the whole texts before it counts. The texts of a
-    band are held against one of them, in the next turn against some sixteen of those left, then 256, and so on, so long as they are in
-    several components; what was held against all is left out. So a large group of copies costs one test a text, and no pair is passed over.
+    probability of one in a million, a more similar one less. Every candidate counts by its whole texts only.
+    1. The pairs of bands with at most `small` texts are tested one by one.
+    2. The texts of a larger band are held against one of them, `stars` times, so long as they are in several components. Of a group of
+       copies hardly any text is left out then.
+    3. In what is still in several components, the texts outside the largest one are dealt to blocks of about `block`, and so are those in it.
+       Two blocks of the former, and one of either kind, meet in one place, where all their pairs are tested at once and only the
+       edges of a spanning forest come out. So no pair of different components is passed over, none is a row of its own, and a place holds
+       two blocks.
 
     docs: s_text and text; about: what described() says of them."""
     per_mille = round(similarity * 1000)
@@ -231,37 +290,70 @@ def similar(docs: DataFrame, about: DataFrame, shingle_words: int = 5, similarit
     texts = about.groupBy("s_text").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
     keyed = stored(texts.select("s_text", "size", F.explode("keys").alias("key")), "bands")
     sizes = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
-    rest = stored(join_back(keyed, sizes, ["key"], "n", keyed.count(), ["s_text"], inner=True).drop("n"), "buckets")
-    none = rest.select(F.col("s_text").alias("a"), F.col("s_text").alias("b")).limit(0)
-    edges, tested = none if edges is None else edges, none
+    shared = stored(join_back(keyed, sizes, ["key"], "n", keyed.count(), ["s_text"], inner=True), "buckets")
+    none = shared.select(F.col("s_text").alias("a"), F.col("s_text").alias("b")).limit(0)
+    edges = none if edges is None else edges
+    fits = F.least("na", "size") * 1000 >= per_mille * F.greatest("na", "size")
+
+    def wanted(ids: DataFrame) -> DataFrame:
+        """(s_text, text) of the texts with an id, each once."""
+        ids = stored(ids.distinct(), "involved")
+        ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+        return raw.join(ids, "s_text", "left_semi").groupBy("s_text").agg(F.first("text").alias("text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        involved = stored(pairs.select(F.col("a").alias("s_text")).union(pairs.select("b")).distinct(), "involved")
-        involved = F.broadcast(involved) if involved.count() <= broadcast_rows else involved
-        one = raw.join(involved, "s_text", "left_semi").groupBy("s_text").agg(F.first("text").alias("text"))
+        one = wanted(pairs.select(F.col("a").alias("s_text")).union(pairs.select("b")))
         side = lambda name: one.select(F.col("s_text").alias(name), F.col("text").alias(f"t{name}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
         return stored(both.mapInArrow(_jaccard(shingle_words, per_mille), "a decimal(38,0), b decimal(38,0)"), "similar")
 
-    turn = 0
-    while True:
+    def labelled(rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rows with the label of their text's component, and a star of edges for each component."""
         labels = components(edges)
-        named = rest.join(labels.withColumnRenamed("v", "s_text"), "s_text", "left").withColumn("label", F.coalesce("label", "s_text"))
-        ends = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("last"), F.min(F.struct(F.xxhash64("s_text", F.lit(turn)), "s_text")).alias("one"))
-        ends = stored(ends.filter("least < last").select("key", "n", F.col("one.s_text").alias("one")), "open")
-        rest = stored(join_back(named, ends, ["key"], "n", max(1, ends.agg(F.sum("n")).first()[0] or 0), ["s_text"], inner=True), "unlinked")
-        if rest.isEmpty():
+        star = labels.filter("v <> label").select(F.col("v").alias("a"), F.col("label").alias("b"))
+        return rows.join(labels.withColumnRenamed("v", "s_text"), "s_text", "left").withColumn("label", F.coalesce("label", "s_text")), star
+
+    def several(rows: DataFrame, turn: int) -> DataFrame:
+        """Rows of bands that are still in several components, with one text of the band."""
+        ends = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("least"), F.max("label").alias("last"), F.min(F.struct(F.xxhash64("s_text", F.lit(turn)), "s_text", "label", "size")).alias("one"))
+        ends = stored(ends.filter("least < last").select("key", "m", F.col("one.s_text").alias("a"), F.col("one.label").alias("la"), F.col("one.size").alias("na")), "open")
+        return stored(join_back(rows, ends, ["key"], "m", max(1, ends.agg(F.sum("m")).first()[0] or 0), ["s_text"], inner=True), "unlinked")
+
+    ordered = lambda d: d.select(F.least("a", "s_text").alias("a"), F.greatest("a", "s_text").alias("b")).distinct()
+    named, edges = labelled(shared, edges)
+    few = stored(named.filter(F.col("n") <= small), "few")
+    left = few.select("key", F.col("s_text").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"))
+    pairs = few.join(left, (few["key"] == left["key"]) & (F.col("a") < F.col("s_text")) & (F.col("la") != F.col("label")) & fits)
+    edges = edges.unionByName(verified(stored(ordered(pairs), "candidates")))
+    rest = shared.filter(F.col("n") > small).drop("n")
+    for turn in range(stars):
+        named, edges = labelled(rest, edges)
+        found = several(named, turn)
+        if found.isEmpty():
             return edges
-        held = (F.col("s_text") == F.col("one")) | (F.pmod(F.xxhash64("s_text", F.lit(turn + 100)), F.col("n")) < 16**turn - 1)
-        left, right = rest.filter(held).select("key", F.col("s_text").alias("a"), F.col("label").alias("la"), F.col("size").alias("na")), rest.withColumn("held", held)
-        fits = F.least("na", "size") * 1000 >= per_mille * F.greatest("na", "size")
-        pairs = right.join(left, "key").filter((F.col("la") != F.col("label")) & fits & ~(F.col("held") & (F.col("a") > F.col("s_text"))))
-        pairs = pairs.select(F.least("a", "s_text").alias("a"), F.greatest("a", "s_text").alias("b")).distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        edges = labels.filter("v <> label").select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(verified(pairs))
-        tested = tested.unionByName(pairs)
-        rest = rest.filter(~held).select("s_text", "size", "key")
-        turn += 1
+        edges = edges.unionByName(verified(stored(ordered(found.filter((F.col("la") != F.col("label")) & fits)), "candidates")))
+        rest = found.select("s_text", "size", "key")
+    named, edges = labelled(rest, edges)
+    found = several(named, stars)
+    if found.isEmpty():
+        return edges
+    # The largest component of a band, by its texts there.
+    parts = found.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+    parts = stored(parts.groupBy("key").agg(F.max(F.struct("k", "label")).alias("x"), F.sum("k").alias("m")).select("key", "m", F.col("x.label").alias("main"), F.col("x.k").alias("k")), "parts")
+    d = join_back(found.select("s_text", "label", "key"), parts, ["key"], "m", max(1, found.count()), ["s_text"], inner=True)
+    inner, outer = F.ceil(F.col("k") / block), F.ceil((F.col("m") - F.col("k")) / block)
+    mine = F.pmod(F.xxhash64("s_text"), F.when(F.col("label") == F.col("main"), inner).otherwise(outer))
+    at = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+    upto = lambda n, make: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), make)
+    d = d.withColumn("mine", mine).withColumns({"inner": inner, "outer": outer})
+    # Places: (i, j) of two blocks outside the component, (i, -1 - j) of one outside and one inside.
+    inside = upto(F.col("outer"), lambda i: at(i, -1 - F.col("mine")))
+    outside = F.concat(upto(F.col("inner"), lambda j: at(F.col("mine"), -1 - j)), upto(F.col("outer"), lambda i: at(F.least(i, F.col("mine")), F.greatest(i, F.col("mine")))))
+    d = d.withColumn("places", F.when(F.col("label") == F.col("main"), inside).otherwise(outside))
+    d = stored(d.select("s_text", "label", "key", "places"), "placed")
+    rows = d.join(wanted(d.select("s_text")), "s_text").select("s_text", "label", "key", "text", F.explode("places").alias("p")).select("s_text", "label", "key", "p.*", "text")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "s_text")
+    return edges.unionByName(stored(rows.mapInArrow(_blocks(shingle_words, per_mille), "a decimal(38,0), b decimal(38,0)"), "forests"))
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:

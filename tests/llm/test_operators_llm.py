@@ -318,9 +318,9 @@ def brute_groups(texts):
         want = low
 
 
-def similar_groups(spark, texts):
+def similar_groups(spark, texts, **how):
     """The groups that similar() links are those of brute force."""
-    label = {int(x["v"]): int(x["label"]) for x in simhash.components(simhash.similar(*graph(spark, texts))).collect()}
+    label = {int(x["v"]): int(x["label"]) for x in simhash.components(simhash.similar(*graph(spark, texts), **how)).collect()}
     want = brute_groups(texts)
     assert [label.get(i, i) for i in range(len(texts))] == want
     return len(set(want))
@@ -361,14 +361,15 @@ def test_large_groups_of_near_copies(spark):
     assert similar_groups(spark, list(dict.fromkeys([" ".join(base), *(variant(r, base, r.randrange(1, 3)) for _ in range(1100))]))) == 1
 
 
-def test_crowded_buckets_lose_no_pair(spark):
+@pytest.mark.parametrize("how", [{}, {"small": 2, "block": 20, "stars": 0}, {"small": 4, "block": 7, "stars": 1, "broadcast_rows": 0}])
+def test_crowded_buckets_lose_no_pair(spark, how):
     r = random.Random(12)
     base = [f"b{k}" for k in range(300)]
     texts = [variant(r, base, r.randrange(1, 20)) for _ in range(350)]
     for _ in range(60):  # of one template, each with one true partner
         w = base[:150] + [f"own{r.randrange(10**9)}" for _ in range(40)]
         texts += [variant(r, w, 1), variant(r, w, 2)]
-    assert similar_groups(spark, list(dict.fromkeys(texts))) > 60
+    assert similar_groups(spark, list(dict.fromkeys(texts)), **how) > 60
 
 
 def test_bands_meet_at_the_threshold():
