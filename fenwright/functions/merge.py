@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import tolerant_equal
 from .text import match_norm
 
 
 def merge_value(value: Column, confidence: Column, new: Column, new_confidence: Column, locked: Column | bool = False, fill: float = 0.7, weak: float = 0.8) -> Column:
-    """struct(value, confidence, outcome). A blank is filled by evidence of at least `fill`; an equal value stays with the
-    higher confidence; a value below `weak` gives way to stronger evidence; anything else stays and is a conflict. A locked
-    field only takes what fills a blank."""
+    """struct(value, confidence, outcome). A blank is filled by evidence of at least `fill`; an equal value stays as it is, and numbers within 2 %
+    (at least 1) of each other are equal; a value below `weak` gives way to stronger evidence; anything else stays and is a conflict. A
+    locked field only takes what fills a blank."""
     lock = F.lit(locked) if isinstance(locked, bool) else locked
     blank, none = F.coalesce(value, F.lit("")) == "", F.coalesce(new, F.lit("")) == ""
-    same = match_norm(value) == match_norm(new)
+    same = equivalent(value, new)
     outcome = (
         F.when(none, F.lit("no evidence"))
         .when(blank, F.when(new_confidence >= fill, F.lit("filled")).otherwise(F.lit("too weak")))
@@ -23,7 +24,14 @@ def merge_value(value: Column, confidence: Column, new: Column, new_confidence:
         .otherwise(F.lit("conflict"))
     )
     take = outcome.isin("filled", "replaced")
-    return F.struct(F.when(take, new).otherwise(F.coalesce(value, F.lit(""))).alias("value"), F.when(take, new_confidence).when(outcome == "agrees", F.greatest(confidence, new_confidence)).otherwise(confidence).alias("confidence"), outcome.alias("outcome"))
+    return F.struct(F.when(take, new).otherwise(F.coalesce(value, F.lit(""))).alias("value"), F.when(take, new_confidence).otherwise(confidence).alias("confidence"), outcome.alias("outcome"))
+
+
+def equivalent(a: Column, b: Column) -> Column:
+    """Two values as numbers within 2 % of the first, at least 1, of each other; else as texts without regard to case and punctuation."""
+    x, y = a.try_cast("double"), b.try_cast("double")
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
+    return F.when(x.isNotNull() & y.isNotNull(), tolerant_equal(x, y)).otherwise(plain(a) == plain(b))
 
 
 def model_json(raw: Column, schema: str) -> Column:

@@ -10,23 +10,39 @@ from pyspark.sql import functions as F
 #: White space for all functions here, with the no-break space that regular expressions otherwise leave out.
 WS = r"[ \t\n\x0B\f\r ]"
 
-#: Status wordings (fixed values): pattern, canonical wording; the first that fits wins.
+#: What a status looks like in a text, the longer wordings first (fixed values).
+STATUS_WORDINGS = [
+    r"fully\s+fitted", r"partially\s+fitted", r"fit[\s\-]*outs?\s+underway", r"fitouts?\s+underway",
+    r"cat\s*[ab]\s*[-–—]\s*custom\s+fit\s*outs?\s+opportunity", r"cat\s*[ab]\s*[-–—]?\s*(?:custom\s+)?fit\s*outs?(?:\s+opportunity)?",
+    r"cat\s*[ab]\s*(?:fit\s*out|fitted)", r"custom\s+fit\s*out\s+opportunity", r"cat\s*[ab]\b", r"fitted", r"plug\s*(?:and|&)\s*play",
+    r"available\s+(?:now|immediately)", r"immediate(?:\s+availability)?", r"vacant\s+possession", r"coming\s+soon", r"under\s+offer",
+]
+#: What a wording is called (fixed values): pattern, name; the first that fits wins.
 STATUS = [
-    (r"fully[ -]?managed", "Fully managed"),
-    (r"part(ly|ially)?[ -]?fitted", "Part fitted"),
-    (r"fully[ -]?fitted|plug[ -]?(and|&)[ -]?play", "Fully fitted"),
-    (r"cat ?a ?(\+|plus)", "Cat A+"),
-    (r"cat ?a", "Cat A"),
-    (r"cat ?b", "Cat B"),
-    (r"shell (and|&) core", "Shell and core"),
-    (r"refurbished", "Refurbished"),
-    (r"under offer", "Under offer"),
-    (r"coming soon", "Coming soon"),
-    (r"available now|immediate(ly)?", "Available now"),
-    (r"fitted", "Fitted"),
-    (r"furnished", "Furnished"),
-    (r"unfurnished", "Unfurnished"),
-]
+    (r"fully\s+fitted", "Fully Fitted"), (r"partially\s+fitted", "Partially Fitted"), (r"underway", "Fitout Underway"),
+    (r"cat\s*a.*(?:custom|opportunity)", "CAT A - Custom Fit Out Opportunity"), (r"cat\s*a", "CAT A"),
+    (r"cat\s*b.*(?:custom|opportunity)", "CAT B - Custom Fit Out Opportunity"), (r"cat\s*b", "CAT B"),
+    (r"\bfitted\b", "Fitted"), (r"plug\s*(?:and|&)\s*play", "Plug and Play"), (r"available\s+now", "Available now"),
+    (r"available\s+immediately|immediate(?:\s+availability)?", "Immediate"), (r"vacant\s+possession", "Vacant possession"),
+    (r"coming\s+soon", "Coming soon"), (r"under\s+offer", "Under offer"),
+]
+#: Short words that are no junk, common words that turn up reversed, words and headings of sheets, and words of amenities (fixed values).
+SHORT_WORDS = "ac av cat epc hr hvac it led m&e mr wc wifi".split()
+COMMON_WORDS = (
+    "space union from south north east west floor office kitchen fitted furnished available building street square house suite desk desks meeting rooms storage shower showers terrace "
+    "reception lighting air conditioning raised floors bike cycle fibre fiber connectivity modern refurbishment natural light efficient floorplate agile work stations fully and the with for "
+    "this that area unit ground first second third fourth fifth sixth seventh eighth ninth tenth london city spec type current footage size term rate price brochure contact features amenities "
+    "description specification"
+).split()
+HEADINGS = "currentfloortype currentspec squarefootage floorsize sizesqft minimumterm monthlyrate pricepsqft pricepsqf desksmax marketingprice floorunit".split()
+HEADING_PATTERN = (
+    r"^(current\s*floor\s*type|current\s*spec|square\s*footage|floor\s*size|size\s*sq\.?\s*ft|minimum\s*term|monthly\s*rate|price\s*p/?sq\.?\s*ft|"
+    r"desks?\s*\(?max\)?|marketing\s*price|floor\s*/?\s*unit)$"
+)
+HEADING_WORDS = "current floor type spec square footage size minimum term monthly rate price desks desk marketing unit".split()
+AMENITY_WORDS = (
+    "fitted furnished agile workstations stations kitchen kitchenette terrace shower showers bike cycle storage meeting reception conditioning lighting fibre fiber wifi hvac collab breakout lounge"
+).split()
 #: Ordinal words of floors (fixed values).
 FLOOR_WORDS = {"basement": "-1", "lower ground": "-1", "ground": "0", "first": "1", "second": "2", "third": "3", "fourth": "4", "fifth": "5", "sixth": "6", "seventh": "7", "eighth": "8", "ninth": "9", "tenth": "10"}
 FILLER = ("", "n/a", "na", "-", "none", "tbc", "0")
@@ -88,7 +104,7 @@ def cap_prose(x: Column, max_words: int = 100) -> Column:
             item = F.trim(F.regexp_extract(head, r"^(.*);[^;]*$", 1))
             size = lambda c: F.struct(F.size(F.split(c, " ")).alias("w"), F.length(c).alias("n"), c.alias("t"))
             best = F.greatest(size(sentence), size(item))["t"]
-            return F.when(best != "", best).otherwise(F.concat(head, F.lit("...")))
+            return F.when(best != "", best).otherwise(F.concat(F.regexp_replace(head, "[.,;:!? ]+$", ""), F.lit("...")))
 
         return F.when(F.size(w) <= max_words, F.array_join(w, " ")).otherwise(let(F.array_join(F.slice(w, 1, max_words), " "), best_of))
 
@@ -108,18 +124,72 @@ def kept_items(x: Column, max_words: int = 100, max_items: int = 12, sep: str =
     return F.aggregate(items, start, step, lambda a: a["kept"])
 
 
+def parts_of(x: Column) -> Column:
+    """The parts of a list: cut at semicolons, bullets and line ends."""
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"[;\n•·]+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def _tokens(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit("([A-Za-z0-9&]+)"), F.lit(1))
+
+
 def is_noise(x: Column) -> Column:
-    """Layout noise: four or more one-letter words, or junk among at least 45 of 100 words."""
-    w = F.split(ws_norm(x), " ")
-    single = F.size(F.filter(w, lambda s: s.rlike("^[A-Za-z]$")))
-    junk = F.size(F.filter(w, is_junk_token))
-    return (single >= 4) | ((F.size(w) >= 4) & (junk * 100 >= F.size(w) * 45))
+    """Layout noise of a page read across its columns: four or more one-letter parts, several reversed words, or junk among at least 45 of 100
+    tokens."""
+
+    def judge(s: Column) -> Column:
+        parts, found = F.get(s["parts"], F.lit(0)), s["tokens"]
+        count = lambda items, test: F.size(F.filter(items, test))
+        single = count(parts, lambda t: F.regexp_replace(t, r"[,.;:!?·•]+$", "").rlike(r"^[A-Za-z0-9]?$"))
+        back, odd = count(found, is_reversed_word), count(found, is_consonant_junk)
+        heads, codes = count(parts, is_heading), count(found, lambda t: is_code(t) & ~t.rlike("^[0-9]+$"))
+        signal = back + odd + heads + F.when(single >= 2, 1).otherwise(0)
+        noisy = (single >= 4) | (back >= 2) | ((back >= 1) & (single >= 2)) | ((signal >= 3) & (F.size(parts) >= 5))
+        return (F.size(parts) > 0) & (noisy | ((F.size(found) >= 6) & ((back + odd + heads + codes + single) * 100 >= F.size(found) * 45)))
+
+    return let(F.struct(F.array(parts_of(x)).alias("parts"), _tokens(F.coalesce(x, F.lit(""))).alias("tokens")), judge)
+
+
+def _letters(t: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), "[^a-z]", "")
+
+
+def is_reversed_word(t: Column) -> Column:
+    """A common word of at least four letters, spelled backwards."""
+    w = _letters(t)
+    return (F.length(w) >= 4) & ~w.isin(*COMMON_WORDS) & F.reverse(w).isin(*COMMON_WORDS)
+
+
+def is_consonant_junk(t: Column) -> Column:
+    """A reversed word, or four letters or more with hardly a vowel among them."""
+    w = _letters(t)
+    vowels = F.length(F.regexp_replace(w, "[^aeiou]", ""))
+    hardly = (vowels == 0) | ((F.length(w) >= 5) & (vowels * 10 <= F.length(w) * 2)) | (w.rlike("[bcdfghjklmnpqrstvwxyz]{4,}") & (vowels * 100 < F.length(w) * 35))
+    return (F.length(w) >= 4) & ~w.isin(*SHORT_WORDS, *COMMON_WORDS) & (F.reverse(w).isin(*COMMON_WORDS) | hardly)
+
 
+def is_code(t: Column) -> Column:
+    """Digits, or one to three of them with one or two letters before or behind, unless an energy rating."""
+    w = F.lower(F.trim(F.coalesce(t, F.lit(""))))
+    return ~w.isin(*SHORT_WORDS) & ~w.rlike("^epc[a-g]$") & w.rlike("^([0-9]+|[a-z]{1,2}[0-9]{1,3}|[0-9]{1,3}[a-z]{1,2})$")
 
-def is_junk_token(s: Column) -> Column:
-    """One letter, letters without a vowel, or letters and digits mixed."""
-    t = F.lower(s)
-    return t.rlike("^[a-z]$") | t.rlike("^[bcdfghjklmnpqrstvwxz]{4,}$") | (t.rlike("[a-z]") & t.rlike("[0-9]") & t.rlike("^[a-z0-9]{4,}$"))
+
+def is_junk_token(t: Column) -> Column:
+    """A code, a reversed or garbled word, up to two letters, or three capitals; but for the known short words."""
+    return ~F.lower(t).isin(*SHORT_WORDS) & (is_code(t) | is_consonant_junk(t) | is_reversed_word(t) | t.rlike("^[A-Za-z]{1,2}$") | t.rlike("^[A-Z]{3}$"))
+
+
+def is_amenity_phrase(x: Column) -> Column:
+    """Three words or more, or a word of an amenity."""
+    return let(F.regexp_extract_all(F.lower(x), F.lit("([a-z]+)"), F.lit(1)), lambda w: (F.size(w) >= 3) | F.exists(w, lambda t: t.isin(*AMENITY_WORDS) | F.regexp_replace(t, "s+$", "").isin(*AMENITY_WORDS)))
+
+
+def is_heading(x: Column) -> Column:
+    """The heading of a sheet's column, however it is glued together."""
+    s = ws_norm(x)
+    apart = ws_norm(F.regexp_replace(s, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[^0-9])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", " "))
+    run = let(F.regexp_extract_all(F.lower(apart), F.lit("([a-z]+)"), F.lit(1)), lambda w: (F.size(w) >= 2) & F.forall(w, lambda t: t.isin(*HEADING_WORDS)))
+    return (s != "") & (F.regexp_replace(F.lower(s), "[^a-z0-9]+", "").isin(*HEADINGS) | F.lower(s).rlike(HEADING_PATTERN) | F.lower(apart).rlike(HEADING_PATTERN) | (run & ~is_amenity_phrase(apart)))
 
 
 def without_single_chars(items: Column) -> Column:
@@ -143,32 +213,109 @@ def useful_primary(x: Column, max_words: int = 40) -> Column:
     return (ws_norm(x) != "") & (word_count(x) <= max_words) & ~is_noise(x)
 
 
-def status_tag(x: Column) -> Column:
-    """The canonical wording of the first status that the text names, else empty."""
-    t = F.lower(ws_norm(x))
-    out = F.lit("")
+_ANY_STATUS = rf"(?i)\b({'|'.join(STATUS_WORDINGS)})\b"
+_ONLY_STATUS = rf"(?i)^(?:{'|'.join(STATUS_WORDINGS)})$"
+
+
+def _status_name(found: Column) -> Column:
+    """What a wording is called."""
+    t = F.lower(found)
+    out = F.concat(F.upper(F.substring(found, 1, 1)), F.substring(found, 2, 1000))
     for pattern, name in reversed(STATUS):
         out = F.when(t.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    return F.when(found == "", F.lit("")).otherwise(out)
+
+
+def _bare(x: Column) -> Column:
+    return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_]+", "")
+
 
+def status(x: Column) -> Column:
+    """struct(tag, pure): the status that a text names first, with a short note in brackets if the text is nothing else; and whether it is."""
 
-def reclassify(features: Column, status: Column) -> Column:
-    """struct(features, status): list items of features that are a status move to the status if that is empty."""
-    items = F.filter(F.transform(F.split(F.coalesce(features, F.lit("")), ";"), ws_norm), lambda s: s != "")
-    tags = F.filter(items, lambda s: (status_tag(s) != "") & (word_count(s) <= 4))
-    rest = F.filter(items, lambda s: ~((status_tag(s) != "") & (word_count(s) <= 4)))
-    first = F.coalesce(F.get(tags, F.lit(0)), F.lit(""))
-    move = (F.coalesce(status, F.lit("")) == "") & (first != "")
-    return F.struct(F.when(move, F.array_join(rest, "; ")).otherwise(ws_norm(features)).alias("features"), F.when(move, status_tag(first)).otherwise(ws_norm(status)).alias("status"))
+    def judge(t: Column) -> Column:
+        note = F.regexp_extract(t, r"^(.*\S)\s*(\([^)]{1,40}\))$", 2)
+        core = F.when(note != "", F.regexp_extract(t, r"^(.*\S)\s*(\([^)]{1,40}\))$", 1)).otherwise(t)
+        found, inner = F.regexp_extract(t, _ANY_STATUS, 1), F.regexp_extract(core, _ANY_STATUS, 1)
+        only = lambda c, f: c.rlike(_ONLY_STATUS) | ((f != "") & (_bare(c) == _bare(_status_name(f))))
+        noted = (note != "") & only(core, inner)
+        tag = F.when(noted, F.concat(_status_name(inner), F.lit(" "), note)).otherwise(_status_name(found))
+        return F.struct(tag.alias("tag"), (noted | only(t, found)).alias("pure"), found.alias("found"))
+
+    return let(ws_norm(x), judge)
+
+
+def status_tag(x: Column) -> Column:
+    """The name of the first status in a text, else empty."""
+    return status(x)["tag"]
+
+
+def partition_status(x: Column) -> Column:
+    """struct(status, rest): a list's first item that is nothing but a status, and the others; or the status of a text, with the whole text as the
+    rest unless it is nothing else. A text's bare `fitted` is no status."""
+    items = F.filter(F.transform(F.split(ws_norm(x), ";"), lambda s: F.trim(s)), lambda s: s != "")
+    judged = F.transform(items, lambda s: F.struct(s.alias("s"), status(s).alias("j")))
+    pure = lambda i: i["j"]["pure"] & (i["j"]["tag"] != "")
+    made = lambda tag, rest: F.struct(tag.alias("status"), rest.alias("rest"))
+
+    def listed(j: Column) -> Column:
+        tags = F.filter(j, pure)
+        return made(F.coalesce(F.get(tags, F.lit(0))["j"]["tag"], F.lit("")), F.array_join(F.transform(F.filter(j, lambda i: ~pure(i)), lambda i: i["s"]), "; "))
+
+    def whole(t: Column) -> Column:
+        named = lambda j: F.when(j["pure"] & (j["tag"] != ""), made(j["tag"], F.lit(""))).when((j["tag"] == "") | (F.lower(j["found"]) == "fitted"), made(F.lit(""), t)).otherwise(made(j["tag"], t))
+        return let(status(t), named)
+
+    return F.when(F.contains(F.coalesce(x, F.lit("")), F.lit(";")), let(judged, listed)).otherwise(let(ws_norm(x), whole))
+
+
+def clean_status(x: Column) -> Column:
+    """The status of the field for it, else empty; layout noise has none."""
+    return F.when(is_noise(ws_norm(x)), F.lit("")).otherwise(partition_status(x)["status"])
+
+
+def reclassify(features: Column, state: Column) -> Column:
+    """struct(features, status): a status among the features moves to the status field if that has none, and what else stood in that goes to the
+    features if these had a status."""
+    join = lambda *x: F.array_join(F.filter(F.array(*x), lambda s: s != ""), "; ")
+
+    made = lambda a, b: F.struct(a.alias("features"), b.alias("status"))
+
+    def judge(s: Column) -> Column:
+        f, t, p, q = s["f"], s["t"], s["p"], s["q"]
+        clean = F.when(s["noise"], F.lit("")).otherwise(q["status"])
+        unclear = (clean == "") & (t != "")
+        rest = (
+            F.when(unclear & (q["status"] != "") & (q["rest"] != "") & (q["rest"] != t), join(p["rest"], q["rest"]))
+            .when(unclear & (q["status"] != "") & (q["rest"] == t) & (f == ""), q["rest"])
+            .when(unclear & (q["status"] == "") & (s["named"] == ""), join(p["rest"], t))
+            .otherwise(p["rest"])
+        )
+        state_ = F.when(clean != "", clean).when(q["status"] != "", q["status"]).otherwise(p["status"])
+        return F.struct(F.when(p["status"] == "", f).otherwise(rest).alias("features"), state_.alias("state"))
+
+    def finish(k: Column) -> Column:
+        peeled = lambda j: F.when(j["pure"] & (j["tag"] != ""), made(F.lit(""), F.when(k["state"] == "", j["tag"]).otherwise(k["state"]))).otherwise(made(k["features"], k["state"]))
+        return let(status(k["features"]), peeled)
+
+    f, t = ws_norm(features), ws_norm(state)
+    known = F.struct(f.alias("f"), t.alias("t"), partition_status(f).alias("p"), partition_status(t).alias("q"), is_noise(t).alias("noise"), status_tag(t).alias("named"))
+    return let(let(let(known, judge), lambda k: F.struct(clean_features(k["features"]).alias("features"), k["state"].alias("state"))), finish)
+
+
+#: Lines of page footers that are no term, and what a term looks like (fixed values).
+TERM_JUNK = r"\b(copyright|all\s+rights\s+reserved|terms?\s+of\s+use|privacy\s+policy|cookie\s+policy|unit\s+details|cookie\s+settings|legal\s+notice)\b"
+TERM = r"\b([0-9]+)\s*(months?|years?|yrs?)\b|\b(rolling|flexible|monthly|quarterly)\b"
 
 
 def min_term(x: Column) -> Column:
-    """`N months` or `N years`, or a word for a rolling or flexible term; else empty."""
-    t = F.lower(ws_norm(x))
-    n, unit = F.regexp_extract(t, r"([0-9]+)[ -]*(month|year|yr|mth)s?", 1), F.regexp_extract(t, r"([0-9]+)[ -]*(month|year|yr|mth)s?", 2)
-    unit = F.when(unit.isin("year", "yr"), "year").otherwise("month")
-    word = F.regexp_extract(t, r"\b(rolling|flexible|negotiable|monthly)\b", 1)
-    return F.when(n != "", F.concat(n, F.lit(" "), unit, F.when(n == "1", "").otherwise("s"))).otherwise(F.initcap(word))
+    """The first term as it is given, `N months` or `N years` or a word for it; empty if there is none or the text is a page's footer."""
+
+    def judge(t: Column) -> Column:
+        n, unit, word = (F.regexp_extract(t, TERM, i) for i in (1, 2, 3))
+        return F.when(t.rlike(TERM_JUNK), F.lit("")).when(n != "", F.concat(n, F.lit(" "), F.regexp_replace(unit, "^yr", "year"))).otherwise(F.initcap(word))
+
+    return let(F.lower(ws_norm(x)), judge)
 
 
 def looks_like_phone(x: Column) -> Column:
@@ -209,6 +356,17 @@ def floor_token(x: Column) -> Column:
     return F.when(number != "", number).otherwise(out)
 
 
+#: The letters with which a building's name begins (fixed value).
+LEADING_NAME = r"^([A-Za-z][A-Za-z\s'-]*)"
+
+
+def name_tiers(building: Column) -> Column:
+    """Ways to name a building on a page, the most exact first: whole, before the first comma, the leading run of letters; in small letters, each once."""
+    b = F.coalesce(building, F.lit(""))
+    forms = F.array(b, F.regexp_extract(b, "(?s)^([^,]*),", 1), F.regexp_extract(b, LEADING_NAME, 1))
+    return F.array_distinct(F.filter(F.transform(forms, lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+
+
 def sanitize_name(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r'[\\/:*?"<>|]+', "_"))
 

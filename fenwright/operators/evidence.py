@@ -33,7 +33,7 @@ def typed(resources: DataFrame) -> DataFrame:
 def nested_documents(resources: DataFrame, most: int = 2) -> DataFrame:
     """(key, document): the first document links of each page, resolved against it."""
     link = resources.select("key", "url", F.posexplode("page.links").alias("pos", "l")).withColumn("document", urls.canonical(urls.resolve(F.col("url"), F.col("l.url"))))
-    link = link.filter(urls.is_document_like(F.col("document"))).dropDuplicates(["key", "document"])
+    link = link.filter(urls.is_document_like(F.col("document"))).groupBy("key", "document").agg(F.min("pos").alias("pos"))
     return groups.rank_candidates(link, ["key"], urls.document_rank(F.col("document")), ["pos"]).filter(F.col("rank") <= most).select("key", "document")
 
 

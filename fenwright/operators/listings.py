@@ -45,13 +45,14 @@ def with_provenance(listings: DataFrame, method: str) -> DataFrame:
     return listings.withColumn("provenance", F.map_filter(m, lambda _, v: F.coalesce(v["original_value"], F.lit("")) != ""))
 
 
-def apply_evidence(listings: DataFrame, evidence: DataFrame, fields: list[str], locked: tuple[str, ...] = ("property_postcode", "property_address_1")) -> DataFrame:
+def apply_evidence(listings: DataFrame, evidence: DataFrame, fields: list[str], locked: tuple[str, ...] = ("property_postcode", "property_address_1"), primary: float = 0.75) -> DataFrame:
     """Listings with evidence (doc_id, ordinal, field, value, confidence) merged into text fields, and the outcomes by field. The strongest
-    evidence of a field counts, the first on ties by value."""
+    evidence of a field counts, the first on ties by value. A listing's own value has the confidence of its provenance, else `primary`."""
     best = evidence.groupBy("doc_id", "ordinal", "field").agg(F.max_by(F.struct("value", "confidence"), F.struct("confidence", "value")).alias("e"))
     wide = best.groupBy("doc_id", "ordinal").agg(F.map_from_entries(F.collect_list(F.struct("field", "e"))).alias("ev"))
     d = listings.join(wide, ["doc_id", "ordinal"], "left")
-    merged = {f"_{f}": merge.merge_value(F.col(f).cast("string"), F.lit(0.75), F.col("ev")[f]["value"], F.col("ev")[f]["confidence"], f in locked) for f in fields}
+    known = (lambda f: F.coalesce(F.try_element_at("provenance", F.lit(f))["confidence"], F.lit(primary))) if "provenance" in listings.columns else (lambda f: F.lit(primary))
+    merged = {f"_{f}": merge.merge_value(F.col(f).cast("string"), known(f), F.col("ev")[f]["value"], F.col("ev")[f]["confidence"], f in locked) for f in fields}
     d = d.withColumns(merged)
     kinds = dict(listings.dtypes)
     out = d.withColumns({f: F.col(f"_{f}.value") if kinds[f] == "string" else F.col(f"_{f}.value").try_cast(kinds[f]) for f in fields})
@@ -85,6 +86,40 @@ def resolve_places(listings: DataFrame, geocoded: DataFrame, searched: DataFrame
     ).drop("asked", "query", "bare", "name_key", "found_address", "g")
 
 
+def resolve_addresses(requests: DataFrame, candidates: DataFrame, key: str, enough: int = 80, close: int = 5) -> DataFrame:
+    """key, status, address, postcode, confidence, sources, n_considered per request. A postcode in the request's own text settles it. Else its
+    candidates are scored against it, each once by source and wording; those of at least `enough` points with a postcode count. One of another
+    postcode within `close` points of the best is a conflict; else the best wins, and each further source of its postcode adds confidence.
+    requests: key, address, postcode; candidates: key, address, source, ordinal."""
+    own = F.coalesce(F.nullif(address.postcode(F.col("postcode")), F.lit("")), F.nullif(address.postcode(F.col("address")), F.lit("")))
+    r = requests.select(key, F.coalesce("address", F.lit("")).alias("asked"), own.alias("own"))
+    c = candidates.select(key, "address", "source", "ordinal", text.words_only(F.col("address")).alias("wording"))
+    c = c.groupBy(key, "source", "wording").agg(F.min_by(F.struct("address", "ordinal"), "ordinal").alias("c")).select(key, "source", "c.*")
+    d = r.filter("own is null").join(c, key).withColumn("p", address.parse_address(F.col("address")))
+    d = d.withColumn("s", address.assess(address.parse_address(F.col("asked")), F.col("p"))).select(key, "address", "source", "ordinal", F.col("p.postcode").alias("code"), "s.score", (~F.col("s.rejected") & (F.col("s.score") >= enough) & (F.col("p.postcode") != "")).alias("valid"))
+    rank = F.struct("score", -F.col("ordinal"), "source")
+    best = d.groupBy(key).agg(F.max_by(F.struct("address", "source", "code", "score"), F.when(F.col("valid"), rank)).alias("b"), F.count(F.lit(1)).alias("n_considered"))
+    told = d.filter("valid").join(best.filter("b is not null").select(key, "b"), key).groupBy(key).agg(
+        F.bool_or((F.col("code") != F.col("b.code")) & (F.col("score") >= F.col("b.score") - close)).alias("conflict"),
+        F.sort_array(F.collect_set(F.when(F.col("code") == F.col("b.code"), F.col("source")))).alias("sources"),
+    )
+    out = r.join(best, key, "left").join(told, key, "left")
+    by_source = F.create_map(*[F.lit(v) for kv in address.RESOLVED_BY.items() for v in kv])
+    status = (
+        F.when(F.col("own").isNotNull(), "RESOLVED_FROM_SOURCE")
+        .when(F.col("b").isNull(), "MANUAL_REVIEW_REQUIRED")
+        .when(F.col("conflict"), "CONFLICTING_CANDIDATES")
+        .otherwise(F.coalesce(F.try_element_at(by_source, F.col("b.source")), F.lit("RESOLVED_FROM_VALIDATED_LOOKUP")))
+    )
+    won = F.col("own").isNull() & F.col("b").isNotNull() & ~F.coalesce("conflict", F.lit(False))
+    more = F.greatest(F.size("sources") - 1, F.lit(0))
+    return out.select(
+        key, status.alias("status"), F.when(F.col("own").isNotNull(), F.col("asked")).when(won, F.col("b.address")).otherwise("").alias("address"), F.coalesce("own", F.when(won, F.col("b.code")), F.lit("")).alias("postcode"),
+        F.when(F.col("own").isNotNull(), 1.0).when(won, F.least(F.lit(1.0), F.col("b.score") / 100 + 0.08 * more)).otherwise(0.0).alias("confidence"),
+        F.when(F.col("own").isNotNull(), F.array(F.lit("source_file"))).when(won, F.col("sources")).otherwise(F.array().cast("array<string>")).alias("sources"), F.coalesce("n_considered", F.lit(0)).alias("n_considered"),
+    )
+
+
 def share_media(listings: DataFrame, fields: tuple[str, ...] = ("brochure_url", "floor_plan_url", "high_res_url")) -> DataFrame:
     """Blank media fields take those of the building's best supplied listing of the document."""
     w = Window.partitionBy("doc_id", F.lower("building"))

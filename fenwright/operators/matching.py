@@ -58,11 +58,48 @@ def tiered(candidates: DataFrame, key: list[str], tier: str) -> DataFrame:
     return candidates.withColumn("_t", F.min(tier).over(Window.partitionBy(*key))).filter(F.col(tier) == F.col("_t")).drop("_t")
 
 
+def all_tiers(candidates: DataFrame, key: list[str], value: str) -> DataFrame:
+    """What the candidates of any tier give, each value once."""
+    return candidates.select(*key, value).distinct()
+
+
 def overlap(a: Column, b: Column) -> Column:
-    """The area that two rectangles (x0, y0, x1, y1) share, as a part of the first one's."""
+    """The area that two rectangles (x0, y0, x1, y1) share, as a part of the area that they cover together."""
     side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]))
-    area = (a["x1"] - a["x0"]) * (a["y1"] - a["y0"])
-    return F.when(area > 0, side("x0", "x1") * side("y0", "y1") / area).otherwise(F.lit(0.0))
+    area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+    shared = side("x0", "x1") * side("y0", "y1")
+    return F.when(shared > 0, shared / (area(a) + area(b) - shared)).otherwise(F.lit(0.0))
+
+
+def _cells(low: Column, high: Column, spread: bool) -> Column:
+    """Where a side lies on an axis: (s, c), the power of two of its length and the cell of such a size that its middle is in; or, spread, all
+    cells that it touches, of sizes half and twice as large too."""
+    size = F.floor(F.log2(F.greatest(high - low, F.lit(1e-9)))).cast("int")
+    at = lambda x, s: F.floor(x / F.pow(F.lit(2.0), s.cast("double")))
+    if not spread:
+        return F.array(F.struct(size.alias("s"), at((low + high) / 2, size).alias("c")))
+    touched = lambda s: F.transform(F.sequence(at(low, s), at(high, s)), lambda c: F.struct(s.alias("s"), c.alias("c")))
+    return F.flatten(F.array(*[touched(size + d) for d in (-1, 0, 1)]))
+
+
+def covering(images: DataFrame, links: DataFrame, key: list[str], least: float = 0.5) -> DataFrame:
+    """For each image (image_id, box) the last link (link_id, rect, place) of its page that overlaps it by more than `least`, else null.
+
+    With more than half of their area in common, either rectangle holds the other's middle, and their sides differ by a factor of two at
+    most: a link is filed by its middle and its size, an image looks in all cells that it touches, of three sizes an axis."""
+    if least < 0.5:
+        raise ValueError("overlaps of less than a half are not found by the middle")
+    sides = lambda df, r, spread: df.withColumn("_x", F.explode(_cells(r["x0"], r["x1"], spread))).withColumn("_y", F.explode(_cells(r["y0"], r["y1"], spread)))
+    real = lambda df, r: df.filter((r["x1"] > r["x0"]) & (r["y1"] > r["y0"]))
+    a, b = sides(real(images, F.col("box")), F.col("box"), True), sides(real(links, F.col("rect")), F.col("rect"), False)
+    met = a.join(b, [*key, "_x", "_y"]).filter(overlap(F.col("box"), F.col("rect")) > least)
+    best = met.groupBy(*key, "image_id").agg(F.max_by("link_id", F.struct("place", "link_id")).alias("link_id"))
+    return images.select(*key, "image_id").join(best, [*key, "image_id"], "left")
+
+
+def reading_order(df: DataFrame, key: list[str], x: Column, y: Column, tie: str, name: str = "place") -> DataFrame:
+    """Boxes of a page from top to bottom in rows of ten, then from left to right."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(F.bround(y / 10) * 10, x, tie)))
 
 
 def consume_once(records: DataFrame, links: DataFrame, key: str) -> DataFrame:
@@ -98,10 +135,11 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, key: str, version: int) ->
     return hits, wanted.join(hits.select(key).distinct(), key, "left_anti")
 
 
-def nearest_above(images: DataFrame, headings: DataFrame, key: list[str]) -> DataFrame:
+def nearest_above(images: DataFrame, headings: DataFrame, key: list[str], cell: float = 50.0) -> DataFrame:
     """For each image (image_id, box) the heading (heading_id, head) of its page that ends above it, overlaps it sideways and is the lowest of
-    those; of equally low ones the greater id. Images without one have null."""
-    d = images.join(headings, key)
+    those; of equally low ones the greater id. Images without one have null. Both are dealt to strips of the page, `cell` wide."""
+    strips = lambda df, box: df.withColumn("_s", F.explode(F.sequence(F.floor(F.col(f"{box}.x0") / cell), F.floor(F.col(f"{box}.x1") / cell))))
+    d = strips(images, "box").join(strips(headings, "head"), [*key, "_s"])
     above = (F.col("head.y1") <= F.col("box.y0")) & (F.col("head.x0") < F.col("box.x1")) & (F.col("head.x1") > F.col("box.x0"))
     best = d.filter(above).groupBy(*key, "image_id").agg(F.max_by("heading_id", F.struct("head.y1", "heading_id")).alias("heading_id"))
     return images.select(*key, "image_id").join(best, [*key, "image_id"], "left")

@@ -13,14 +13,12 @@ DOC, POS = ["doc_id"], ["pos"]
 
 
 def real_image(alt: Column, url: Column) -> Column:
-    """Not a logo, icon, spacer or tracking pixel."""
-    t = F.lower(F.concat_ws(" ", alt, urls.path(url)))
-    return (urls.canonical(url) != "") & ~t.rlike("logo|icon|spacer|pixel|sprite|facebook|twitter|linkedin|instagram")
+    """A picture of the property rather than a logo, an icon or a tracking pixel."""
+    return (urls.canonical(url) != "") & urls.is_content_image(alt, url)
 
 
 def link_kind(label: Column, url: Column) -> Column:
-    t = F.lower(F.coalesce(label, F.lit("")))
-    return F.when(t.rlike("floor ?-?plan"), "floorplan").when(t.rlike("brochure|view listing|particulars") | urls.is_document_like(url), "brochure").otherwise("other")
+    return F.when(urls.is_floorplan_label(label), "floorplan").when(urls.is_brochure_link(label, url), "brochure").otherwise("other")
 
 
 def button_groups(items: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ order in which rows happen to come."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,27 @@ def call_rate(df: DataFrame, key: str, ts: str, tie: str, seconds: int = 60) ->
 
 
 def unique_names(df: DataFrame, name: str, order: list[str], out: str) -> DataFrame:
-    """The k-th row of a name gets ` (k)` from the second on."""
+    """Names made unique in order: the first row of a name keeps it, a later one gets ` (2)`, ` (3)` and so on, the next number whose name is not
+    taken. Names can only meet others with the same stem, the name without such endings; a stem whose rows all have one name is numbered by a
+    window, and the state of taken names is held for the other stems only, one stem at a time."""
+    stem, mixed = "_stem", "_mixed"
+    d = df.withColumn(stem, F.regexp_replace(F.col(name), r"( \([0-9]+\))+$", ""))
+    several = d.groupBy(stem).agg((F.min(name) != F.max(name)).alias(mixed))
+    d = d.join(several, stem)
     k = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    return df.withColumn(out, F.when(k == 1, F.col(name)).otherwise(F.concat(name, F.lit(" ("), k.cast("string"), F.lit(")"))))
+    plain = d.filter(~F.col(mixed)).withColumn(out, F.when(k == 1, F.col(name)).otherwise(F.concat(name, F.lit(" ("), k.cast("string"), F.lit(")"))))
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        taken, last, made = set(), {}, []
+        for x in rows[name]:
+            unique = x
+            while unique in taken:
+                last[x] = last.get(x, 1) + 1
+                unique = f"{x} ({last[x]})"
+            taken.add(unique)
+            made.append(unique)
+        return rows.assign(**{out: made})
+
+    schema = d.schema.add(out, "string")
+    return plain.unionByName(d.filter(F.col(mixed)).groupBy(stem).applyInPandas(number, schema)).drop(stem, mixed)

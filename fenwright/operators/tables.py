@@ -10,7 +10,7 @@ from ..functions.address import postcode
 from ..functions.text import match_norm, words_only, ws_norm
 
 #: Key words of headers by target (fixed values).
-GRID = {"building": ["building", "address", "property"], "floor": ["floor", "unit"], "size": ["sq ft", "size", "area"], "desks": ["desk", "desks"], "price": ["rent", "price", "pcm"], "term": ["term"], "contact": ["contact"], "brochure": ["brochure"]}
+GRID = {"building": ["building", "address", "property"], "floor": ["floor", "unit"], "size": ["sq ft", "size", "area"], "desks": ["desk", "desks"], "price": ["rent", "price", "pcm", "per month"], "term": ["term"], "contact": ["contact"], "brochure": ["brochure"]}
 NULLS = ("nan", "none", "click here", "n/a", "-")
 TABLE = ["doc_id", "table_idx"]
 

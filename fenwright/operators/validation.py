@@ -27,10 +27,10 @@ def issues(df: DataFrame, key: str, rules: list[Column]) -> DataFrame:
 def listing_rules() -> list[Column]:
     """The checks of a listing."""
     c, none = F.col, lambda x: F.coalesce(F.col(x), F.lit("")) == ""
-    same = lambda a, b: (urls.canonical(c(a)) != "") & (urls.canonical(c(a)) == urls.canonical(c(b)))
+    same = lambda a, b: urls.is_address(c(a)) & urls.is_address(c(b)) & (urls.canonical(c(a)) == urls.canonical(c(b)))
     out = [
         rule("source_file", "source file name lost", "error", none("source_file"), c("source_file")),
-        rule("source_url", "source address invalid", "error", ~none("source_url") & (urls.canonical(c("source_url")) == ""), c("source_url")),
+        rule("source_url", "source address invalid", "error", ~none("source_url") & ~urls.is_address(c("source_url")), c("source_url")),
         rule("source_url", "source address missing", "warning", none("source_url") & F.coalesce(c("source_url_expected"), F.lit(False)), c("source_url")),
         rule("building", "building missing", "error", none("building"), c("building")),
         rule("property_address_1", "address missing", "error", none("property_address_1"), c("property_address_1")),

@@ -84,7 +84,7 @@ def single_char_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda s: s != "")
     d = read(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
     kept = text.without_single_chars(F.col("w"))
-    return d.select("doc_id", F.size("w").cast("long").alias("tokens"), F.size(kept).cast("long").alias("kept"), F.md5(F.array_join(kept, " ")).alias("kept_md5"), F.size(F.filter("w", text.is_junk_token)).cast("long").alias("junk"))
+    return d.select("doc_id", F.size("w").cast("long").alias("tokens"), F.size(kept).cast("long").alias("kept"), F.md5(F.array_join(kept, " ")).alias("kept_md5"), F.size(F.filter("w", text.is_junk_token)).cast("long").alias("junk"), text.is_noise(F.concat_ws(";", F.slice("w", 1, 40))).alias("noise"))
 
 
 def unanimous_value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +114,10 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("quality").isNotNull()).alias("labelled"), F.count_if(F.col("quality").isNull()).alias("blank"), F.count_if(F.coalesce("quality", F.lit(0)) < 1).alias("below_target"), F.count_distinct("lang").alias("languages"))
+    """Documents of a source by how many lines they have, as listings by their photos."""
+    n = lines(spark, sf_dir).groupBy("doc_id").agg((F.count(F.lit(1)) - 1).alias("images"))
+    d = read(spark, sf_dir, "documents").join(n, "doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), *groups.coverage(F.col("images")), F.count("quality").alias("labelled"), F.count_distinct("lang").alias("languages"))
 
 
 def cache_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,20 +129,7 @@ def cache_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.lit("hit").alias("result")).unionByName(misses.select("doc_id", F.lit("miss").alias("result")))
 
 
-def first_match_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detectors in order; the first that fits a document wins, and a source whose winners are implausible is rejected."""
-    t = F.col("text")
-    detectors = [(t.contains("###"), "symbols"), (t.contains(" | "), "table"), (t.rlike("[0-9]{10,}"), "numbers"), (F.length(t) < 200, "short"), (t.contains("\n"), "lines")]
-    rank = F.least(*[F.when(c, i).otherwise(len(detectors)) for i, (c, _) in enumerate(detectors)])
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", rank.alias("rank"), F.length(t).alias("n"))
-    name = F.lit("none")
-    for i, (_, label) in enumerate(detectors):
-        name = F.when(F.col("rank") == i, label).otherwise(name)
-    ok = d.groupBy("source").agg((F.max(F.when(F.col("rank") == 3, F.col("n")).otherwise(0)) < 200).alias("plausible"))
-    return d.join(ok, "source").select("doc_id", name.alias("parser"), "plausible")
-
-
-QUERIES = {f.__name__: f for f in (carry_forward, bounded_lookback, bounded_lookahead, section_blocks, row_chunks_overlap, chunk_overlap_dedupe, word_cap, prose_cap, boilerplate_hash, single_char_runs, unanimous_value, number_coercion, contact_names_only, wrapped_lines, coverage_report, cache_hit_miss, first_match_dispatch)}
+QUERIES = {f.__name__: f for f in (carry_forward, bounded_lookback, bounded_lookahead, section_blocks, row_chunks_overlap, chunk_overlap_dedupe, word_cap, prose_cap, boilerplate_hash, single_char_runs, unanimous_value, number_coercion, contact_names_only, wrapped_lines, coverage_report, cache_hit_miss)}
 
 _FIRST = "TRY_CAST(replace(regexp_extract({0}, '([0-9][0-9,]*(\\.[0-9]+)?)', 1), ',', '') AS DOUBLE)"
 _STRICT = "CASE WHEN regexp_full_match(regexp_replace(trim({0}), '[£,]', '', 'g'), '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(regexp_replace(trim({0}), '[£,]', '', 'g') AS DOUBLE) END"
@@ -156,21 +145,29 @@ SQL = {
     "prose_cap": f"""WITH t AS (SELECT doc_id, {_NORM} AS t, str_split({_NORM}, ' ') AS w FROM documents),
 h AS (SELECT *, array_to_string(w[1:100], ' ') AS head FROM t),
 p AS (SELECT *, regexp_extract(head, '^(.*[.!?])(?: .*)?$', 1) AS s, trim(regexp_extract(head, '^(.*);[^;]*$', 1)) AS i FROM h)
-SELECT doc_id, CASE WHEN len(w) <= 100 THEN t WHEN s = '' AND i = '' THEN head || '...'
+SELECT doc_id, CASE WHEN len(w) <= 100 THEN t WHEN s = '' AND i = '' THEN regexp_replace(head, '[.,;:!? ]+$', '') || '...'
   WHEN (len(str_split(s, ' ')), length(s)) >= (len(str_split(i, ' ')), length(i)) THEN s ELSE i END AS capped FROM p""",
     "boilerplate_hash": f"WITH {_SQL_LINES}, b AS (SELECT line FROM h GROUP BY line HAVING count(DISTINCT doc_id) > 2) SELECT doc_id, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM h ANTI JOIN b USING (line) GROUP BY doc_id",
-    "single_char_runs": r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda s: s <> '') AS w FROM documents)
-SELECT doc_id, len(w) AS tokens, len(list_filter(w, lambda s: length(s) > 1)) AS kept, md5(array_to_string(list_filter(w, lambda s: length(s) > 1), ' ')) AS kept_md5,
-  len(list_filter(w, lambda s: regexp_full_match(s, '[a-z]') OR regexp_full_match(s, '[bcdfghjklmnpqrstvwxz]{4,}'))) AS junk FROM t""",
+    "single_char_runs": r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda s: s <> '') AS w FROM documents),
+c(c) AS (VALUES (str_split('space union from south north east west floor office kitchen fitted furnished available building street square house suite desk desks meeting rooms storage shower showers terrace reception lighting air conditioning raised floors bike cycle fibre fiber connectivity modern refurbishment natural light efficient floorplate agile work stations fully and the with for this that area unit ground first second third fourth fifth sixth seventh eighth ninth tenth london city spec type current footage size term rate price brochure contact features amenities description specification', ' '))),
+k AS (SELECT DISTINCT unnest(w) AS s FROM t),
+v AS (SELECT s, length(s) AS n, length(regexp_replace(s, '[^aeiou]', '', 'g')) AS v, list_contains(c, s) AS common, list_contains(c, reverse(s)) AND NOT list_contains(c, s) AND length(s) >= 4 AS back FROM k, c),
+f AS (SELECT *, n >= 4 AND NOT common AND s NOT IN ('hvac', 'wifi') AND (back OR v = 0 OR (n >= 5 AND v * 10 <= n * 2) OR (regexp_matches(s, '[bcdfghjklmnpqrstvwxyz]{4,}') AND v * 100 < n * 35)) AS odd FROM v),
+j AS (SELECT s, n, back, odd, s NOT IN ('ac', 'av', 'cat', 'epc', 'hr', 'hvac', 'it', 'led', 'm&e', 'mr', 'wc', 'wifi') AND (odd OR back OR n <= 2) AS junk,
+  s IN ('floorsize', 'currentspec', 'squarefootage', 'minimumterm', 'monthlyrate', 'marketingprice', 'floorunit', 'desksmax', 'currentfloortype', 'sizesqft', 'pricepsqft', 'pricepsqf') AS head FROM f),
+u AS (SELECT doc_id, unnest(w) AS s, unnest(range(len(w))) AS i FROM t),
+a AS (SELECT doc_id, count(*) FILTER (junk) AS junk, count(*) FILTER (i < 40) AS parts, count(*) FILTER (i < 40 AND n = 1) AS single, count(*) FILTER (i < 40 AND back) AS back, count(*) FILTER (i < 40 AND odd) AS odd, count(*) FILTER (i < 40 AND head) AS heads FROM u JOIN j USING (s) GROUP BY doc_id)
+SELECT doc_id, len(w) AS tokens, len(list_filter(w, lambda s: length(s) > 1)) AS kept, md5(array_to_string(list_filter(w, lambda s: length(s) > 1), ' ')) AS kept_md5, coalesce(junk, 0) AS junk,
+  coalesce(parts > 0 AND (single >= 4 OR back >= 2 OR (back >= 1 AND single >= 2) OR (back + odd + heads + CASE WHEN single >= 2 THEN 1 ELSE 0 END >= 3 AND parts >= 5) OR (parts >= 6 AND (back + odd + heads + single) * 100 >= parts * 45)), false) AS noise
+FROM t LEFT JOIN a USING (doc_id)""",
     "unanimous_value": "WITH t AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS m FROM documents) SELECT doc_id, len(m) AS found, CASE WHEN len(list_distinct(m)) = 1 THEN m[1] END AS value FROM t WHERE len(m) > 0",
     "number_coercion": f"SELECT 'd' || doc_id AS key, {_FIRST.format('text')} AS first, NULL::DOUBLE AS strict FROM documents UNION ALL SELECT 'p' || p_partkey, {_FIRST.format('p_brand')}, {_STRICT.format('p_brand')} FROM part UNION ALL SELECT 's' || k, {_FIRST.format('x')}, {_STRICT.format('x')} FROM (VALUES "
     + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SAMPLES))
     + ") t(k, x)",
     "contact_names_only": "SELECT c_custkey, c_name AS names, len(regexp_extract_all(c_name || ', ' || lower(c_mktsegment) || '@mail.example', '([a-z]+@[a-z.]+)', 1)) AS mails FROM customer",
     "wrapped_lines": "WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS s FROM documents), n AS (SELECT doc_id, sum(greatest(1, ceil(length(s) / 45.0)))::BIGINT AS lines FROM l GROUP BY doc_id) SELECT doc_id, lines, lines * 15 AS height FROM n",
-    "coverage_report": "SELECT source, count(*) AS documents, count(quality) AS labelled, count(*) - count(quality) AS blank, count(*) FILTER (coalesce(quality, 0) < 1) AS below_target, count(DISTINCT lang) AS languages FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
+    "coverage_report": """WITH n AS (SELECT doc_id, source, lang, len(str_split(text, chr(10))) - 1 AS n FROM documents)
+SELECT source, count(*) AS documents, count(*) FILTER (n > 0) AS with_images, count(*) FILTER (n = 0) AS blank, count(*) FILTER (n < 5) AS below_target, count(quality) AS labelled, count(DISTINCT lang) AS languages
+FROM n LEFT JOIN labels USING (doc_id) GROUP BY source""",
     "cache_hit_miss": "SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL AND (lang = 'en' OR quality <> 0) THEN 'hit' ELSE 'miss' END AS result FROM documents d LEFT JOIN labels l USING (doc_id)",
-    "first_match_dispatch": """WITH r AS (SELECT doc_id, source, length(text) AS n, CASE WHEN contains(text, '###') THEN 'symbols' WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[0-9]{10,}') THEN 'numbers'
-  WHEN length(text) < 200 THEN 'short' WHEN contains(text, chr(10)) THEN 'lines' ELSE 'none' END AS parser FROM documents)
-SELECT doc_id, parser, max(CASE WHEN parser = 'short' THEN n ELSE 0 END) OVER (PARTITION BY source) < 200 AS plausible FROM r""",
 }

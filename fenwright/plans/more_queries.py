@@ -9,7 +9,7 @@ from ..functions import address, dates, merge, numbers, text, urls
 from ..operators import matching
 from ..streaming import lookups
 from .page_queries import read
-from .table_queries import TIME, USER, is_
+from .table_queries import TIME, USER, boxes, is_
 
 
 def answer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,17 +17,12 @@ def answer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.answer_states_batch(log, "user_id", TIME)
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 50).alias("block"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)])
-    return e.withColumn("box", F.struct(F.least("e0", "e1").alias("x0"), F.least("e2", "e3").alias("y0"), F.greatest("e0", "e1").alias("x1"), F.greatest("e2", "e3").alias("y1")))
-
-
 def heading_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every box the nearest one above it on its page; a page holds the boxes of a label out of fifty."""
-    b = _boxes(spark, sf_dir)
-    images = b.select("label", "block", F.col("vec_id").alias("image_id"), "box")
-    headings = b.select("label", "block", F.col("vec_id").alias("heading_id"), F.col("box").alias("head"))
-    return matching.nearest_above(images, headings, ["label", "block"]).select("image_id", "heading_id")
+    """For every box the nearest one above it on the page of its label."""
+    b = boxes(spark, sf_dir)
+    images = b.select("label", F.col("vec_id").alias("image_id"), "box")
+    headings = b.select("label", F.col("vec_id").alias("heading_id"), F.col("box").alias("head"))
+    return matching.nearest_above(images, headings, ["label"]).select("image_id", "heading_id")
 
 
 def page_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +50,13 @@ def identity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def address_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's composed address against a candidate that differs in number, street or postcode."""
+    """A customer's composed address against a candidate that differs in number, range, street, name, locality or postcode."""
     k = F.col("c_custkey")
-    want = F.concat((k % 9 + 1).cast("string"), F.lit(" Market St, London EC1A 1BB"))
-    got = F.concat((k % 7 + 1).cast("string"), F.when(k % 4 == 0, F.lit(" Mill Road")).otherwise(F.lit(" Market Street")), F.lit(", London, "), F.when(k % 3 == 0, F.lit("EC1A 1BB")).otherwise(F.lit("W1A 2AA")))
+    want = F.concat(F.lit("Unit House, "), (k % 9 + 1).cast("string"), F.lit(" Market St, London EC1A 1BB"))
+    number = F.when(k % 5 == 0, F.concat((k % 7 + 1).cast("string"), F.lit("-"), (k % 7 + 4).cast("string"))).when(k % 11 == 0, F.lit("")).otherwise((k % 7 + 1).cast("string"))
+    got = F.concat(F.when(k % 2 == 0, F.lit("Unit House, ")).otherwise(F.lit("")), number, F.when(k % 4 == 0, F.lit(" Mill Road")).otherwise(F.lit(" Market Street")), F.when(k % 6 == 0, F.lit(", Camden, ")).otherwise(F.lit(", London, ")), F.when(k % 3 == 0, F.lit("EC1A 1BB")).otherwise(F.lit("W1A 2AA")))
     s = address.assess(address.parse_address(want), address.parse_address(got))
-    return read(spark, sf_dir, "customer").select("c_custkey", s.alias("s")).select("c_custkey", F.col("s.score").cast("long").alias("score"), "s.rejected")
+    return read(spark, sf_dir, "customer").select("c_custkey", s.alias("s")).select("c_custkey", F.col("s.score").cast("long").alias("score"), "s.rejected", "s.reason")
 
 
 def source_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,22 +67,15 @@ def source_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_type"))), lambda s: s["p_type"]).alias("types"))
+    """The types of a brand's parts, each once, in the order in which they first occur."""
+    first = read(spark, sf_dir, "part").groupBy("p_brand", F.lower("p_type").alias("t")).agg(F.min_by("p_type", "p_partkey").alias("p_type"), F.min("p_partkey").alias("k"))
+    g = first.groupBy("p_brand").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "p_type"))), lambda s: s["p_type"]).alias("types"))
     return g.select("p_brand", text.join_distinct(F.col("types")).alias("types"))
 
 
-def photo_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dearest eight lines of an order's ship month; ties by key."""
-    li = read(spark, sf_dir, "lineitem").withColumn("m", F.date_format("l_shipdate", "yyyy-MM"))
-    w = Window.partitionBy("m").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return li.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 8").select("m", "rank", "l_orderkey", "l_extendedprice")
-
-
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of a page from top to bottom in rows of ten, then from left to right."""
-    b = _boxes(spark, sf_dir).select("vec_id", "block", F.floor(F.col("box.y0") * 10).cast("long").alias("row"), F.col("box.x0").alias("x"))
-    w = Window.partitionBy("block").orderBy("row", "x", "vec_id")
-    return b.select("vec_id", F.row_number().over(w).cast("long").alias("place"))
+    d = matching.reading_order(boxes(spark, sf_dir), ["label"], F.col("box.x0"), F.col("box.y0"), "vec_id")
+    return d.select("vec_id", F.col("place").cast("long").alias("place"))
 
 
 def lease_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,12 +85,23 @@ def lease_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines of lease_terms (fixed values).
-TERMS = ["12 months", "Minimum 1 year", "rolling", "10-12 desks", "see website"]
+TERMS = ["12 months", "Minimum 1 yr", "rolling", "10-12 desks", "see website", "Copyright 2025, 24 months", "Flexible or 36 Months", "negotiable", "2 YRS", "terms of use"]
+
+
+#: Hosts and paths that stand for a page's own in url_flags, by its id (fixed values).
+FLAG_PLACES = [
+    "", "https://drive.google.com/file/d/A-1_b/view", "https://app.box.com/s/ab12?x=1", "https://www.dropbox.com/s/x/y.doc?dl=0", "http://10.1.2.3/a.pdf", "http://100.64.9.9/x", "https://[fe80::1]/a", "https://224.0.0.9:80/z", "http://8.8.8.8/media/x",
+    "https://www.canva.com/design/1", "https://x.list-manage.com/track?u=1", "https://a.example/p/Floor-Plan/view", "https://a.example/p/floorplan.PNG?v=1", "https://a.example/gallery.html", "ftp://a.example/x.pdf", "http://printer.local/x",
+]
 
 
 def url_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("url")
-    return read(spark, sf_dir, "pages").select("page_id", urls.is_public(u).alias("public"), urls.is_image_like(u).alias("image"), urls.is_document_like(u).alias("document"), urls.document_rank(u).cast("long").alias("rank"), urls.resource_type(F.col("html").cast("binary"), F.lit("text/html")).alias("type"))
+    given = F.element_at(F.array(*[F.lit(x) for x in FLAG_PLACES]), (F.col("page_id") % len(FLAG_PLACES) + 1).cast("int"))
+    u = F.when(given == "", F.col("url")).otherwise(given)
+    flags = {"public": urls.is_public, "image": urls.is_image_like, "document": urls.is_document_like, "hosted": urls.is_hosted_document, "plan_page": urls.is_plan_page, "viewer": urls.is_viewer, "seed": urls.is_document_seed, "low_trust": urls.is_low_trust, "direct": urls.direct_document}
+    kind = urls.resource_type(F.when(F.col("page_id") % 3 == 0, F.lit("%PDF-1").cast("binary")).otherwise(F.col("html").cast("binary")), F.when(F.col("page_id") % 2 == 0, F.lit("text/html")).otherwise(F.lit("")))
+    d = read(spark, sf_dir, "pages").select("page_id", "html", u.alias("u"))
+    return d.select("page_id", *[f(F.col("u")).alias(k) for k, f in flags.items()], urls.document_rank(F.col("u")).cast("long").alias("rank"), urls.direct_download(F.col("u")).alias("download"), kind.alias("type"))
 
 
 def list_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,14 +110,14 @@ def list_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.size(kept).cast("long").alias("kept"), F.md5(F.array_join(kept, "|")).alias("kept_md5"))
 
 
-QUERIES = {f.__name__: f for f in (answer_states, heading_above, page_occurrences, item_islands, identity_gate, address_scores, source_dates, join_distinct, photo_caps, reading_order, lease_terms, url_flags, list_cap)}
+QUERIES = {f.__name__: f for f in (answer_states, heading_above, page_occurrences, item_islands, identity_gate, address_scores, source_dates, join_distinct, reading_order, lease_terms, url_flags, list_cap)}
 
-_BOX = "b AS (SELECT vec_id, label, vec_id // 50 AS block, least(embedding[1], embedding[2])::DOUBLE AS x0, greatest(embedding[1], embedding[2])::DOUBLE AS x1, least(embedding[3], embedding[4])::DOUBLE AS y0, greatest(embedding[3], embedding[4])::DOUBLE AS y1 FROM embeddings)"
+_BOX = "b AS (SELECT vec_id, label, least(embedding[1], embedding[2])::DOUBLE * 100 AS x0, greatest(embedding[1], embedding[2])::DOUBLE * 100 AS x1, least(embedding[3], embedding[4])::DOUBLE * 100 AS y0, greatest(embedding[3], embedding[4])::DOUBLE * 100 AS y1 FROM embeddings)"
 SQL = {
     "answer_states": """WITH m AS (SELECT user_id, event_type = 'purchase' AS found, sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS m FROM events),
 g AS (SELECT user_id, min(m) FILTER (found AND m < 3) AS ok, least(max(m), 3) AS n FROM m GROUP BY user_id)
 SELECT user_id, CASE WHEN ok IS NOT NULL THEN 'found' WHEN n >= 3 THEN 'final' ELSE 'flaky' END AS status, coalesce(ok, n)::INTEGER AS misses FROM g""",
-    "heading_above": f"""WITH {_BOX}, p AS (SELECT i.vec_id AS image_id, h.vec_id AS heading_id, row_number() OVER (PARTITION BY i.vec_id ORDER BY h.y1 DESC, h.vec_id DESC) AS k FROM b i JOIN b h USING (label, block)
+    "heading_above": f"""WITH {_BOX}, p AS (SELECT i.vec_id AS image_id, h.vec_id AS heading_id, row_number() OVER (PARTITION BY i.vec_id ORDER BY h.y1 DESC, h.vec_id DESC) AS k FROM b i JOIN b h USING (label)
   WHERE h.y1 <= i.y0 AND h.x0 < i.x1 AND h.x1 > i.x0)
 SELECT b.vec_id AS image_id, p.heading_id FROM b LEFT JOIN p ON p.image_id = b.vec_id AND p.k = 1""",
     "page_occurrences": """WITH o AS (SELECT o_orderkey, o_custkey, month(o_orderdate) AS page FROM orders), s AS (SELECT o_custkey, page, unnest(range(least(count(*), 2))) AS i FROM o GROUP BY o_custkey, page),
@@ -128,16 +128,22 @@ s AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> event_type THEN 1 ELSE 0 END) OV
 SELECT s.event_id, s.segment_no, i.event_id AS item FROM s LEFT JOIN e i ON i.user_id = s.user_id AND i.place = s.segment_no""",
     "identity_gate": """SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 4 <> c_custkey % 3 THEN 'HARD_CONFLICT'
   WHEN c_custkey % 2 = 0 AND (c_custkey % 5 <> 0 OR c_custkey % 7 <> 0) THEN 'MATCH' WHEN c_custkey % 2 = 0 OR c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN 'PROBABLE_MATCH' ELSE 'AMBIGUOUS' END AS decision FROM customer""",
-    "address_scores": """SELECT c_custkey, (CASE WHEN c_custkey % 9 = c_custkey % 7 THEN 45 ELSE 0 END + CASE WHEN c_custkey % 4 <> 0 THEN 40 ELSE 0 END + 4 + CASE WHEN c_custkey % 3 = 0 THEN 10 ELSE -5 END)::BIGINT AS score,
-  c_custkey % 9 <> c_custkey % 7 OR c_custkey % 4 = 0 AS rejected FROM customer""",
+    "address_scores": """WITH d AS (SELECT c_custkey AS k, c_custkey % 9 + 1 AS want, c_custkey % 7 + 1 AS low, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 7 + 4 ELSE c_custkey % 7 + 1 END AS high, c_custkey % 5 <> 0 AND c_custkey % 11 = 0 AS bare FROM customer),
+r AS (SELECT *, CASE WHEN bare THEN 'number missing' WHEN want NOT BETWEEN low AND high THEN 'number differs' WHEN k % 4 = 0 THEN 'street differs' ELSE '' END AS reason FROM d)
+SELECT k AS c_custkey, (CASE WHEN reason <> '' THEN 0 ELSE 85 + CASE WHEN k % 2 = 0 THEN 8 ELSE 0 END + CASE WHEN k % 6 <> 0 THEN 4 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 10 ELSE -5 END END)::BIGINT AS score, reason <> '' AS rejected, reason FROM r""",
     "source_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 <> 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2000-01-01' END AS day FROM orders",
     "join_distinct": "WITH f AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand, lower(p_type) ORDER BY p_partkey) AS k, p_partkey FROM part) SELECT p_brand, string_agg(p_type, ', ' ORDER BY p_partkey) AS types FROM f WHERE k = 1 GROUP BY p_brand",
-    "photo_caps": "WITH r AS (SELECT strftime(l_shipdate, '%Y-%m') AS m, row_number() OVER (PARTITION BY strftime(l_shipdate, '%Y-%m') ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rank, l_orderkey, l_extendedprice FROM lineitem) SELECT * FROM r WHERE rank <= 8",
-    "reading_order": f"WITH {_BOX} SELECT vec_id, row_number() OVER (PARTITION BY block ORDER BY floor(y0 * 10), x0, vec_id) AS place FROM b",
-    "lease_terms": "SELECT p_partkey, ['12 months', '1 year', 'Rolling', '', ''][p_partkey % 5 + 1] AS term, [12, 1, NULL, 12, NULL][p_partkey % 5 + 1]::BIGINT AS desks FROM part",
-    "url_flags": r"""WITH p AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path FROM pages)
-SELECT page_id, true AS public, regexp_matches(path, '\.(jpe?g|png|gif|webp|bmp|tiff?)$') AS image, regexp_matches(path, '\.(pdf|docx?|pptx?)$') AS document,
-  CASE WHEN regexp_matches(path, '\.(jpe?g|png|gif|webp|bmp|tiff?)$') THEN 0 WHEN regexp_matches(path, '\.(pdf|docx?|pptx?)$') THEN 3 WHEN regexp_matches(lower(url), 'download|dl=1') THEN 2 ELSE 1 END::BIGINT AS rank, 'html' AS type FROM p""",
+    "reading_order": f"WITH {_BOX} SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY round_even(y0 / 10, 0), x0, vec_id) AS place FROM b",
+    "lease_terms": "SELECT p_partkey, ['12 months', '1 year', 'Rolling', '', '', '', 'Flexible', '', '2 years', ''][p_partkey % 10 + 1] AS term, [12, 1, NULL, 12, NULL, 2025, 36, NULL, 2, NULL][p_partkey % 10 + 1]::BIGINT AS desks FROM part",
+    "url_flags": r"""WITH g AS (SELECT page_id, url, page_id % 16 AS k FROM pages),
+f(k, u, public, image, document, hosted, plan_page, viewer, seed, low_trust, direct, rank, download) AS (VALUES
+  (1, '', true, false, false, true, false, true, true, false, false, 2, 'https://drive.usercontent.google.com/download?id=A-1_b&export=download'), (2, '', true, false, false, true, false, true, true, true, false, 2, 'https://app.box.com/shared/static/ab12.pdf'),
+  (3, '', true, false, true, true, false, true, true, false, false, 2, 'https://www.dropbox.com/s/x/y.doc?dl=1'), (4, 'http://10.1.2.3/a.pdf', false, false, true, false, false, true, true, false, true, 3, ''), (5, 'http://100.64.9.9/x', false, false, false, false, false, false, true, false, false, 1, ''),
+  (6, 'https://[fe80::1]/a', false, false, false, false, false, false, true, false, false, 1, ''), (7, 'https://224.0.0.9:80/z', true, false, false, false, false, false, true, false, false, 1, ''), (8, 'http://8.8.8.8/media/x', true, true, false, false, false, false, false, false, false, 1, ''),
+  (9, 'https://www.canva.com/design/1', true, false, false, false, false, true, true, true, false, 0, ''), (10, 'https://x.list-manage.com/track?u=1', true, false, false, true, false, true, true, false, false, 1, ''), (11, 'https://a.example/p/Floor-Plan/view', true, false, false, false, true, true, true, false, false, 1, ''),
+  (12, 'https://a.example/p/floorplan.PNG?v=1', true, true, false, false, false, false, false, false, false, 1, ''), (13, 'https://a.example/gallery.html', true, false, false, false, false, false, true, false, false, 1, ''), (14, 'ftp://a.example/x.pdf', true, false, true, false, false, true, true, false, false, 0, ''), (15, 'http://printer.local/x', false, false, false, false, false, false, true, false, false, 1, ''))
+SELECT page_id, coalesce(public, true) AS public, coalesce(image, false) AS image, coalesce(document, false) AS document, coalesce(hosted, false) AS hosted, coalesce(plan_page, false) AS plan_page, coalesce(viewer, false) AS viewer, coalesce(seed, true) AS seed, coalesce(low_trust, false) AS low_trust, coalesce(direct, false) AS direct,
+  coalesce(rank, 1)::BIGINT AS rank, CASE WHEN f.k IS NULL THEN url WHEN download <> '' THEN download ELSE u END AS download, CASE WHEN page_id % 3 = 0 THEN 'pdf' WHEN page_id % 2 = 0 THEN 'html' ELSE 'unknown' END AS type FROM g LEFT JOIN f USING (k)""",
     "list_cap": r"""WITH s AS (SELECT doc_id, list_filter(list_transform(str_split(regexp_replace(text, '\s+', ' ', 'g'), '.'), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r\x{00A0}]+', ' ', 'g'))), lambda x: x <> '') AS a FROM documents),
 u AS (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM s), c AS (SELECT *, sum(len(str_split(x, ' '))) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS n FROM u),
 k AS (SELECT doc_id, x, i FROM c WHERE n <= 100 AND i < 12)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -62,8 +62,8 @@ def reports(docs: DataFrame, out: DataFrame) -> DataFrame:
     d = d.withColumn("status", F.when(F.col("error") != "", "error").otherwise(F.col("status")))
     name = F.concat_ws(" - ", F.nullif(text.sanitize_name(text.provider_from_filename(F.col("filename"))), F.lit("")), F.col("area"))
     d = d.withColumn("name", name)
-    k = F.row_number().over(Window.partitionBy("name").orderBy("doc_id"))
-    return d.withColumn("output_name", F.concat(F.when(k == 1, F.col("name")).otherwise(F.concat("name", F.lit(" ("), k.cast("string"), F.lit(")"))), F.lit(".xlsx"))).drop("name")
+    d = sequence.unique_names(d, "name", ["doc_id"], "unique_name")
+    return d.withColumn("output_name", F.concat("unique_name", F.lit(".xlsx"))).drop("name", "unique_name")
 
 
 def process_files(spark: SparkSession, path: str, **options) -> Result:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import document_queries, more_queries, page_queries, table_queries
+from . import document_queries, listing_queries, more_queries, page_queries, table_queries
 
-_MODULES = (page_queries, document_queries, table_queries, more_queries)
+_MODULES = (page_queries, document_queries, table_queries, more_queries, listing_queries)
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import address, merge, numbers, text
-from ..operators import groups, matching, sequence, validation
+from ..operators import groups, matching, sequence
 from .page_queries import read
 
 USER, TIME = ["user_id"], ["ts", "event_id"]
@@ -114,11 +114,14 @@ def two_pass_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's value against its dearest order's: a priority in words, or a price as a number that is up to 3 % off."""
     c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
-    best = o.groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("o_totalprice", "o_orderkey")).alias("found"), F.count(F.lit(1)).alias("n"))
+    best = o.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderpriority", "o_totalprice"), F.struct("o_totalprice", "o_orderkey")).alias("b"), F.count(F.lit(1)).alias("n"))
     k = F.col("c_custkey")
-    value = F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.lit("1-URGENT")).otherwise(F.lit("5-LOW"))
-    d = c.join(best, k == F.col("o_custkey"), "left").select("c_custkey", value.alias("value"), F.when(k % 2 == 0, F.lit(0.6)).otherwise(F.lit(0.95)).alias("confidence"), "found", F.least(F.lit(1.0), 0.5 + 0.05 * F.coalesce("n", F.lit(0))).alias("new"))
+    price = F.floor("b.o_totalprice").cast("long")
+    value = F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit("1 urgent")).when(k % 4 == 2, F.lit("5-LOW")).otherwise(F.floor(price + price * (k % 61 - 30) / 1000).cast("long").cast("string"))
+    found = F.when(k % 4 == 3, price.cast("string")).otherwise(F.col("b.o_orderpriority"))
+    d = c.join(best, k == F.col("o_custkey"), "left").select("c_custkey", value.alias("value"), F.when(k % 2 == 0, F.lit(0.6)).otherwise(F.lit(0.95)).alias("confidence"), found.alias("found"), F.least(F.lit(1.0), 0.5 + 0.05 * F.coalesce("n", F.lit(0))).alias("new"))
     m = merge.merge_value(F.col("value"), F.col("confidence"), F.col("found"), F.col("new"))
     return d.select("c_custkey", m.alias("m")).select("c_custkey", "m.value", F.round("m.confidence", 4).alias("confidence"), "m.outcome")
 
@@ -129,28 +132,10 @@ def tolerant_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.count_if(same).alias("equal"))
 
 
-def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [
-        validation.rule("c_name", "name missing", "error", F.col("c_name") == "", F.col("c_name")),
-        validation.rule("c_acctbal", "balance negative", "warning", F.col("c_acctbal") < 0, F.round("c_acctbal", 2).cast("string")),
-        validation.rule("c_mktsegment", "segment needs a look", "info", F.col("c_mktsegment") == "MACHINERY", F.col("c_mktsegment")),
-        validation.rule("c_nationkey", "nation unknown", "error", ~F.col("c_nationkey").between(0, 24), F.col("c_nationkey").cast("string")),
-    ]
-    return validation.issues(read(spark, sf_dir, "customer"), "c_custkey", rules)
-
-
-def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _issues(spark, sf_dir).select("c_custkey", "field", "message", "severity")
-
-
-def qa_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diagnostics = read(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("P", "F")).select(F.col("o_custkey").alias("c_custkey"), F.lit("order").alias("field"), F.concat(F.lit("status "), F.col("o_orderstatus")).alias("message"), F.when(F.col("o_orderstatus") == "P", "warning").otherwise("info").alias("severity"))
-    rows = _issues(spark, sf_dir).select("c_custkey", "field", "message", "severity").unionByName(diagnostics)
-    return rows.groupBy("field", "message", "severity").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("c_custkey").alias("customers"))
-
-
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.unique_names(read(spark, sf_dir, "part"), "p_name", ["p_partkey"], "unique_name").select("p_partkey", "unique_name")
+    """Names of parts, of which some already end like a second one of the name."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(" (2)"))).otherwise(F.col("p_name")).alias("name"))
+    return sequence.unique_names(p, "name", ["p_partkey"], "unique_name").select("p_partkey", "unique_name")
 
 
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,58 +155,48 @@ def tiered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.col("tier").cast("long").alias("tier"), "hits")
 
 
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rectangles of vectors, on a page of a thousand units a side for each label."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", *[(F.get("embedding", F.lit(i)).cast("double") * 100).alias(f"e{i}") for i in range(4)])
+    return e.withColumn("box", F.struct(F.least("e0", "e1").alias("x0"), F.least("e2", "e3").alias("y0"), F.greatest("e0", "e1").alias("x1"), F.greatest("e2", "e3").alias("y1")))
+
+
 def spatial_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each rectangle the one of its page (the boxes of a label out of fifty) that covers most of it, of at least a half; the later on ties."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 50).alias("block"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)])
-    box = F.struct(F.least("e0", "e1").alias("x0"), F.least("e2", "e3").alias("y0"), F.greatest("e0", "e1").alias("x1"), F.greatest("e2", "e3").alias("y1"))
-    a = e.select("vec_id", "label", "block", box.alias("a"))
-    b = e.select(F.col("vec_id").alias("other"), "label", "block", box.alias("b"))
-    d = a.join(b, ["label", "block"]).filter("vec_id <> other").withColumn("part", F.round(matching.overlap(F.col("a"), F.col("b")), 6)).filter("part >= 0.5")
-    return d.groupBy("vec_id").agg(F.max_by("other", F.struct("part", "other")).alias("other"), F.max("part").alias("part"))
+    """For each even rectangle the last odd one of its label with which it shares more than half of the area that both cover."""
+    e = boxes(spark, sf_dir)
+    images = e.filter("vec_id % 2 = 0").select("label", F.col("vec_id").alias("image_id"), "box")
+    links = e.filter("vec_id % 2 = 1").select("label", F.col("vec_id").alias("link_id"), F.col("box").alias("rect"), F.col("vec_id").alias("place"))
+    return matching.covering(images, links, ["label"]).select("image_id", "link_id")
 
 
 def status_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    line = F.concat(F.element_at(F.array(*[F.lit(s) for s in STATUS_LINES]), (k % len(STATUS_LINES) + 1).cast("int")), F.lit("; "), F.col("p_name"))
-    d = read(spark, sf_dir, "part").select("p_partkey", line.alias("t"))
-    r = text.reclassify(F.col("t"), F.lit(""))
-    return d.select("p_partkey", text.status_tag(F.col("t")).alias("tag"), r["features"].alias("features"), r["status"].alias("status"), text.floor_token(F.col("t")).alias("floor"))
+    line = F.element_at(F.array(*[F.lit(s) for s in STATUS_LINES]), (k % len(STATUS_LINES) + 1).cast("int"))
+    t = F.when(k % 3 == 0, line).when(k % 3 == 1, F.concat(line, F.lit("; "), F.col("p_name"))).otherwise(F.concat(F.lit("Bright "), F.lower(line), F.lit(" space near "), F.col("p_name")))
+    d = read(spark, sf_dir, "part").select("p_partkey", t.alias("t"))
+    p = text.partition_status(F.col("t"))
+    return d.select("p_partkey", text.status_tag(F.col("t")).alias("tag"), p["status"].alias("status"), p["rest"].alias("rest"), text.reclassify(F.col("t"), F.lit(""))["status"].alias("moved"), text.floor_token(F.col("t")).alias("floor"))
 
 
 #: Lines of status_tag (fixed values).
-STATUS_LINES = ["Fully managed", "CAT A plus", "plug and play", "Third floor", "12th floor", "under offer", "Coming soon", "meeting rooms"]
-
-
-def header_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header rows mapped to targets by key words, and cells read through the map."""
-    from ..operators import tables
-
-    rows = spark.createDataFrame([(d, i, r) for d, grid in enumerate(GRIDS) for i, r in enumerate(grid)], "doc_id int, row_idx int, cells array<string>").withColumn("table_idx", F.lit(0))
-    return tables.read_grid(rows).select("doc_id", "row_idx", "building", "floor", "size", "price")
-
+STATUS_LINES = ["Fully  Fitted", "CAT A", "plug & play", "Fitted (2nd hand)", "12th floor", "Under Offer", "Fit-out underway", "meeting rooms", "CAT B - custom fit out opportunity", "unfurnished", "available immediately", "Vacant possession", "cat a fitted", "Third floor", "custom fit out opportunity", "fully managed"]
 
-#: Tables of header_mapping (fixed values).
-GRIDS = [
-    [["Building", "Floor", "Size (sq ft)", "Rent", "Contact"], ["Alpha House", "1st", "1,200", "£50", "Ann"], ["Beta Court", "Ground", "n/a", "", "Bob"]],
-    [["Availability list"], ["Address", "Unit", "Area sq ft", "Price pcm"], ["1 High St", "2nd", "900", "4,500"]],
-    [["Name", "Comment"], ["x", "y"]],
-]
 
 QUERIES = {
     f.__name__: f
     for f in (
         *(link_segments, asof_backward, asof_forward_barrier, nearest_within_6, rate_limit_60s, range_block_join, price_pair, postcode_address_parse, area_consensus, richest_sibling, donor_fanout, candidate_ranking),
-        *(source_agreement, geo_ambiguity, two_pass_match, confidence_merge, tolerant_equality, validation_issues, qa_union, unique_names, json_extract, tiered_match, spatial_iou, status_tag, header_mapping),
+        *(source_agreement, geo_ambiguity, two_pass_match, confidence_merge, tolerant_equality, unique_names, json_extract, tiered_match, spatial_iou, status_tag),
     )
 }
 
-_ISSUES = """i AS (
-  SELECT c_custkey, 'c_name' AS field, 'name missing' AS message, 'error' AS severity FROM customer WHERE c_name = '' UNION ALL
-  SELECT c_custkey, 'c_acctbal', 'balance negative', 'warning' FROM customer WHERE c_acctbal < 0 UNION ALL
-  SELECT c_custkey, 'c_mktsegment', 'segment needs a look', 'info' FROM customer WHERE c_mktsegment = 'MACHINERY' UNION ALL
-  SELECT c_custkey, 'c_nationkey', 'nation unknown', 'error' FROM customer WHERE c_nationkey NOT BETWEEN 0 AND 24)"""
 _W = "(PARTITION BY user_id ORDER BY ts, event_id"
-_STATUS_CASE = "CASE " + " ".join(f"WHEN regexp_matches(lower(t), '{p.replace('(?:', '(')}') THEN '{n}'" for p, n in text.STATUS) + " ELSE '' END"
+#: As the reference rules name them; not taken from the functions, which these queries check.
+_STATUS = r"(?i)\b(fully\s+fitted|partially\s+fitted|fit[\s\-]*outs?\s+underway|cat\s*[ab]\s*[-–—]\s*custom\s+fit\s*outs?\s+opportunity|cat\s*[ab]\s*[-–—]?\s*(custom\s+)?fit\s*outs?(\s+opportunity)?|cat\s*[ab]\s*fitted|custom\s+fit\s*out\s+opportunity|cat\s*[ab]\b|fitted|plug\s*(and|&)\s*play|available\s+(now|immediately)|immediate(\s+availability)?|vacant\s+possession|coming\s+soon|under\s+offer)\b"
+_STATUS_NAME = """CASE WHEN {0} = '' THEN '' WHEN regexp_matches({0}, 'fully\\s+fitted') THEN 'Fully Fitted' WHEN regexp_matches({0}, 'partially\\s+fitted') THEN 'Partially Fitted' WHEN contains({0}, 'underway') THEN 'Fitout Underway'
+  WHEN regexp_matches({0}, 'cat\\s*a.*(custom|opportunity)') THEN 'CAT A - Custom Fit Out Opportunity' WHEN regexp_matches({0}, 'cat\\s*a') THEN 'CAT A' WHEN regexp_matches({0}, 'cat\\s*b.*(custom|opportunity)') THEN 'CAT B - Custom Fit Out Opportunity' WHEN regexp_matches({0}, 'cat\\s*b') THEN 'CAT B'
+  WHEN {0} = 'fitted' THEN 'Fitted' WHEN regexp_matches({0}, 'plug') THEN 'Plug and Play' WHEN {0} = 'available now' THEN 'Available now' WHEN contains({0}, 'immediate') THEN 'Immediate' WHEN contains({0}, 'vacant') THEN 'Vacant possession'
+  WHEN contains({0}, 'coming') THEN 'Coming soon' WHEN contains({0}, 'offer') THEN 'Under offer' ELSE upper({0}[1]) || {0}[2:] END"""
 _LINES = "['" + "', '".join(STATUS_LINES) + "']"
 SQL = {
     "link_segments": f"WITH s AS (SELECT *, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER {_W} ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM events) SELECT user_id, segment, count(*) AS events, min(event_id) AS first_event, max(event_id) AS last_event FROM s GROUP BY user_id, segment",
@@ -235,7 +210,7 @@ SELECT e.event_id, p.sid AS signup_id FROM e LEFT JOIN p ON p.event_id = e.event
     "range_block_join": "SELECT b.user_id, b.event_id AS begin, count(*) AS rows, max(e.event_id) AS last_event FROM events b JOIN events e ON e.user_id = b.user_id AND e.event_id >= b.event_id AND e.event_id < b.event_id + 400 WHERE b.event_type = 'purchase' GROUP BY b.user_id, b.event_id",
     "price_pair": """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS s, CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice END AS m, CASE WHEN l_linenumber % 2 <> 1 THEN floor(l_extendedprice / 100 * 100 + 0.5::DOUBLE) / 100 END AS f FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN m IS NULL AND f <> 0 AND s <> 0 THEN floor(f * s / 12 * 100 + 0.5::DOUBLE) / 100 ELSE m END AS pcm, CASE WHEN f IS NULL AND m <> 0 AND s <> 0 THEN floor(m * 12 / s * 100 + 0.5::DOUBLE) / 100 ELSE f END AS psf FROM p""",
-    "postcode_address_parse": "SELECT c_custkey, (c_custkey % 90 + 10)::VARCHAR AS number, 'Unit House' AS name, 'market street' AS street, 'London' AS locality, 'EC' || (c_custkey % 4 + 1) || 'A ' || (c_custkey % 9 + 1) || 'AB' AS postcode, (c_custkey % 90 + 10) || ' Market St' AS street_only FROM customer",
+    "postcode_address_parse": "SELECT c_custkey, (c_custkey % 90 + 10)::VARCHAR AS number, 'unit house' AS name, 'market street' AS street, 'london' AS locality, 'EC' || (c_custkey % 4 + 1) || 'A ' || (c_custkey % 9 + 1) || 'AB' AS postcode, (c_custkey % 90 + 10) || ' Market St' AS street_only FROM customer",
     "area_consensus": "SELECT o_custkey, CASE WHEN count(DISTINCT nullif(o_orderpriority, '')) = 1 THEN max(o_orderpriority) END AS priority, count(*) AS orders FROM orders GROUP BY o_custkey",
     "richest_sibling": "SELECT p_brand, p_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_partkey) AS k FROM part) WHERE k = 1",
     "donor_fanout": "WITH d AS (SELECT *, first_value(o_orderkey) OVER w AS dk, first_value(o_orderstatus) OVER w AS dst FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN dk END AS donor_order, CASE WHEN o_totalprice < 50000 THEN dst ELSE o_orderstatus END AS status FROM d",
@@ -249,23 +224,31 @@ SELECT label, bool_or(km > 20 OR km <= 0.03 AND NOT same) AS ambiguous, round(ma
     "two_pass_match": """WITH c AS (SELECT c_custkey, c_nationkey AS n, c_acctbal > 5000 AS r FROM customer), s AS (SELECT s_nationkey AS n, s_acctbal > 5000 AS r, s_suppkey, s_name FROM supplier),
 a AS (SELECT n, r, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY n, r ORDER BY s_name, s_suppkey) AS k FROM s) WHERE k = 1), b AS (SELECT n, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY s_name, s_suppkey) AS k FROM s) WHERE k = 1)
 SELECT c_custkey, coalesce(a.s_suppkey, b.s_suppkey) AS supplier, CASE WHEN a.s_suppkey IS NOT NULL THEN 'strict' WHEN b.s_suppkey IS NOT NULL THEN 'relaxed' END AS pass FROM c LEFT JOIN a ON a.n = c.n AND a.r = c.r LEFT JOIN b ON b.n = c.n""",
-    "confidence_merge": """WITH o AS (SELECT o_custkey, o_orderpriority AS found, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS k FROM orders),
-d AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '1-URGENT' ELSE '5-LOW' END AS value, CASE WHEN c_custkey % 2 = 0 THEN 0.6::DOUBLE ELSE 0.95::DOUBLE END AS conf, found, least(1.0::DOUBLE, 0.5::DOUBLE + 0.05::DOUBLE * coalesce(n, 0)) AS new FROM customer LEFT JOIN o ON o_custkey = c_custkey AND k = 1),
-m AS (SELECT *, CASE WHEN coalesce(found, '') = '' THEN 'no evidence' WHEN value = '' THEN CASE WHEN new >= 0.7::DOUBLE THEN 'filled' ELSE 'too weak' END WHEN lower(value) = lower(found) THEN 'agrees' WHEN conf < 0.8::DOUBLE AND new > conf THEN 'replaced' ELSE 'conflict' END AS outcome FROM d)
-SELECT c_custkey, CASE WHEN outcome IN ('filled', 'replaced') THEN found ELSE value END AS value, round(CASE WHEN outcome IN ('filled', 'replaced') THEN new WHEN outcome = 'agrees' THEN greatest(conf, new) ELSE conf END, 4) AS confidence, outcome FROM m""",
+    "confidence_merge": """WITH o AS (SELECT o_custkey, o_orderpriority, floor(o_totalprice)::BIGINT AS price, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS k FROM orders),
+d AS (SELECT c_custkey, price, CASE WHEN c_custkey % 4 = 3 THEN floor(price + price * (c_custkey % 61 - 30) / 1000)::BIGINT END AS guess, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '1 urgent' WHEN 2 THEN '5-LOW' ELSE floor(price + price * (c_custkey % 61 - 30) / 1000)::BIGINT::VARCHAR END AS value,
+  CASE WHEN c_custkey % 2 = 0 THEN 0.6::DOUBLE ELSE 0.95::DOUBLE END AS conf, CASE WHEN c_custkey % 4 = 3 THEN price::VARCHAR ELSE o_orderpriority END AS found, least(1.0::DOUBLE, 0.5::DOUBLE + 0.05::DOUBLE * coalesce(n, 0)) AS new FROM customer LEFT JOIN o ON o_custkey = c_custkey AND k = 1),
+m AS (SELECT *, CASE WHEN coalesce(found, '') = '' THEN 'no evidence' WHEN value = '' THEN CASE WHEN new >= 0.7::DOUBLE THEN 'filled' ELSE 'too weak' END
+  WHEN guess IS NOT NULL AND abs(guess - price) <= greatest(1.0::DOUBLE, guess * 0.02::DOUBLE) OR guess IS NULL AND replace(lower(value), '-', ' ') = replace(lower(found), '-', ' ') THEN 'agrees' WHEN conf < 0.8::DOUBLE AND new > conf THEN 'replaced' ELSE 'conflict' END AS outcome FROM d)
+SELECT c_custkey, coalesce(CASE WHEN outcome IN ('filled', 'replaced') THEN found ELSE value END, '') AS value, round(CASE WHEN outcome IN ('filled', 'replaced') THEN new ELSE conf END, 4) AS confidence, outcome FROM m""",
     "tolerant_equality": "SELECT l_returnflag, count(*) AS rows, count(*) FILTER (abs(l_extendedprice - l_quantity * p_retailprice) <= greatest(1.0::DOUBLE, abs(l_extendedprice) * 0.02::DOUBLE)) AS equal FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_returnflag",
-    "validation_issues": f"WITH {_ISSUES} SELECT * FROM i",
-    "qa_union": f"WITH {_ISSUES}, u AS (SELECT * FROM i UNION ALL SELECT o_custkey, 'order', 'status ' || o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 'warning' ELSE 'info' END FROM orders WHERE o_orderstatus IN ('P', 'F')) SELECT field, message, severity, count(*) AS rows, count(DISTINCT c_custkey) AS customers FROM u GROUP BY ALL",
-    "unique_names": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part) SELECT p_partkey, CASE WHEN k = 1 THEN p_name ELSE p_name || ' (' || k || ')' END AS unique_name FROM n",
+    "unique_names": """WITH p AS (SELECT p_partkey, p_name, p_partkey % 5 = 0 AS two FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY p_name, two ORDER BY p_partkey) AS k FROM p),
+f AS (SELECT p_name, min(p_partkey) FILTER (two) AS first_two, min(p_partkey) FILTER (NOT two AND k = 2) AS second_plain FROM n GROUP BY p_name)
+SELECT p_partkey, CASE WHEN first_two IS NULL OR second_plain < first_two THEN CASE WHEN two THEN p_name || ' (2) (' || k + 1 || ')' WHEN k = 1 THEN p_name ELSE p_name || ' (' || k || ')' END
+  WHEN two THEN CASE WHEN k = 1 THEN p_name || ' (2)' ELSE p_name || ' (2) (' || k || ')' END WHEN k = 1 THEN p_name ELSE p_name || ' (' || k + 1 || ')' END AS unique_name FROM n JOIN f USING (p_name)""",
     "json_extract": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "tiered_match": """WITH t AS (SELECT p_partkey, unnest([0, 1, 2])::BIGINT AS tier, lower(unnest([p_name, str_split(p_name, ' ')[1], str_split(p_name, ' ')[-1]])) AS term FROM part),
 h AS (SELECT term, count(*) AS hits FROM (SELECT p_partkey, unnest(list_distinct([lower(p_name), lower(str_split(p_name, ' ')[1])])) AS term FROM part) GROUP BY term),
 m AS (SELECT *, min(tier) OVER (PARTITION BY p_partkey) AS best FROM t JOIN h USING (term)) SELECT p_partkey, tier, hits FROM m WHERE tier = best""",
-    "spatial_iou": """WITH e AS (SELECT vec_id, label, vec_id // 50 AS block, least(embedding[1], embedding[2])::DOUBLE AS x0, greatest(embedding[1], embedding[2])::DOUBLE AS x1, least(embedding[3], embedding[4])::DOUBLE AS y0, greatest(embedding[3], embedding[4])::DOUBLE AS y1 FROM embeddings),
-p AS (SELECT a.vec_id, b.vec_id AS other, round(CASE WHEN (a.x1 - a.x0) * (a.y1 - a.y0) > 0 THEN greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0)) ELSE 0 END, 6) AS part FROM e a JOIN e b ON a.label = b.label AND a.block = b.block AND a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY part DESC, other DESC) AS k FROM p WHERE part >= 0.5) SELECT vec_id, other, part FROM r WHERE k = 1""",
-    "status_tag": f"""WITH l AS (SELECT p_partkey, p_name, {_LINES}[p_partkey % 8 + 1] AS s FROM part), t AS (SELECT *, s || '; ' || p_name AS t FROM l)
-SELECT p_partkey, {_STATUS_CASE} AS tag, CASE WHEN {_STATUS_CASE.replace('lower(t)', 'lower(s)')} <> '' THEN p_name ELSE t END AS features,
-  {_STATUS_CASE.replace('lower(t)', 'lower(s)')} AS status, CASE s WHEN 'Third floor' THEN '3' WHEN '12th floor' THEN '12' ELSE '' END AS floor FROM t""",
-    "header_mapping": "SELECT * FROM (VALUES (0, 1, 'Alpha House', '1st', 1200.0::DOUBLE, 50.0::DOUBLE), (0, 2, 'Beta Court', 'Ground', NULL, NULL), (1, 2, '1 High St', '2nd', 900.0, 4500.0)) t(doc_id, row_idx, building, floor, size, price)",
+    "spatial_iou": """WITH e AS (SELECT vec_id, label, least(embedding[1], embedding[2])::DOUBLE * 100 AS x0, greatest(embedding[1], embedding[2])::DOUBLE * 100 AS x1, least(embedding[3], embedding[4])::DOUBLE * 100 AS y0, greatest(embedding[3], embedding[4])::DOUBLE * 100 AS y1 FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS other, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS shared, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS total FROM e a JOIN e b USING (label) WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+m AS (SELECT vec_id, max(other) AS link_id FROM p WHERE shared > 0 AND shared / (total - shared) > 0.5 GROUP BY vec_id) SELECT e.vec_id AS image_id, m.link_id FROM e LEFT JOIN m USING (vec_id) WHERE e.vec_id % 2 = 0""",
+    "status_tag": rf"""WITH l AS (SELECT p_partkey, p_name, {_LINES}[p_partkey % 16 + 1] AS s FROM part),
+t AS (SELECT *, regexp_replace(CASE p_partkey % 3 WHEN 0 THEN s WHEN 1 THEN s || '; ' || p_name ELSE 'Bright ' || lower(s) || ' space near ' || p_name END, '\s+', ' ', 'g') AS t, regexp_replace(s, '\s+', ' ', 'g') AS item FROM l),
+w AS (SELECT *, lower(regexp_extract(t, '{_STATUS}')) AS f, lower(regexp_extract(regexp_replace(item, ' \([^)]*\)$', ''), '{_STATUS}')) AS g FROM t),
+n AS (SELECT *, {_STATUS_NAME.format('f')} AS tag, {_STATUS_NAME.format('g')} AS own, regexp_extract(item, ' (\([^)]*\))$', 1) AS note FROM w),
+o AS (SELECT *, own <> '' AND (regexp_full_match(regexp_replace(lower(item), ' \([^)]*\)$', ''), '{_STATUS}') OR regexp_replace(lower(item), '[^a-z0-9]', '', 'g') = regexp_replace(lower(own), '[^a-z0-9]', '', 'g')) AS pure FROM n),
+q AS (SELECT *, CASE WHEN pure AND note <> '' THEN own || ' ' || note ELSE own END AS full_tag FROM o),
+r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND pure THEN full_tag ELSE tag END AS tag, CASE WHEN p_partkey % 3 <> 2 THEN CASE WHEN pure THEN full_tag WHEN p_partkey % 3 = 0 AND f <> 'fitted' THEN tag ELSE '' END WHEN f = 'fitted' THEN '' ELSE tag END AS status,
+  CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN pure THEN '' ELSE t END WHEN p_partkey % 3 = 1 THEN CASE WHEN pure THEN p_name ELSE t END ELSE t END AS rest, s FROM q)
+SELECT p_partkey, tag, status, rest, status AS moved, CASE s WHEN 'Third floor' THEN '3' WHEN '12th floor' THEN '12' WHEN 'Fitted (2nd hand)' THEN '2' ELSE '' END AS floor FROM r""",
 }

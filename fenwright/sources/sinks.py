@@ -31,7 +31,8 @@ def workbooks(listings: DataFrame, qa: DataFrame | None = None) -> DataFrame:
     rows = listings.select("doc_id", "ordinal", F.struct(*[shown_column(f).alias(n) for n, f in COLUMNS]).alias("r"))
     packed = rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "r"))), lambda x: x["r"]).alias("rows"))
     if qa is not None:
-        q = qa.groupBy("doc_id").agg(F.collect_list(F.array("doc_id", "building", "field", "message", "severity", "value", "action")).alias("qa"))
+        cells = F.array(*[F.col(c).cast("string") for c in ("doc_id", "building", "field", "message", "severity", "value", "action")])
+        q = qa.groupBy("doc_id").agg(F.sort_array(F.collect_list(cells)).alias("qa"))
         packed = packed.join(q, "doc_id", "left")
     else:
         packed = packed.withColumn("qa", F.lit(None).cast("array<array<string>>"))
@@ -42,7 +43,7 @@ def workbooks(listings: DataFrame, qa: DataFrame | None = None) -> DataFrame:
             for doc, listed, checks in zip(b["doc_id"], b["rows"], b["qa"], strict=True):
                 sheets = [("Listings", names, [[r[n] for n in names] for r in listed])]
                 if checks is not None:
-                    sheets.append(("QA", QA_COLUMNS, [list(c) for c in checks]))
+                    sheets.append(("QA Review", QA_COLUMNS, [list(c) for c in checks]))
                 out.append((doc, write_xlsx(sheets, LINKS)))
             yield pd.DataFrame(out, columns=["doc_id", "content"])
 

@@ -112,9 +112,9 @@ def listing(spark, **changes):
 def test_listing_life(spark):
     one = listings.normalize(listing(spark))
     r = one.first()
-    assert (r["area"], r["size_sqft"], r["price_psf"], r["for_sale"], r["assigned_agents"], r["property_postcode"], r["state_of_space"]) == ("Soho", 1200.0, 60.0, False, "Ann", "EC1A 1BB", "Cat A")
+    assert (r["area"], r["size_sqft"], r["price_psf"], r["for_sale"], r["assigned_agents"], r["property_postcode"], r["state_of_space"]) == ("Soho", 1200.0, 60.0, False, "Ann", "EC1A 1BB", "CAT A")
     assert listings.normalize(listing(spark, building="", area=" ")).count() == 0
-    geo = spark.createDataFrame([("Alpha, 12 High St, London EC1A 1BB, EC1A 1BB, London, UK", "12 High Street, London", 51.5, -0.1, "EC1A 1BB"), ("Alpha, 12 High St, London EC1A 1BB, EC1A 1BB, London, UK", "99 High Street", 1.0, 1.0, "")], "query string, address string, lat double, lng double, postcode string")
+    geo = spark.createDataFrame([("Alpha, 12 High St, London EC1A 1BB, UK", "12 High Street, London", 51.5, -0.1, "EC1A 1BB"), ("Alpha, 12 High St, London EC1A 1BB, UK", "99 High Street", 1.0, 1.0, "")], "query string, address string, lat double, lng double, postcode string")
     found = spark.createDataFrame([("Zeta", "1 X St", 2)], "name string, address string, sources int")
     placed = listings.resolve_places(one, geo, found).first()
     assert placed["lat"] == 51.5 and placed["postcode_status"] == "source" and placed["property_address_1"] == "12 High St"
@@ -139,3 +139,38 @@ def test_assets_and_media(spark):
     rows = spark.createDataFrame([("d", 0, "A", "", "", "x"), ("d", 1, "a", "b", "c", "")], "doc_id string, ordinal int, building string, brochure_url string, floor_plan_url string, high_res_url string")
     shared = {r["ordinal"]: tuple(r)[3:] for r in listings.share_media(rows).collect()}
     assert shared == {0: ("b", "c", "x"), 1: ("b", "c", "")}
+
+
+def test_unique_names_skip_taken_ones(spark):
+    given = ["a", "a", "a (2)", "b", "a", "a (2)", "b (3)", "b", "b", "c (2)", "c", "c"]
+    d = spark.createDataFrame(list(enumerate(given)), "i int, n string").repartition(3)
+    got = [r["u"] for r in sequence.unique_names(d, "n", ["i"], "u").orderBy("i").collect()]
+    taken, last, want = set(), {}, []
+    for x in given:
+        u = x
+        while u in taken:
+            last[x] = last.get(x, 1) + 1
+            u = f"{x} ({last[x]})"
+        taken.add(u)
+        want.append(u)
+    assert got == want and len(set(got)) == len(given)
+
+
+def test_the_last_covering_link_counts(spark):
+    images = spark.createDataFrame([("p", 1, (0.0, 0.0, 100.0, 100.0)), ("p", 2, (500.0, 500.0, 520.0, 510.0)), ("q", 3, (0.0, 0.0, 9.0, 9.0))], "page string, image_id int, box struct<x0: double, y0: double, x1: double, y1: double>")
+    links = spark.createDataFrame([("p", 10, (1.0, 1.0, 99.0, 99.0), 1), ("p", 11, (0.0, 0.0, 90.0, 80.0), 2), ("p", 12, (40.0, 40.0, 44.0, 44.0), 3), ("p", 13, (0.0, 0.0, 400.0, 400.0), 4), ("q", 14, (0.0, 0.0, 9.0, 4.5), 1)], "page string, link_id int, rect struct<x0: double, y0: double, x1: double, y1: double>, place int")
+    got = {r["image_id"]: r["link_id"] for r in matching.covering(images, links, ["page"]).collect()}
+    assert got == {1: 11, 2: None, 3: None}  # contained and containing ones fail, and so does exactly a half
+
+
+def test_resolution(spark):
+    r = spark.createDataFrame([(1, "12 High St, London EC1A 1BB", ""), (2, "12 High St", ""), (3, "12 High St", ""), (4, "12 High St", ""), (5, "12 High St", "")], "k int, address string, postcode string")
+    c = spark.createDataFrame(
+        [(2, "12 High Street EC1A 1BB", "brochure", 1), (2, "12 High Street, EC1A 1BB", "geocoder", 2), (2, "14 High Street W1A 1AA", "geocoder", 3), (3, "12 High Street EC1A 1BB", "a", 1), (3, "12 High Street W1A 1AA", "b", 2), (4, "12 High Street", "a", 1), (5, "12 High Street W1A 1AA", "landlord_page", 1), (5, "12 high street w1a 1aa", "landlord_page", 2)],
+        "k int, address string, source string, ordinal int",
+    )
+    got = {x["k"]: (x["status"], x["postcode"], round(x["confidence"], 2), x["sources"], x["n_considered"]) for x in listings.resolve_addresses(r, c, "k").collect()}
+    assert got == {
+        1: ("RESOLVED_FROM_SOURCE", "EC1A 1BB", 1.0, ["source_file"], 0), 2: ("RESOLVED_FROM_BROCHURE", "EC1A 1BB", 0.93, ["brochure", "geocoder"], 3), 3: ("CONFLICTING_CANDIDATES", "", 0.0, [], 2),
+        4: ("MANUAL_REVIEW_REQUIRED", "", 0.0, [], 1), 5: ("RESOLVED_FROM_PROPERTY_PAGE", "W1A 1AA", 0.85, ["landlord_page"], 1),
+    }

@@ -77,7 +77,7 @@ def test_workbook_round_trip(spark):
     none = spark.createDataFrame([], "doc_id string, building string, status string, resource_type string, detail string, original_url string")
     book = sinks.workbooks(d, sinks.qa_rows(d, none)).first()
     back = office.read_xlsx(book["content"])
-    assert back["sheet_names"] == ["Listings", "QA"] and back["tables"][0][0] == [n for n, _ in listings.COLUMNS]
+    assert back["sheet_names"] == ["Listings", "QA Review"] and back["tables"][0][0] == [n for n, _ in listings.COLUMNS]
     assert back["tables"][0][1][11] in ("1200.0", "1200") and back["row_links"][0]["links"][0]["url"] == "https://a.b/x.pdf"
     assert back["tables"][1][1][3] == "No issues found"
     html = spark.range(1).select(sinks.gallery_html(F.lit("A & B"), F.array(F.lit("https://x/1"), F.lit("https://x/2")))).first()[0]
