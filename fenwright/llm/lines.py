@@ -1,14 +1,18 @@
 """Operator 3: line deduplication by a suffix array over line sequences, with DataFrame functions only.
 
 A text is a sequence of its lines that hold more than white space; a line's id is a 128-bit hash of it. A run of lines that
-occurs more than once is a repeat. Prefix doubling names the runs of 1, 2, 4, ... lines: a run's name is made of the
-names of its halves, and a place stays only while its run occurs at least twice, so each round works on what the last one
-left. Places with one name are an interval of the suffix array whose longest common prefix has at least that many lines;
-the binary digits of a place's longest repeated run are read off the rounds. Each later copy of a run of at least
-`min_lines` lines (later: a greater document key, or further on in the same one) is deleted, the first one stays.
+occurs more than once is a repeat. Prefix doubling names the runs of 1, 2, 4, ... lines: a run's name is the pair of the ranks
+of its halves, and the names that occur at least twice are sorted and ranked in turn, so a rank orders the suffixes by so
+many lines. A place stays only while its run occurs at least twice: each round works on what the last one left. Places with one
+rank are an interval of the suffix array whose longest common prefix has at least that many lines.
 
-Names are counted with partial sums and the counts joined back, so a line with a third of all places is never gathered in
-one task. Only the lines of one text are ever brought together.
+Each later copy of a run of at least `min_lines` lines (later: a greater document key, or further on in the same one) is deleted, the
+first one stays. A place in a deeper interval is in that of min_lines too, and a run's later lines begin runs of their own there: so
+the deletions of the intervals of min_lines, together, are those of all maximal runs. With `long_line`, a single line of so many words
+is a run too.
+
+Names are counted with partial sums. Names of a thousandth of all places or more are joined back by broadcast, the others in a
+shuffle, so a line with a third of all places is never gathered in one task. Only the lines of one text are ever brought together.
 
 Defined cases: the documents' order is doc_id (null first), then a hash of the text; rows with one doc_id and one text are
 the same document and all get its result; a null text stays null; an empty or blank one has no lines and stays as it is;
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import set_aside, stored, table
+from .common import join_back, set_aside, stored, table
 
 _BLANK = r"^[\x20\x09-\x0D]*$"
 _KEY = ["f_id", "f_text"]
@@ -35,48 +39,53 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("f_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("f_text", F.xxhash64("text"))
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """A row per line with a word: the document's key, u its number among these, its range [i, j) of raw lines, and the
-    name of the run of one line (n1, n2)."""
+def _places(docs: DataFrame, long_line: int) -> DataFrame:
+    """A row per line with a word: the document's key, u its number among these, its range [i, j) of raw lines, the two halves of its id
+    (c1, c2), and whether it has at least long_line words."""
     raw = _lines(F.col("text").cast("string"))
     full = F.filter(F.transform(raw, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~s["x"].rlike(_BLANK))
-    one = _keyed(docs).select(*_KEY, F.size(raw).alias("n"), full.alias("full"))
+    wordy = lambda x: F.when(F.length(x) < 2 * long_line - 1, False).otherwise(F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= long_line) if long_line else F.lit(False)
+    ids = F.transform(full, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("c1"), F.xxhash64(F.lit(1), s["x"]).alias("c2"), wordy(s["x"]).alias("long")))
+    one = _keyed(docs).select(*_KEY, F.size(raw).alias("n"), ids.alias("full")).dropDuplicates(_KEY)  # repeated rows are one document
     one = one.select(*_KEY, "n", "full", F.posexplode_outer("full").alias("u", "s")).filter("u is not null")
     j = F.coalesce(F.get("full", F.col("u") + 1)["i"], F.col("n"))
-    one = one.select(*_KEY, "u", F.col("s.i").alias("i"), j.alias("j"), F.xxhash64("s.x").alias("n1"), F.xxhash64(F.lit(1), "s.x").alias("n2"))
-    return one.dropDuplicates([*_KEY, "u"])  # repeated rows are one document
+    return one.select(*_KEY, "u", F.col("s.i").alias("i"), j.alias("j"), "s.c1", "s.c2", "s.long")
 
 
-def _repeated(named: DataFrame) -> DataFrame:
-    """Of places with names, those whose name occurs more than once; `first` says that it is the first of them."""
+def _repeated(named: DataFrame, total: int) -> DataFrame:
+    """Of places named by (c1, c2), those whose name occurs more than once, with its rank among these names, r; `first` says that it is the first
+    of them. Ranks are in the order of the names: those of all places, sorted, are the suffix array as far as it is known."""
     at = F.struct(*_KEY, "u")
-    names = named.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("least")).filter("n > 1").drop("n")
-    return stored(named.join(names, ["n1", "n2"]).select(*_KEY, "u", "n1", "n2", (F.col("least") == at).alias("first")), "repeated")
+    names = named.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("least")).filter("n > 1")
+    names = stored(names.repartitionByRange("c1", "c2").sortWithinPartitions("c1", "c2").withColumn("r", F.monotonically_increasing_id()), "ranks")
+    found = join_back(named, names, ["c1", "c2"], "n", total, [*_KEY, "u"], inner=True)
+    return stored(found.select(*[c for c in named.columns if c not in ("c1", "c2")], "r", (F.col("least") == at).alias("first")), "repeated")
 
 
-def _doubled(places: DataFrame, lines: int, more: int) -> DataFrame:
-    """Names of the runs that consist of a repeated run of `lines` lines and, `more` lines on, another one."""
+def _doubled(places: DataFrame, more: int) -> DataFrame:
+    """Names of the runs that consist of a repeated run and, `more` lines on, another one: their ranks."""
     ahead = Window.partitionBy(*_KEY).orderBy("u").rangeBetween(more, more)
-    pairs = places.select(*_KEY, "u", "n1", "n2", F.first(F.struct("n1", "n2")).over(ahead).alias("next"))
-    pairs = pairs.filter("next is not null")
-    return pairs.select(*_KEY, "u", F.xxhash64("n1", "n2", "next.n1", "next.n2").alias("n1"), F.xxhash64(F.lit(lines), "next.n2", "next.n1", "n2", "n1").alias("n2"))
+    return places.select(*_KEY, "u", F.col("r").alias("c1"), F.first("r").over(ahead).alias("c2")).filter("c2 is not null")
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 2, report: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(places, later, longest): all lines; the places u where a later copy of a run of min_lines lines begins; and the
-    number of lines of the longest repeated run that begins at a place (by rounds of doubling, so long as report)."""
-    places = stored(_places(docs), "lines")
-    level, size = _repeated(places.select(*_KEY, "u", "n1", "n2")), 1
+def repeated_runs(docs: DataFrame, min_lines: int = 2, report: bool = True, long_line: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(places, later, longest): all lines; the places u where a later copy of a run of so many (size) lines begins, min_lines, or one of at
+    least long_line words (0: none); and the number of lines of the longest repeated run that begins at a place (by rounds of doubling,
+    so long as report)."""
+    places = stored(_places(docs, long_line), "lines")
+    total = max(1, places.count())
+    level, size = _repeated(places.select(*_KEY, "u", "c1", "c2", "long"), total), 1
     levels = [(1, level)]
+    single = level.filter(~F.col("first") & F.col("long")).select(*_KEY, "u", F.lit(1).alias("size"))
     while size * 2 <= min_lines:
-        level = _repeated(_doubled(level, size, size))
+        level = _repeated(_doubled(level, size), total)
         size *= 2
         levels.append((size, level))
     # Two overlapping runs of `size` lines make one of min_lines.
-    later = level if size == min_lines else _repeated(_doubled(level, size, min_lines - size))
-    later = later.filter(~F.col("first")).select(*_KEY, "u")
+    later = level if size == min_lines else _repeated(_doubled(level, min_lines - size), total)
+    later = later.filter(~F.col("first")).select(*_KEY, "u", F.lit(min_lines).alias("size"))
     while report:
-        level = _repeated(_doubled(level, size, size))
+        level = _repeated(_doubled(level, size), total)
         if level.isEmpty():
             break
         size *= 2
@@ -84,15 +93,15 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, report: bool = True) -> t
     longest = levels[0][1].select(*_KEY, "u", F.lit(1).alias("lines"))
     for size, level in levels[1:]:
         longest = longest.unionByName(level.select(*_KEY, "u", F.lit(size).alias("lines")))
-    return places, later, longest.groupBy(*_KEY, "u").agg(F.max("lines").alias("lines"))
+    return places, later.unionByName(single) if long_line else later, longest.groupBy(*_KEY, "u").agg(F.max("lines").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2, report: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 2, report: bool = True, long_line: int = 0) -> DataFrame:
     """docs with the text that is left, and the columns n_lines, n_removed and longest_run: the lines with a word, those
     deleted, and the largest power of two of lines of a repeated run in the document (0 without report)."""
     docs, back = set_aside(docs, [*_KEY, "gone"])
-    places, later, longest = repeated_runs(docs, min_lines, report)
-    gone = later.select(*_KEY, F.explode(F.sequence("u", F.col("u") + min_lines - 1)).alias("u")).distinct()
+    places, later, longest = repeated_runs(docs, min_lines, report, long_line)
+    gone = later.select(*_KEY, F.explode(F.sequence("u", F.col("u") + F.col("size") - 1)).alias("u")).distinct()
     ranges = places.join(gone, [*_KEY, "u"]).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_removed"), F.flatten(F.collect_list(F.sequence("i", F.col("j") - 1))).alias("gone"))
     totals = places.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_lines"))
     facts = totals.join(ranges, _KEY, "left")
@@ -108,8 +117,12 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, report: bool = True) -> Dat
     return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in mine}).drop(*_KEY, "gone").withColumnsRenamed(back)
 
 
+#: From so many words on a single line is a run of its own (in the registered query and the pipeline).
+LONG_LINE = 20
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), long_line=LONG_LINE)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed", "longest_run", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
 
@@ -134,7 +147,8 @@ named AS (
     row_number() OVER (PARTITION BY lines, name ORDER BY doc_id, u) AS place
   FROM levels),
 gone AS (
-  SELECT DISTINCT doc_id, u + k AS u FROM named, (VALUES (0), (1)) t(k) WHERE lines = 2 AND place > 1),
+  SELECT DISTINCT doc_id, u + k AS u FROM named, (VALUES (0), (1)) t(k) WHERE lines = 2 AND place > 1
+  UNION SELECT doc_id, u FROM named JOIN l USING (doc_id, u) WHERE lines = 1 AND place > 1 AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 20),
 kept AS (
   SELECT d.doc_id, coalesce(string_agg(e.x, chr(10) ORDER BY e.i) FILTER (WHERE g.u IS NULL), '') AS text, count(DISTINCT g.u) AS n_removed
   FROM d JOIN e USING (doc_id)

@@ -166,7 +166,7 @@ def test_urls(spark, broadcast):
 # 3 lines
 
 
-def deduped(rows, m):
+def deduped(rows, m, long_line=0):
     docs_, order = {}, []
     for i, t, _ in rows:
         k = (-1 if i is None else i, t)
@@ -182,6 +182,9 @@ def deduped(rows, m):
             run = tuple(raw[j] for j in full[u : u + m])
             if first.setdefault(run, (k, u)) != (k, u):
                 gone[k].update(range(u, u + m))
+        for u, j in enumerate(full):
+            if long_line and len(WORD.findall(raw[j])) >= long_line and first.setdefault((raw[j], "single"), (k, u)) != (k, u):
+                gone[k].add(u)
     out = {}
     for k, (raw, full) in docs_.items():
         dead = set()
@@ -205,6 +208,18 @@ def test_lines(docs, rows, none, m):
     assert lines.dedup_lines(none, m).count() == 0
 
 
+def test_long_single_lines(spark, docs, rows):
+    passage = " ".join(f"p{k}" for k in range(60))
+    more = [(5000 + k, f"before {k}\n{passage}\nafter {k}\nshort line\nx {k}", "en") for k in range(4)] + [(6000, passage, "en"), (6001, passage, "en")]
+    all_ = [*rows, *more]
+    want = deduped(all_, 2, 20)
+    got = lines.dedup_lines(make(spark, all_).withColumn("rowtext", F.col("text")).repartition(3), 2, long_line=20).collect()
+    for x in got:
+        if x["rowtext"] is not None:
+            assert x["text"] == want[(-1 if x["doc_id"] is None else x["doc_id"], x["rowtext"])][0]
+    assert sum(passage in (x["text"] or "") for x in got) == 1 and sum("short line" in (x["text"] or "") for x in got) == 4
+
+
 def test_longest_runs(spark):
     t = "\n".join(f"line {i}" for i in range(20))
     got = {x["doc_id"]: (x["n_removed"], x["longest_run"]) for x in lines.dedup_lines(make(spark, [(1, t, "en"), (2, "x\n" + t + "\ny", "en"), (3, "line 1\nz\nline 1", "en")])).collect()}

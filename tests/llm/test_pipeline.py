@@ -32,7 +32,7 @@ def test_stages(spark):
     assert 0 < after.count() <= before.count()
     before, after = step["line_dedup"]
     rows = [(r["doc_id"], r["text"], None) for r in before.collect()]
-    want = {k[0]: v[0] for k, v in deduped(rows, 2).items()}
+    want = {k[0]: v[0] for k, v in deduped(rows, 2, 20).items()}
     assert {r["doc_id"]: r["text"] for r in after.collect()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
     before, after = step["simhash_near_dedup"]
