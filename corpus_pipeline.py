@@ -1,7 +1,11 @@
 """A corpus from raw documents: toxicity, line dedup, near-duplicates, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; run() stores a stage's result as
-Parquet in the shared folder and reads it again for the next."""
+Parquet in the shared folder and reads it again for the next.
+
+Defined cases, for each stage but the last: the columns and their order stay; a null text stays null where it is not judged, and counts
+as empty where it is; a null doc_id is an id, and the largest where one document of a group stays; repeated rows are each judged, are one
+document in the line and near-duplicate stages, and the near-duplicate stage keeps one of them; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -20,17 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without later copies of runs of two lines or more; n_chars follows the text."""
+    """Without later copies of runs of two lines or more, and of single lines of 20 words or more; n_chars follows the text."""
     own, back = set_aside(docs, ["n_lines", "n_removed", "longest_run"])
-    out = lines.dedup_lines(own, min_lines=2, report=False).drop("n_lines", "n_removed", "longest_run")
+    out = lines.dedup_lines(own, min_lines=2, report=False, long_line=lines.LONG_LINE).drop("n_lines", "n_removed", "longest_run")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.withColumnsRenamed(back).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; groups: sets of five-word shingles with a similarity of 0.8 or more, found by
-    SimHash, and five-word SimHash fingerprints within two bits."""
+    """The document with the smallest doc_id of each group; groups: five-word SimHash fingerprints within two bits, and sets of five-word
+    shingles with a similarity of 0.8 or more."""
     return simhash.keep_one(docs, shingle_words=5, radius=2, similarity=0.8)
 
 
