@@ -70,7 +70,7 @@ def for_listings(listings: DataFrame, resources: DataFrame) -> DataFrame:
     is about the property; values of a unit only if it is the same floor."""
     seeds = listings.select("doc_id", "ordinal", "building", "property_address_1", "property_postcode", "floor_unit", F.explode(F.array_distinct(F.filter(F.array(urls.canonical(F.col("brochure_url"))), lambda u: u != ""))).alias("key"))
     d = seeds.join(fields(resources), "key")
-    same = merge.identity(F.col("building"), F.col("property_address_1"), F.col("property_postcode"), F.col("floor_unit"), F.col("page_text"))
+    same = merge.identity(F.col("building"), F.col("property_address_1"), F.col("property_postcode"), F.col("page_text"))
     floor = text.floor_token(F.col("floor_unit"))
     fits = F.col("field").isin(*BUILDING_FIELDS) | (F.col("floor") == "") | (F.col("floor") == floor)
     return d.filter(same.isin("MATCH", "PROBABLE_MATCH") & fits).select("doc_id", "ordinal", "field", "value", "confidence")

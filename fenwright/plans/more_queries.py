@@ -43,10 +43,12 @@ def item_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
+    name, number = F.concat(F.initcap("c_mktsegment"), F.lit(" House")), k % 90 + 10
     code = F.concat(F.lit("EC"), (k % 4 + 1).cast("string"), F.lit("A 1BB"))
     other = F.concat(F.lit("EC"), (k % 3 + 1).cast("string"), F.lit("A 1BB"))
-    page = F.concat_ws(" ", F.when(k % 2 == 0, F.col("c_name")).otherwise(F.lit("Some House")), F.when(k % 5 != 0, F.concat((k % 90 + 10).cast("string"), F.lit(" Market St"))), F.when(k % 7 != 0, other))
-    return read(spark, sf_dir, "customer").select("c_custkey", merge.identity(F.col("c_name"), F.concat((k % 90 + 10).cast("string"), F.lit(" Market St")), code, F.lit(""), page).alias("decision"))
+    there = F.when(k % 11 == 0, number + 1).otherwise(number)
+    page = F.concat_ws("\n", F.when(k % 2 == 0, name).otherwise(F.lit("Some House")), F.when(k % 5 != 0, F.concat(F.lit("at "), there.cast("string"), F.lit("  Market St"))), F.when(k % 7 != 0, other))
+    return read(spark, sf_dir, "customer").select("c_custkey", merge.identity(name, F.concat(number.cast("string"), F.lit(" Market Street")), code, page, F.when(k % 3 == 0, 0.9)).alias("decision"))
 
 
 def address_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +62,14 @@ def address_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of composed sources: by header, then by metadata, then by the five shapes that a file name may have."""
     d, k = F.col("o_orderdate"), F.col("o_orderkey")
-    header = F.when(k % 2 == 0, F.concat(F.lit("Mon, "), F.date_format(d, "d MMM yyyy"), F.lit(" 09:00:00 +0100")))
-    name = F.when(k % 3 == 0, F.concat(F.lit("list_"), F.date_format(d, "dd_MM_yyyy"), F.lit(".eml"))).when(k % 3 == 1, F.concat(F.lit("as of "), F.date_format(d, "d MMMM"), F.lit(".pdf"))).otherwise(F.lit("list.eml"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", dates.source_date(header, F.lit(""), name, F.year(d), F.lit("2000-01-01").cast("date")).alias("day"))
+    fmt = lambda f: F.date_format(d, f)
+    header = F.when(k % 4 == 0, F.concat(F.lit("Mon, "), fmt("d MMM yyyy"), F.lit(" 23:30:00 -0500"))).when(k % 4 == 1, F.lit("not a date"))
+    metadata = F.when(k % 6 == 1, F.concat(F.lit("D:"), fmt("yyyyMMdd"), F.lit("120000"))).otherwise("")
+    shapes = [F.concat(F.lit("list_"), fmt("dd_MM_yyyy"), F.lit(".eml")), F.concat(F.lit("as of "), fmt("d"), F.lit("th "), fmt("MMMM"), F.lit(".pdf")), F.concat(F.lit("x "), fmt("yyyy-MM-dd"), F.lit(" y.pdf")), F.concat(fmt("d MMM yyyy"), F.lit(" list.xlsx")), F.concat(F.lit("Schedule "), fmt("MMMM yyyy"), F.lit(".csv")), F.lit("31_02_2020.eml"), F.lit("list.eml")]
+    name = F.element_at(F.array(*shapes), (k % 7 + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", dates.source_date(header, metadata, name, F.year(d), F.lit("2000-01-01").cast("date")).alias("day"))
 
 
 def join_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,12 +132,12 @@ SELECT o_orderkey, page FROM r LEFT JOIN k USING (o_custkey, k)""",
     "item_islands": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events), l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY place) AS b FROM e),
 s AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT AS segment_no FROM l)
 SELECT s.event_id, s.segment_no, i.event_id AS item FROM s LEFT JOIN e i ON i.user_id = s.user_id AND i.place = s.segment_no""",
-    "identity_gate": """SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 4 <> c_custkey % 3 THEN 'HARD_CONFLICT'
-  WHEN c_custkey % 2 = 0 AND (c_custkey % 5 <> 0 OR c_custkey % 7 <> 0) THEN 'MATCH' WHEN c_custkey % 2 = 0 OR c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN 'PROBABLE_MATCH' ELSE 'AMBIGUOUS' END AS decision FROM customer""",
+    "identity_gate": """SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 4 <> c_custkey % 3 OR c_custkey % 5 <> 0 AND c_custkey % 11 = 0 THEN 'HARD_CONFLICT' WHEN c_custkey % 5 <> 0 OR c_custkey % 7 <> 0 THEN 'MATCH'
+  WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN 'PROBABLE_MATCH' ELSE 'AMBIGUOUS' END AS decision FROM customer""",
     "address_scores": """WITH d AS (SELECT c_custkey AS k, c_custkey % 9 + 1 AS want, c_custkey % 7 + 1 AS low, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 7 + 4 ELSE c_custkey % 7 + 1 END AS high, c_custkey % 5 <> 0 AND c_custkey % 11 = 0 AS bare FROM customer),
 r AS (SELECT *, CASE WHEN bare THEN 'number missing' WHEN want NOT BETWEEN low AND high THEN 'number differs' WHEN k % 4 = 0 THEN 'street differs' ELSE '' END AS reason FROM d)
 SELECT k AS c_custkey, (CASE WHEN reason <> '' THEN 0 ELSE 85 + CASE WHEN k % 2 = 0 THEN 8 ELSE 0 END + CASE WHEN k % 6 <> 0 THEN 4 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 10 ELSE -5 END END)::BIGINT AS score, reason <> '' AS rejected, reason FROM r""",
-    "source_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 <> 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2000-01-01' END AS day FROM orders",
+    "source_dates": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 6 = 1 OR o_orderkey % 7 < 4 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 7 = 4 THEN strftime(o_orderdate, '%Y-%m-01') ELSE '2000-01-01' END AS day FROM orders""",
     "join_distinct": "WITH f AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand, lower(p_type) ORDER BY p_partkey) AS k, p_partkey FROM part) SELECT p_brand, string_agg(p_type, ', ' ORDER BY p_partkey) AS types FROM f WHERE k = 1 GROUP BY p_brand",
     "reading_order": f"WITH {_BOX} SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY round_even(y0 / 10, 0), x0, vec_id) AS place FROM b",
     "lease_terms": "SELECT p_partkey, ['12 months', '1 year', 'Rolling', '', '', '', 'Flexible', '', '2 years', ''][p_partkey % 10 + 1] AS term, [12, 1, NULL, 12, NULL, 2025, 36, NULL, 2, NULL][p_partkey % 10 + 1]::BIGINT AS desks FROM part",

@@ -84,11 +84,12 @@ def donor_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of a customer's nation, ranked by agreeing components; the best three."""
-    c, s = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
-    k, n = F.col("c_custkey"), F.col("s_suppkey")
-    score = F.when(k % 10 == n % 10, 45).otherwise(0) + F.when(k % 7 == n % 7, 40).otherwise(0) + F.when((F.col("c_acctbal") > 0) == (F.col("s_acctbal") > 0), 10).otherwise(-5)
-    d = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey", score.cast("long").alias("score"))
+    """Suppliers as candidates for a customer's address, ranked; the best three. Another number or street rejects a candidate, so only those with the
+    same ones, in the same nation, are met at all."""
+    parsed = lambda k, balance: F.struct((k % 10 + 1).cast("string").alias("number"), F.when(balance > 5000, F.lit("unit house")).otherwise("").alias("name"), F.concat(F.lit("street "), (k % 3).cast("string")).alias("street"), F.lit("london").alias("locality"), F.concat(F.lit("EC1A "), (k % 4 + 1).cast("string"), F.lit("AA")).alias("postcode"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), parsed(F.col("c_custkey"), F.col("c_acctbal")).alias("w")).withColumns({"number": F.col("w.number"), "street": F.col("w.street")})
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), parsed(F.col("s_suppkey"), F.col("s_acctbal")).alias("g")).withColumns({"number": F.col("g.number"), "street": F.col("g.street")})
+    d = c.join(s, ["nation", "number", "street"]).withColumn("s", address.assess(F.col("w"), F.col("g"))).filter("not s.rejected").select("c_custkey", "s_suppkey", F.col("s.score").cast("long").alias("score"))
     return groups.rank_candidates(d, ["c_custkey"], F.col("score"), ["s_suppkey"]).filter("rank <= 3").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -214,7 +215,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN m IS NULL AND f <> 0 AND s
     "area_consensus": "SELECT o_custkey, CASE WHEN count(DISTINCT nullif(o_orderpriority, '')) = 1 THEN max(o_orderpriority) END AS priority, count(*) AS orders FROM orders GROUP BY o_custkey",
     "richest_sibling": "SELECT p_brand, p_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_partkey) AS k FROM part) WHERE k = 1",
     "donor_fanout": "WITH d AS (SELECT *, first_value(o_orderkey) OVER w AS dk, first_value(o_orderstatus) OVER w AS dst FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN dk END AS donor_order, CASE WHEN o_totalprice < 50000 THEN dst ELSE o_orderstatus END AS status FROM d",
-    "candidate_ranking": """WITH s AS (SELECT c_custkey, s_suppkey, (CASE WHEN c_custkey % 10 = s_suppkey % 10 THEN 45 ELSE 0 END + CASE WHEN c_custkey % 7 = s_suppkey % 7 THEN 40 ELSE 0 END + CASE WHEN (c_acctbal > 0) = (s_acctbal > 0) THEN 10 ELSE -5 END)::BIGINT AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+    "candidate_ranking": """WITH s AS (SELECT c_custkey, s_suppkey, (89 + CASE WHEN c_acctbal > 5000 AND s_acctbal > 5000 THEN 8 ELSE 0 END + CASE WHEN c_custkey % 4 = s_suppkey % 4 THEN 10 ELSE -5 END)::BIGINT AS score
+  FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 10 = s_suppkey % 10 AND c_custkey % 3 = s_suppkey % 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) AS rank FROM s) SELECT * FROM r WHERE rank <= 3""",
     "source_agreement": "SELECT l_partkey, round(least(1.0::DOUBLE, max(l_quantity) / 100 + 0.08::DOUBLE * (count(DISTINCT l_suppkey) - 1)), 6) AS confidence, count(DISTINCT l_suppkey) >= 2 AS independent FROM lineitem GROUP BY l_partkey",
     "geo_ambiguity": """WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE * 0.1::DOUBLE + 51.5::DOUBLE AS lat, embedding[2]::DOUBLE * 0.1::DOUBLE - 0.1::DOUBLE AS lng FROM embeddings),

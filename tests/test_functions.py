@@ -75,8 +75,8 @@ def test_merge(spark):
 
 
 def test_identity(spark):
-    rows = [("Alpha House", "1 High St", "EC1A 1BB", "", "Alpha House, 1 High St EC1A 1BB"), ("Alpha House", "1 High St", "EC1A 1BB", "", "Alpha House W1A 2AA"), ("Alpha House", "", "", "", "see Alpha House"), ("Alpha House", "", "", "", "else")]
-    assert values(spark, merge.identity, *rows) == ["MATCH", "HARD_CONFLICT", "PROBABLE_MATCH", "AMBIGUOUS"]
+    rows = [("Alpha House", "1 High St", "EC1A 1BB", "Alpha House, 1 High St EC1A 1BB"), ("Alpha House", "1 High St", "EC1A 1BB", "Alpha House W1A 2AA"), ("Alpha House", "", "", "see Alpha House"), ("Alpha House", "", "", "else"), ("Alpha House", "10-12 High St", "", "11 High Street"), ("Alpha House", "1 High St", "", "Alpha House\n3 High St")]
+    assert values(spark, merge.identity, *rows) == ["MATCH", "HARD_CONFLICT", "PROBABLE_MATCH", "AMBIGUOUS", "MATCH", "HARD_CONFLICT"]
 
 
 def test_prose(spark):
