@@ -193,20 +193,114 @@ def is_heading(x: Column) -> Column:
 
 
 def without_single_chars(items: Column) -> Column:
+    """Items of more than one character: letters of a word that stands upright on a page go."""
     return F.filter(items, lambda s: F.length(F.trim(s)) > 1)
 
 
+#: Words before a semicolon that a list's item goes on after, and lines of a page that are no item (fixed values).
+OPEN_ENDED = r"(?i)\b(and|or|with|to|for|of|in|on|at|by|from|into|over|under|the)\s*;\s*"
+PAGE_LINES = r"(?i)^(page\s*[0-9]+|continued|cont\.?|see over|www\.|http\S+)$"
+#: Where glued words come apart (fixed value).
+CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[^0-9])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+#: Below so many words a cleaned text is hardly one; from so many real words on the source was one (fixed values).
+FEW_WORDS, REAL_WORDS = 4, 8
+
+
 def split_camel(x: Column) -> Column:
-    """Glued words apart: before a capital after a small letter, and between letters and digits."""
-    t = F.regexp_replace(x, "([a-z])([A-Z])", "$1 $2")
-    return F.regexp_replace(F.regexp_replace(t, "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z]{3,})", "$1 $2")
+    """Glued words apart: at a capital behind a small letter, and between letters and digits."""
+    return ws_norm(F.regexp_replace(x, CAMEL, " "))
+
+
+def _unpunctuated(x: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(x), r"[,.;:!?·•]+$", ""))
+
+
+def _is_garbage(t: Column) -> Column:
+    return is_reversed_word(t) | is_consonant_junk(t)
+
+
+def is_junk_item(x: Column) -> Column:
+    """An item that says nothing: a page's line, a heading, digits, junk tokens only, or garbled words for the greater part."""
+
+    def judge(w: Column) -> Column:
+        garbled = F.size(F.filter(w, _is_garbage))
+        return (F.size(w) == 0) | F.forall(w, is_junk_token) | ((garbled > 0) & (garbled >= F.floor((F.size(w) + 1) / 2)))
+
+    s = _unpunctuated(x)
+    return (s == "") | s.rlike(PAGE_LINES) | s.rlike(r"^[0-9\s./-]+$") | is_heading(s) | let(_tokens(s), judge)
+
+
+def unglued(x: Column) -> Column:
+    """An item with glued words apart and headings and desk counts left out; empty if it is junk as a whole."""
+    s = _unpunctuated(x)
+    words = F.split(s, " +")
+    glued = F.exists(words, lambda w: w.rlike(r"[a-z][A-Z]|[0-9][A-Za-z]|[A-Za-z][0-9]") | F.regexp_replace(F.lower(w), "[^a-z0-9]+", "").isin(*HEADINGS))
+    kept = F.filter(words, lambda w: ~w.rlike(r"(?i)^[0-9]+desks?$") & ~is_reversed_word(w) & ~is_heading(w))
+    apart = F.array_join(F.transform(kept, split_camel), " ")
+    alone = ~s.contains(" ") & is_junk_token(s) & ~is_amenity_phrase(s)
+    return F.when(is_reversed_word(s) | alone, F.lit("")).when(glued, F.when(is_heading(apart), F.lit("")).otherwise(apart)).when(is_heading(s), F.lit("")).otherwise(s)
+
+
+def _spoken(x: Column) -> Column:
+    """An item in capitals as a word with one."""
+    letters = F.regexp_replace(x, "[^A-Za-z]", "")
+    return F.when((F.length(letters) >= 4) & letters.rlike("^[A-Z]+$"), F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 100_000)))).otherwise(x)
+
+
+def _clean_items(x: Column) -> Column:
+    """The items of a list, mended and without junk, each once."""
+    mended = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), OPEN_ENDED, "$1 "), r"(?<=[a-z]{3})\s*;\s*(?=[a-z]{3})", " ")
+    said = F.transform(F.filter(parts_of(mended), lambda p: F.length(_unpunctuated(p)) > 1), lambda p: _spoken(ws_norm(_unpunctuated(unglued(p)))))
+    key = lambda p: words_only(p)
+    once = lambda items: F.filter(items, lambda p, i: (key(p) != "") & (F.array_position(F.transform(items, key), key(p)) == i + 1))
+    return let(F.filter(said, lambda p: (p != "") & ~is_junk_item(p)), once)
+
+
+def amenities(x: Column, max_words: int = 100, max_items: int = 12) -> Column:
+    """A list of amenities from a dump of them: empty if it is layout noise; else its clean items while their words stay within max_words."""
+    return F.when(is_noise(x), F.lit("")).otherwise(F.array_join(kept_items(F.array_join(_clean_items(x), ";"), max_words, max_items), "; "))
+
+
+def is_dump(x: Column) -> Column:
+    """A list of three items or more of which two are junk, or of four or more short ones."""
+    items = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ";"), lambda s: F.trim(s)), lambda s: s != "")
+
+    def judge(p: Column) -> Column:
+        words = F.aggregate(p, F.lit(0), lambda n, s: n + F.size(F.split(s, " +")))
+        return (F.size(p) >= 3) & ((F.size(F.filter(p, is_junk_item)) >= 2) | ((F.size(p) >= 4) & (words <= 15 * F.size(p))))
+
+    return let(items, judge)
+
+
+def has_substance(x: Column) -> Column:
+    """Enough real words for a description."""
+    return F.size(F.filter(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit("([A-Za-z]{3,})"), F.lit(1)), lambda w: ~_is_garbage(w))) >= REAL_WORDS
+
+
+def clean_features(x: Column, max_words: int = 100, force: bool = False) -> Column:
+    """A feature text: prose is capped; a dump of amenities becomes a clean list; if hardly anything is left of one that has substance, its items or
+    sentences stay as a description; layout noise without substance is empty."""
+
+    def judge(t: Column) -> Column:
+        facts = F.struct(is_noise(t).alias("noise"), (F.lit(force) | is_dump(t)).alias("dump"), has_substance(t).alias("substance"), F.array(_clean_items(t)).alias("items"))
+        return let(facts, lambda f: F.when(f["noise"] | f["dump"], let(F.get(f["items"], F.lit(0)), lambda p: mended(f, p))).otherwise(t))
+
+    def mended(f: Column, p: Column) -> Column:
+        listed = F.when(f["noise"], F.lit("")).otherwise(F.array_join(kept_items(F.array_join(p, ";"), max_words), "; "))
+        short = (F.size(p) >= 2) & F.forall(p, lambda i: F.size(F.split(i, " ")) <= 15)
+        tale = F.when(f["substance"], F.when(short, F.array_join(p, "; ")).otherwise(F.array_join(p, " "))).otherwise("")
+        few = lambda x: word_count(x) < FEW_WORDS
+        return let(F.struct(listed.alias("l"), tale.alias("t")), lambda s: F.when(~few(s["l"]), s["l"]).when(f["noise"] & ~f["substance"], F.lit("")).when(~few(s["t"]), s["t"]).otherwise(s["l"]))
+
+    return cap_prose(let(ws_norm(x), judge), max_words)
 
 
-def clean_features(x: Column, max_words: int = 100) -> Column:
-    """A feature text: a list is cleaned item by item, prose is capped, noise and near-empty texts are blank."""
-    listed = F.array_join(without_single_chars(F.transform(kept_items(x, max_words), split_camel)), "; ")
-    t = F.when(F.coalesce(x, F.lit("")).contains(";"), listed).otherwise(cap_prose(x, max_words))
-    return F.when(is_noise(x), F.lit("")).when(~F.coalesce(x, F.lit("")).contains(";") & (word_count(x) < 4), ws_norm(x)).otherwise(t)
+def brochure_features(preferred: Column, fallback: Column) -> Column:
+    """The features of a brochure from the parts of its sections on amenities, or else of other sections if these are lists or short."""
+    joined = lambda parts: join_distinct(F.filter(parts, lambda p: ws_norm(p) != ""), "; ")
+    items = lambda t: let(parts_of(t), lambda p: F.when(F.size(p) >= 2, F.aggregate(p, F.lit(0), lambda n, s: n + F.size(F.split(s, " +"))) <= 12 * F.size(p)).otherwise(word_count(t).between(2, 40)))
+    first, second = let(joined(preferred), lambda t: clean_features(F.when(~is_noise(t), t), force=True)), let(joined(fallback), lambda t: clean_features(F.when(~is_noise(t) & items(t), t), force=True))
+    return F.when(first != "", first).otherwise(second)
 
 
 def useful_primary(x: Column, max_words: int = 40) -> Column:

@@ -24,7 +24,7 @@ def normalize(rows: DataFrame) -> DataFrame:
     for c in TEXTS:
         d = d if c in d.columns else d.withColumn(c, F.lit(""))
     pair = numbers.price_pair(numbers.to_number(F.col("size")), numbers.to_number(F.col("price_pcm")), numbers.to_number(F.col("price_psf")))
-    both = text.reclassify(text.clean_features(F.col("features")), F.col("state_of_space"))
+    both = text.reclassify(F.col("features"), F.col("state_of_space"))
     d = d.withColumns({"_p": pair, "_f": both, "building": text.ws_norm(F.col("building")), "area": text.titlecase(text.ws_norm(F.col("area")))}).filter("building <> '' or area <> ''")
     agents = text.names_only(F.col("contacts"))
     return d.withColumns(

@@ -26,6 +26,15 @@ def values(spark, f, *inputs):
         (text.min_term, {"12 Months": "12 months", "1 yr": "1 year", "Rolling": "Rolling", "see web": "", "Copyright 2025, 24 months": "", "2 yrs": "2 years", "negotiable": ""}),
         (text.is_junk_token, {"dr3": True, "624": True, "wifi": False, "ING": True, "of": True, "AC": False, "ecaps": True, "space": False, "M&E": False, "epcb": False, "thguo": False}),
         (text.is_noise, {"d; n; 2; h; t; u; o; S": True, "Bright office; Roof terrace": False, "noinU ecaps office": True, "": False}),
+        (text.unglued, {"roofTerrace": "roof Terrace", "currentFloorType": "", "12desks": "", "noinU": "", "Bike store.": "Bike store", "fittedKitchen 20desks": "fitted Kitchen", "dr3": ""}),
+        (
+            text.clean_features,
+            {
+                "Bright corner office with views.": "Bright corner office with views.", "Roof terrace; Bike store; GYM; roof terrace; 24/7 access": "Roof terrace; Bike store; 24/7 access", "S; o; u; t; h; n; 2; d": "",
+                "a; Air conditioning and; raised floors; 12; meeting rooms; Bike store; www.": "Air conditioning and raised floors; meeting rooms; Bike store www", "": "", "x; y; Roof": "Roof",
+            },
+        ),
+        (lambda x: text.brochure_features(F.split(x, r"\|"), F.array(F.lit("Kitchen; Terrace; Meeting rooms; Bike store"))), {"Air conditioning; LED lighting|Roof terrace; air conditioning": "Air conditioning; LED lighting; Roof terrace air conditioning", "": "Kitchen; Terrace; Meeting rooms; Bike store"}),
         (text.is_heading, {"currentFloorType": True, "Size sq ft": True, "Minimum Term": True, "Roof terrace": False, "Desk storage": False}),
         (text.floor_token, {"Third Floor": "3", "12th": "12", "Ground": "0", "x": ""}),
         (text.provider_from_filename, {"Fw_ Acme - Weekly.eml": "Acme"}),
