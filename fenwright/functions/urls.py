@@ -240,6 +240,12 @@ def direct_download(u: Column) -> Column:
     )
 
 
+def tour_link(u: Column) -> Column:
+    """A tour behind a viewer that asks for a login as the same tour where it is public."""
+    shown = F.regexp_extract(F.trim(u), r"(?i)^https?://viewings\.ehouse\.co\.uk/#/matterport/show/([A-Za-z0-9]+)/?$", 1)
+    return F.when(shown != "", F.concat(F.lit("https://my.matterport.com/show/?m="), shown)).otherwise(u)
+
+
 def document_rank(u: Column) -> Column:
     """3 a document itself, 2 a viewer that leads to one, 1 another page, 0 none or a viewer by script."""
     x = F.trim(F.coalesce(u, F.lit("")))

@@ -37,6 +37,18 @@ def nested_documents(resources: DataFrame, most: int = 2) -> DataFrame:
     return groups.rank_candidates(link, ["key"], urls.document_rank(F.col("document")), ["pos"]).filter(F.col("rank") <= most).select("key", "document")
 
 
+def plan_candidates(resources: DataFrame) -> DataFrame:
+    """(key, ordinal, url, label, kind): floor plans that pages point to, in the order in which they are tried. resources: key, url, payload."""
+
+    def find(url: pd.Series, payload: pd.Series) -> pd.Series:
+        from ..sources.html import plan_links
+
+        return pd.Series([plan_links(bytes(p or b"").decode("utf-8", "replace"), u or "") for u, p in zip(url, payload, strict=True)])
+
+    found = F.pandas_udf(find, "array<struct<url: string, label: string, kind: string>>")
+    return resources.select("key", F.posexplode(found("url", "payload")).alias("ordinal", "p")).select("key", "ordinal", "p.*")
+
+
 def candidates(resources: DataFrame) -> DataFrame:
     """(key, url, class, confidence, ordinal): the classified images of pages."""
     d = resources.select("key", F.col("url").alias("base"), F.posexplode("page.images").alias("ordinal", "i"))

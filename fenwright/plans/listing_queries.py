@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import address, text
-from ..operators import finishing, layouts, listings, matching, tables, validation
+from ..operators import evidence, finishing, groups, layouts, listings, matching, tables, validation
 from ..sources import sinks
 from .page_queries import read
 
@@ -215,10 +215,26 @@ def name_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(matching.all_tiers(found, ["p_partkey"], "page").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("all_pages")), "p_partkey")
 
 
+def plan_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floor plans in composed pages, as addresses, in attributes, or named only by the element around them."""
+    k = F.col("page_id")
+    html = _cat(
+        "<p><a href='#floorplan'>Floor plan</a><a href='/p/", k, ".pdf'>Particulars</a><a class='btn floor-plan' href='/m/", k, ".png'><b>View</b> it</a>",
+        "<img src='x.png'><div data-modal-path='/cms/floor-plan/", k, "'></div><a href='https://b.example/Floorplan.pdf?x=", k, "'>see <i>plan</i></a><a href='/terms'>Floor plan</a><span data-src='../floor_plan.jpg'>",
+    )
+    d = read(spark, sf_dir, "pages").select(_cat(k).alias("key"), _cat("https://a.example/x/", k % 3, "/y").alias("url"), html.cast("binary").alias("payload"))
+    return evidence.plan_candidates(d).select("key", F.col("ordinal").cast("long").alias("ordinal"), "url", "label", "kind")
+
+
+def file_brochures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = groups.brochures(composed_listings(spark, sf_dir), ["doc_id"])
+    return d.select("doc_id", F.col("brochures").cast("long").alias("brochures"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        *(layout_dispatch, first_match_dispatch, block_rows, header_mapping, listings_normalized, validation_issues, qa_union, photo_caps, address_resolution, retry_candidates),
+        *(plan_links, file_brochures, layout_dispatch, first_match_dispatch, block_rows, header_mapping, listings_normalized, validation_issues, qa_union, photo_caps, address_resolution, retry_candidates),
         *(media_cleared, photo_needs, seeds_and_order, contacts, name_pages),
     )
 }
@@ -263,6 +279,9 @@ _ASSETS = _PAGE_SQL["asset_classes"].rpartition("SELECT c[1] AS class")[0]
 SQL = {
     "seeds_and_order": f"""{_ASSETS.replace("g AS (SELECT page_id, CASE", "g AS (SELECT page_id, k - page_id AS pos, CASE")}, m AS (SELECT page_id, arg_min(pos, CASE WHEN c[1] = 'floorplan' THEN pos ELSE pos + 1000000 END) AS first_pos, count(*) FILTER (c[1] = 'floorplan') AS plans FROM g GROUP BY page_id)
 SELECT page_id, first_pos, plans, CASE WHEN page_id % 2 = 0 THEN 'https://P.example/A' ELSE 'https://p.example/A?crop=1' END || ' https://p.example/' || page_id AS seeds FROM m""",
+    "plan_links": """SELECT page_id::VARCHAR AS key, o::BIGINT AS ordinal, replace(replace(u, '%k', page_id::VARCHAR), '%x', 'https://a.example') AS url, label, kind
+  FROM pages, (VALUES (0, '%x/cms/floor-plan/%k', 'Floor plan', 'page'), (1, '%x/x/floor_plan.jpg', 'Floor plan', 'image'), (2, '%x/m/%k.png', 'View it', 'image'), (3, 'https://b.example/Floorplan.pdf?x=%k', 'see plan', 'pdf')) t(o, u, label, kind)""",
+    "file_brochures": "SELECT c_nationkey AS doc_id, count(DISTINCT CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 11 = 1 THEN 'x' WHEN c_custkey % 11 = 2 THEN 'n' ELSE c_custkey::VARCHAR END) AS brochures FROM customer GROUP BY c_nationkey",
     "layout_dispatch": f"WITH {_PARSED} SELECT k AS doc_id, ordinal::BIGINT AS ordinal, parser, area, building, floor_unit, size, desks, price_pcm, price_psf FROM r",
     "first_match_dispatch": f"WITH {_PARSED}, g AS (SELECT k, any_value(parser) AS parser, any_value(rule_rank)::BIGINT AS rule_rank, count(*) AS rows FROM r GROUP BY k) SELECT l.k AS doc_id, parser, rule_rank, rows FROM l LEFT JOIN g USING (k)",
     "block_rows": "SELECT s_suppkey AS doc_id, a::BIGINT AS address_row, e::BIGINT AS end_row, 2::BIGINT AS links FROM supplier, (VALUES (0, 4), (4, 7)) t(a, e) WHERE s_suppkey % 9 = 7",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin, urlsplit
 
 HIDDEN = {"script", "style", "noscript", "template", "head"}
 IMAGE_ATTRS = ("src", "data-src", "data-lazy-src", "data-original", "background")
@@ -101,3 +103,58 @@ def parse_html(html: str) -> dict:
     p.close()
     p._close_anchor()
     return {"text": "\n".join(p.lines), "links": p.links, "html_items": p.items, "tables": p.tables, "images": p.images}
+
+
+#: Attributes that may hold the address of a floor plan, in the order in which they are looked at, and elements without an end (fixed values).
+PLAN_ATTRS = ("data-modal-path", "data-modal-url", "data-floorplan-url", "data-floor-plan-url", "data-plan-url", "data-plan-src", "data-href", "data-url", "data-src", "href")
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+PLAN_WORDS = re.compile(r"floor[\s_-]*plan|floorplan", re.I)
+IMAGE_ENDS = (".png", ".jpg", ".jpeg", ".webp", ".gif", ".jpx")
+
+
+class _Elements(HTMLParser):
+    """Elements with one of the attributes, with the text within them."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[dict, list[str]]] = []
+        self._open: list[tuple[str, list[str]]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a, texts = {k: v or "" for k, v in attrs}, []
+        if any(a.get(k, "").strip() for k in PLAN_ATTRS):
+            self.found.append((a, texts))
+        if tag not in VOID:
+            self._open.append((tag, texts))
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(t == tag for t, _ in self._open):
+            while self._open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data: str) -> None:
+        if t := squeeze(data):
+            for _, texts in self._open:
+                texts.append(t)
+
+
+def plan_links(html: str, base: str) -> list[dict]:
+    """(url, label, kind) of what a page says is a floor plan: pages about one that are still to be followed, images and PDFs. The signal is in the
+    address, or in the element's class, id, target or text. Each address once."""
+    p = _Elements()
+    p.feed(html or "")
+    p.close()
+    out: dict[str, dict] = {}
+    for attr in PLAN_ATTRS:
+        for a, texts in p.found:
+            raw = a.get(attr, "").strip()
+            label = " ".join(texts)
+            if not raw or raw.startswith("#") or raw.lower().startswith("javascript:") or not PLAN_WORDS.search(" ".join([raw, a.get("class", ""), a.get("id", ""), a.get("data-modal-target", ""), label])):
+                continue
+            url = urljoin(base, raw)
+            parts = urlsplit(url)
+            path = parts.path.lower()
+            kind = "image" if path.endswith(IMAGE_ENDS) else "pdf" if path.endswith(".pdf") else "page" if PLAN_WORDS.search(f"{path} {parts.query}") else ""
+            if kind:
+                out.setdefault(urldefrag(url).url, {"url": url, "label": label or "Floor plan", "kind": kind})
+    return list(out.values())
