@@ -709,3 +709,26 @@ def test_items_with_one_id_are_all_searched(spark):
         items = spark.createDataFrame([(i, t) for t in (a, b, c, c)], "item_id long, text string")
         got = {tuple(x) for x in decontamination.contaminated(d, items).collect()}
         assert got == {(1, i, 8, 8), (2, i, 16, 16), (3, i, 5, 5), (None, i, 16, 16)}
+
+
+def test_very_long_texts(spark):
+    r = random.Random(21)
+    w = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    text = "".join(x + ("\n" if k % 37 == 36 else " ") for k, x in enumerate(w))
+    rows = [(1, text, "en"), (2, "short " + text + " tail", "en"), (3, " ".join(w[500:560]), "en"), (4, "y " * 30_000, "en")]
+    d = make(spark, rows)
+    got = {x["doc_id"]: x for x in substrings.remove_repeats(d).collect()}
+    assert Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got.values()) == without_repeats(rows, 35)
+    got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in lines.dedup_lines(d, 2).collect()}
+    assert got == {k[0]: (v[0], v[1]) for k, v in deduped(rows, 2).items()}
+    got = {x["doc_id"]: x["fp"] for x in simhash.near_duplicates(d).collect()}
+    assert got == {i: simhash.signed(fingerprint(t, 3)) for i, t, _ in rows}
+    assert {x["doc_id"] for x in simhash.keep_one(d).collect()} == {1, 3, 4}
+    items = spark.createDataFrame([(9, rows[2][1])], "item_id long, text string")
+    assert {x["doc_id"] for x in decontamination.contaminated(d, items).collect()} == {1, 2, 3}
+    got = {x["doc_id"]: (x["n_words"], x["base_failed"]) for x in quality.judge(d).collect()}
+    assert got == {1: (60_000, False), 2: (60_002, False), 3: (60, False), 4: (30_000, True)}
+    url = "http://a.net/" + "p/" * 20_000
+    assert urls.judge(spark.createDataFrame([(url,)], "url string"), spark.createDataFrame([("net", "/p/", "block")], "host string, path string, verdict string")).first()["verdict"] == "block"
+    c = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_records(chat.conversation_records(c))).first()["loss_chars"] == len(text)

@@ -77,6 +77,31 @@ def test_decontamination_takes_only_the_text_found(spark, tmp_path):
     assert {tuple(x) for x in cp.decontaminate(spark, d, str(tmp_path)).collect()} == {rows[1], rows[2], rows[4], rows[5]}
 
 
+def test_stages_on_awkward_tables(spark, tmp_path):
+    from test_operators_llm import awkward, deduped, make
+
+    rows = awkward(3, 30)
+    docs = make(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, 1, 0), (11, 0, 1), (12, None, 1), (None, 1, 1), (13, 0, None)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, ""), (1, "same text twice"), (2, rows[9][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+        given = [(i, t) for i, t, _ in rows]
+        if name == "line_dedup":
+            want = {k: v[0] for k, v in deduped(rows, 2, 20).items()}
+            assert got == sorted(((i, None if t is None else want[-1 if i is None else i, t]) for i, t in given), key=str)
+        else:
+            assert set(got) <= set(given) and len(got) <= len(given), name
+        if name == "simhash_near_dedup":
+            assert len(got) == len({t for _, t in got}) and (None, "no id here at all") in got
+        if name == "benchmark_decontamination":
+            assert {i for i, t in given if (i, t) not in got} >= {5} and (1, None) in got and (2, "") in got
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).groupBy("doc_id").count().count() == len({i for i, _, _ in rows})
+
+
 def test_run(spark):
     assert cp.run(spark, SF).count() > 0
 
