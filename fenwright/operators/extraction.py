@@ -3,6 +3,8 @@ table of answers, can stand in."""
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,21 +32,64 @@ def chunks(rows: DataFrame, large_rows: int = 40, large_chars: int = 20_000) ->
     return g.select("doc_id", "chunk", "whole", F.array_join(F.slice("lines", F.col("p.begin") + 1, F.col("p.end") - F.col("p.begin")), "\n").alias("prompt"))
 
 
+#: What an error says when an answer was too long for the model (fixed values).
+TOO_LONG = ("not valid json", "truncated", "max_tokens", "max output", "output size")
+
+
+def split_rows(lines: list[str], most_rows: int = 25, most_chars: int = 10_000, overlap: int = 2) -> list[list[str]]:
+    """Overlapping parts of at most so many rows and, with their line ends, characters; a longer row is a part of its own."""
+    parts, begin = [], 0
+    while begin < len(lines):
+        end, chars = begin, 0
+        while end < len(lines) and end - begin < most_rows and (end == begin or chars + len(lines[end]) + 1 <= most_chars):
+            chars += len(lines[end]) + 1
+            end += 1
+        parts.append(lines[begin:end])
+        if end == len(lines):
+            break
+        begin = max(end - overlap, begin + 1)
+    return parts
+
+
+def _is_json(answer: str | None) -> bool:
+    """Whether an answer begins, after fences and words, with a whole JSON value."""
+    at = re.search(r"[\[{]", answer or "")
+    try:
+        return bool(at) and json.JSONDecoder().raw_decode(answer, at.start()) is not None
+    except ValueError:
+        return False
+
+
 def ask(prompts: DataFrame, model: Callable[[str], str], most: int = 25) -> DataFrame:
-    """prompts with answer and error: a failing call, or a chunk of a large document with over `most` records, is a row with an error, and does
-    not touch the other chunks."""
+    """prompts with answer and error: a failing call, a malformed answer, or a chunk of a large document with over `most` records, is a row with an
+    error, and does not touch the other chunks. A malformed chunk is asked for once more; a whole document whose answer was too long is asked for
+    again in chunks, in place of the one prompt."""
+
+    def call(prompt: str, tries: int) -> tuple[str | None, str]:
+        error = ""
+        for _ in range(tries):
+            try:
+                answer = model(prompt)
+            except Exception as e:
+                return None, f"{type(e).__name__}: {e}"
+            if _is_json(answer):
+                return answer, ""
+            error = "ValueError: answer is not valid JSON"
+        return None, error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            answers, errors = [], []
-            for p in b["prompt"]:
-                try:
-                    answers.append(model(p))
-                    errors.append("")
-                except Exception as e:
-                    answers.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield b.assign(answer=answers, error=errors)
+            out = []
+            for row in b.to_dict("records"):
+                answer, error = call(row["prompt"], 1 if row["whole"] else 2)
+                lines = re.split(r"\n(?=Row [0-9]+: )", row["prompt"])
+                if error and row["whole"] and len(lines) > 1 and any(t in error.lower() for t in TOO_LONG):
+                    for k, part in enumerate(split_rows(lines)):
+                        answer, error = call("\n".join(part), 2)
+                        out.append(row | {"chunk": k, "whole": False, "prompt": "\n".join(part), "answer": answer, "error": error})
+                else:
+                    out.append(row | {"answer": answer, "error": error})
+            yield pd.DataFrame(out, columns=[*b.columns, "answer", "error"])
 
     kinds = ", ".join(f"{n} {t}" for n, t in prompts.dtypes)
     asked = prompts.mapInPandas(run, f"{kinds}, answer string, error string")

@@ -61,6 +61,31 @@ def test_long_answers_are_whole_or_fail(spark):
     assert {f"small {i}" for i in range(30)} <= names and "large 69" in names and "large 30b" not in names
 
 
+def test_long_answers_are_asked_for_in_chunks(spark):
+    rows = spark.createDataFrame([(d, 0, i, [f"{d} {i}", "x" * 900]) for d, n in (("dense", 20), ("bad", 3), ("down", 20)) for i in range(n)], "doc_id string, table_idx int, row_idx int, cells array<string>")
+    calls = []
+
+    def model(prompt):
+        calls.append(prompt)
+        names = [x.split(": ")[1].split(" |")[0] for x in prompt.split("\n")]
+        if "bad 0" in prompt and len(names) > 1:
+            return "[{"
+        if "down" in prompt:
+            raise TimeoutError("slow")
+        if len(names) > 12:
+            raise ValueError("Response was truncated")
+        return "Here it is: " + json.dumps([{"building": x} for x in names]) + " [done]"
+
+    a = extraction.ask(extraction.chunks(rows), model).cache()
+    d = {x["doc_id"]: (x["ok"], x["failed"]) for x in extraction.diagnostics(a).collect()}
+    assert d == {"dense": (3, []), "bad": (0, [0]), "down": (0, [0])}
+    names = [x["building"] for x in extraction.extracted(a).collect()]
+    assert sorted(names) == sorted(f"dense {i}" for i in range(20))
+    parts = extraction.split_rows([f"r{i}" for i in range(60)])
+    assert [len(p) for p in parts] == [25, 25, 14] and parts[0][-2:] == parts[1][:2]
+    assert [len(p) for p in extraction.split_rows(["x" * 20_000, "y"])] == [1, 1]
+
+
 def test_evidence(spark):
     page = b"<main><p>Alpha House, 1 High St EC1A 1BB</p><p>First floor</p><p>1,500 sq ft</p><p>Minimum term: 24 months</p><img src='/a/floorplan.png'><a href='/b.pdf'>Brochure</a></main>"
     res = spark.createDataFrame([("https://x.y/p?utm_source=1", "text/html", bytearray(page)), ("https://x.y/z", "", bytearray(b"%PDF-1"))], "url string, content_type string, payload binary")
