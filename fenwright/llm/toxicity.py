@@ -85,22 +85,32 @@ def _sigmoid(z):
 
 
 class Matrix:
-    """A sparse matrix: row, column, count and value of each entry. rows: (columns, counts, words of the text)."""
+    """A sparse matrix: row, column, count and value of each entry, by rows and by columns. rows: (columns, counts, words of the text)."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]], d: int) -> None:
         size = [len(c) for c, _, _ in rows]
         self.n, self.d = len(rows), d
-        self.r = np.repeat(np.arange(self.n), size).astype(np.int32)
+        self.r = np.repeat(np.arange(self.n, dtype=np.int32), size)
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         self.c = join([c for c, _, _ in rows], np.int32)
         self.counts = join([k for _, k, _ in rows], np.float32)
-        self.v = _value(self.counts, np.repeat(np.array([n for _, _, n in rows], np.float32), size))
+        self.v = _value(self.counts, np.repeat(np.array([n for _, _, n in rows], np.float32), size)).astype(np.float32)
+        self.rows, self.row_at = np.unique(self.r, return_index=True)
+        order = np.argsort(self.c, kind="stable")
+        self.by_column_r, self.by_column_v = self.r[order], self.v[order]
+        self.columns, self.column_at = np.unique(self.c[order], return_index=True)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.r, self.v * w[self.c], minlength=self.n)
+        out = np.zeros(self.n)
+        if len(self.rows):
+            out[self.rows] = np.add.reduceat(self.v * w[self.c], self.row_at)
+        return out
 
     def back(self, e: np.ndarray) -> np.ndarray:
-        return np.bincount(self.c, self.v * e[self.r], minlength=self.d)
+        out = np.zeros(self.d)
+        if len(self.columns):
+            out[self.columns] = np.add.reduceat(self.by_column_v * e[self.by_column_r], self.column_at)
+        return out
 
 
 def _fit(x: Matrix, y: np.ndarray, use: np.ndarray, pairs: tuple[Matrix, Matrix] | None, ridge: float, fairness: float, steps: int) -> tuple[np.ndarray, float]:
@@ -185,7 +195,7 @@ def columns(counts: Counter, column: dict[str, int], n: int) -> tuple[np.ndarray
     return np.array([c for c, _ in known], np.int32), np.array([k for _, k in known], np.int32), n
 
 
-def train(names: list[str], rows: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, pairs: list[tuple[Counter, Counter, int]], ridge: float = 1e-4, fairness: float = 10.0, steps: int = 150, folds: int = 3) -> Model:
+def train(names: list[str], rows: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, pairs: list[tuple[Counter, Counter, int]], ridge: float = 1e-4, fairness: float = 10.0, steps: int = 150, folds: int = 10) -> Model:
     """names: the features; rows: (columns, counts, words) of each labelled text, in an order that is the same each time."""
     y = y.astype(float)
     if len(set(y.tolist())) < 2:
