@@ -200,7 +200,7 @@ def direct_document(u: Column) -> Column:
     return scheme(u).isin("http", "https") & ~is_script_viewer(u) & (F.lower(path(u)).endswith(".pdf") | shared)
 
 
-#: Address blocks that are not public (fixed values): first and last address of each as numbers.
+#: Address blocks that are not public (fixed values).
 PRIVATE_BLOCKS = "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 240.0.0.0/4".split()
 
 

@@ -15,7 +15,7 @@ EMAIL_LINE = r"^[\w.+-]+@[\w.-]+\.\w+$"
 PHONE_LINE = r"^0[0-9]{3,4}[\s-]?[0-9]{3,4}[\s-]?[0-9]{3,4}$"
 WRAPPED_PHONE = r"\+?[0-9][0-9\s()]{7,}[0-9]"
 #: Parsers whose PDF source is itself a brochure, and how many photos a listing should have (fixed values).
-BROCHURE_SOURCES = ["BC", "Breezblok"]
+BROCHURE_SOURCES = ["summary grid", "brochure text"]
 PHOTO_TARGET = 5
 CLEARED = {"high_res_url": "HIGH_RES_DOCUMENT_PLACEHOLDER_CLEARED", "floor_plan_url": "FLOOR_PLAN_DOCUMENT_PLACEHOLDER_CLEARED"}
 

@@ -33,7 +33,7 @@ anchors AS (
   SELECT page_id, url, unnest(range(len(h))) AS pos, unnest(h) AS href, unnest(t) AS anchor
   FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages))"""
 
-#: As the reference rules name them; not taken from the functions, which these queries check.
+#: Stated anew, not taken from the functions, which these queries check.
 _KEYS = "'utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'mc_cid', 'mc_eid', 'width', 'height', 'format', 'quality', 'fit', 'crop', 'dpr', 'v'"
 
 

@@ -192,7 +192,7 @@ QUERIES = {
 }
 
 _W = "(PARTITION BY user_id ORDER BY ts, event_id"
-#: As the reference rules name them; not taken from the functions, which these queries check.
+#: Stated anew, not taken from the functions, which these queries check.
 _STATUS = r"(?i)\b(fully\s+fitted|partially\s+fitted|fit[\s\-]*outs?\s+underway|cat\s*[ab]\s*[-–—]\s*custom\s+fit\s*outs?\s+opportunity|cat\s*[ab]\s*[-–—]?\s*(custom\s+)?fit\s*outs?(\s+opportunity)?|cat\s*[ab]\s*fitted|custom\s+fit\s*out\s+opportunity|cat\s*[ab]\b|fitted|plug\s*(and|&)\s*play|available\s+(now|immediately)|immediate(\s+availability)?|vacant\s+possession|coming\s+soon|under\s+offer)\b"
 _STATUS_NAME = """CASE WHEN {0} = '' THEN '' WHEN regexp_matches({0}, 'fully\\s+fitted') THEN 'Fully Fitted' WHEN regexp_matches({0}, 'partially\\s+fitted') THEN 'Partially Fitted' WHEN contains({0}, 'underway') THEN 'Fitout Underway'
   WHEN regexp_matches({0}, 'cat\\s*a.*(custom|opportunity)') THEN 'CAT A - Custom Fit Out Opportunity' WHEN regexp_matches({0}, 'cat\\s*a') THEN 'CAT A' WHEN regexp_matches({0}, 'cat\\s*b.*(custom|opportunity)') THEN 'CAT B - Custom Fit Out Opportunity' WHEN regexp_matches({0}, 'cat\\s*b') THEN 'CAT B'
