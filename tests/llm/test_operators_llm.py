@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -319,12 +320,14 @@ def graph(spark, texts):
 def brute_groups(texts):
     """The smallest number of the group of each text, by all pairs."""
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in (WORD.findall((t or "").lower()) for t in texts)]
-    number = {}
-    m = np.zeros((len(texts), len({g for s in sets for g in s})), np.float32)
+    times = Counter(g for s in sets for g in s)
+    shared = {g: i for i, g in enumerate(g for g, k in times.items() if k > 1)}
+    m = np.zeros((len(texts), len(shared) + 1), np.float32)
     for i, s in enumerate(sets):
-        m[i, [number.setdefault(g, len(number)) for g in s]] = 1
-    both, n = m @ m.T, m.sum(1)
+        m[i, [shared[g] for g in s if g in shared]] = 1
+    both, n = m @ m.T, np.array([len(s) for s in sets], np.float32)
     near = both * 10 >= 8 * (n[:, None] + n[None, :] - both)
+    np.fill_diagonal(near, True)
     want = np.arange(len(texts))
     while True:
         low = np.where(near, want[None, :], len(texts)).min(1)
@@ -364,6 +367,12 @@ def test_similar_texts(spark):
     assert simhash.similar(d, about).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_groups_of_the_documents_are_those_of_brute_force(spark):
+    texts = [x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").distinct().collect()]
+    assert 1 < similar_groups(spark, sorted(texts)) < len(texts)
+
+
 def test_text_keys_differ(spark):
     d = spark.createDataFrame([(f"text {i}",) for i in range(3000)] + [("",)], "text string").select(common.text_key(F.col("text")).alias("k"))
     keys = {int(x["k"]) for x in d.collect()}
