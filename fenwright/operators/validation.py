@@ -27,7 +27,8 @@ def issues(df: DataFrame, key: str, rules: list[Column]) -> DataFrame:
 def listing_rules() -> list[Column]:
     """The checks of a listing."""
     c, none = F.col, lambda x: F.coalesce(F.col(x), F.lit("")) == ""
-    same = lambda a, b: urls.is_address(c(a)) & urls.is_address(c(b)) & (urls.canonical(c(a)) == urls.canonical(c(b)))
+    named, canon = ({u: f(c(u)) for u in ("brochure_url", "floor_plan_url", "high_res_url")} for f in (urls.is_address, urls.canonical))
+    same = lambda a, b: named[a] & named[b] & (canon[a] == canon[b])
     out = [
         rule("source_file", "source file name lost", "error", none("source_file"), c("source_file")),
         rule("source_url", "source address invalid", "error", ~none("source_url") & ~urls.is_address(c("source_url")), c("source_url")),

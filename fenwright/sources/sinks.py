@@ -17,12 +17,13 @@ LINKS = frozenset({"Brochure PDF", "Floor Plan", "High Res Images"})
 
 def qa_rows(listings: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Issues of listings and diagnostics that need a look, one sheet row each; a source without any has one row that says so."""
-    issue = listings.select("doc_id", F.col("building"), F.explode("issues").alias("i")).select("doc_id", "building", "i.field", "i.message", "i.severity", "i.value", "i.action")
+    # an outer explode, as for a plain one the optimizer copies the rules into filters that evaluate them again
+    issue = listings.select("doc_id", F.col("building"), F.posexplode_outer("issues").alias("at", "i")).filter("at is not null").select("doc_id", "building", "i.field", "i.message", "i.severity", "i.value", "i.action")
     noted = diagnostics.filter(F.col("status") != "ok").select("doc_id", "building", F.col("resource_type").alias("field"), F.col("detail").alias("message"), F.when(F.col("status").contains("conflict"), "error").otherwise("warning").alias("severity"), F.col("original_url").alias("value"), F.lit("check the link").alias("action"))
-    rows = issue.unionByName(noted)
-    none = listings.select("doc_id").distinct().join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
+    clear = listings.groupBy("doc_id").agg(F.max(F.size("issues")).alias("most")).filter("doc_id is null or not coalesce(most > 0, false)")
+    none = clear.join(noted.select("doc_id").distinct(), "doc_id", "left_anti")
     blank = none.select("doc_id", *[F.lit(v).alias(c) for c, v in (("building", ""), ("field", ""), ("message", "No issues found"), ("severity", "info"), ("value", ""), ("action", ""))])
-    return rows.unionByName(blank)
+    return issue.unionByName(noted).unionByName(blank)
 
 
 def workbooks(listings: DataFrame, qa: DataFrame | None = None) -> DataFrame:

@@ -41,3 +41,26 @@ def test_final_photos(spark):
     r = listings.final_photos(assets, v, own).first()
     assert r["photos"] == ["https://a/0.jpg", "https://a/3.jpg"] and r["high_res"] == "gallery"
     assert [x.split(": ")[1] for x in r["left_out"]] == ["small", "repeated", "not checked", "plan"]
+
+
+def test_review_rows_judge_a_listing_at_most_twice(spark):
+    from fenwright.operators import validation
+    from fenwright.plans import listing_queries
+    from fenwright.sources import sinks
+
+    d = spark.createDataFrame([(1, ""), (1, "A"), (2, "B"), (3, "C"), (None, "")], "doc_id long, building string")
+    d = validation.with_issues(d, [validation.rule("building", "marked rule", "error", F.col("building") == "", F.col("building"))])
+    d = d.unionByName(d.filter("doc_id = 2").withColumns({"doc_id": F.lit(4).cast("long"), "issues": F.when(F.col("doc_id") != 2, F.col("issues"))}))
+    notes = spark.createDataFrame([(3, "C", "conflict", "link", "seen", "u"), (2, "B", "ok", "link", "fine", "u"), (5, "", "unreachable", "link", "gone", "u")], "doc_id long, building string, status string, resource_type string, detail string, original_url string")
+    rows = sinks.qa_rows(d, notes)
+    assert {(r["doc_id"], r["message"]): r["severity"] for r in rows.collect()} == {(1, "marked rule"): "error", (None, "marked rule"): "error", (None, "No issues found"): "info", (2, "No issues found"): "info", (4, "No issues found"): "info", (3, "seen"): "error", (5, "gone"): "warning"}
+    assert rows.count() == 7
+
+    one = d.filter("doc_id = 1")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    per_use = plan(one.select("issues")).count("marked rule")
+    assert plan(sinks.qa_rows(one, notes)).count("marked rule") <= 2 * per_use
+    assert plan(d.select(urls.is_public(F.col("building")))).count("regexp_") < 50
+
+    checked = listing_queries._checked(spark, "/root/testdata/sf0.001")
+    assert checked.select(F.spark_partition_id().alias("p")).distinct().count() > 1
